@@ -56,12 +56,12 @@ def label(code: Column, labels: list[str]) -> Column:
 
 
 def equal_width_bin(p: Column, bins: int) -> Column:
-    """Index of the equal-width bin of p in [0, 1] whose edges are i/bins; 1.0 joins the last.
+    """Index of the equal-width bin of p in [0, 1] whose edges are i*(1/bins); 1.0 joins the last.
 
     The first guess by multiplication is corrected against the edges themselves, so values
     that fall on an edge land in the bin the edge opens."""
     guess = F.least(F.floor(p * bins), F.lit(bins - 1))
-    edge = lambda i: i.cast("double") / F.lit(float(bins))
+    edge = lambda i: i.cast("double") * F.lit(1.0 / bins)
     up = F.when((p >= edge(guess + 1)) & (guess < bins - 1), 1).otherwise(0)
     down = F.when(p < edge(guess), 1).otherwise(0)
     return (guess + up - down).cast("int")

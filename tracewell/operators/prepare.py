@@ -123,11 +123,12 @@ def _flag_repeats(events: DataFrame, hot: tuple[list, int]) -> DataFrame:
     )
 
 
-def sequence_responses(parsed: DataFrame) -> DataFrame:
+def sequence_responses(parsed: DataFrame, hot: tuple[list, int] | None = None) -> DataFrame:
     """Add file-order monotonicity, output position and repeat flags.
 
-    All windows partition by learner, so one exchange serves them all."""
-    hot = hot_groups(parsed, ["learner_id"])
+    All windows partition by learner, so one exchange serves them all. ``hot`` is the result
+    of ``hot_groups`` on learner_id when the caller already has it."""
+    hot = hot if hot is not None else hot_groups(parsed, ["learner_id"])
     step = prefix(parsed, ["learner_id"], ["source_row"], lasts={"__previous": F.col("timestamp_ms")}, hot=hot)
     keyed = step.withColumns(
         {
@@ -140,9 +141,11 @@ def sequence_responses(parsed: DataFrame) -> DataFrame:
     return _flag_repeats(placed.drop("__late", "__ts"), hot)
 
 
-def interactions(raw: DataFrame, questions: DataFrame, extreme_elapsed_ms: int = 3_600_000) -> DataFrame:
+def interactions(
+    raw: DataFrame, questions: DataFrame, extreme_elapsed_ms: int = 3_600_000, hot: tuple[list, int] | None = None
+) -> DataFrame:
     """The full cleaning step: one output row per raw row, with the quality bit mask."""
-    ordered = sequence_responses(parse_responses(raw))
+    ordered = sequence_responses(parse_responses(raw), hot)
     columns = [
         "question_id", "bundle_id", "correct_answer", "part", "skill_ids", "skill_count",
         "primary_skill_id", "deployed_at_ms",

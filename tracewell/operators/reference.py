@@ -112,7 +112,7 @@ def candidate_events(rows: DataFrame, items: DataFrame) -> DataFrame:
     return kept.withColumnRenamed("primary_skill_id", "skill_id")
 
 
-def event_sequences(events: DataFrame) -> DataFrame:
+def event_sequences(events: DataFrame, hot: tuple[list, int] | None = None) -> DataFrame:
     """Position and gap of every event inside its (learner, skill) sequence."""
     keyed = prefix(
         events,
@@ -120,6 +120,7 @@ def event_sequences(events: DataFrame) -> DataFrame:
         ["timestamp_ms", "sequence_index"],
         count="within_skill_index",
         lasts={"__previous": F.col("timestamp_ms")},
+        hot=hot,
     )
     gap = F.coalesce(F.col("timestamp_ms") - F.col("__previous"), F.lit(0).cast("long"))
     return keyed.withColumn("gap_ms", gap).drop("__previous")

@@ -1,6 +1,13 @@
 """Imports every query module and exposes the filled tables."""
 
-from tracewell.plans import prepare_queries, reference_queries  # noqa: F401
+from tracewell.plans import (  # noqa: F401
+    bayes_queries,
+    experiment_queries,
+    model_queries,
+    prepare_queries,
+    reference_queries,
+    scoring_queries,
+)
 from tracewell.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

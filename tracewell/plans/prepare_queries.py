@@ -156,21 +156,21 @@ def learner_summary(spark, sf):
 
 @register("e1_out_of_order", query("select learner_id, source_row, out_of_order from ordered_v"))
 def out_of_order(spark, sf):
-    return prepare.sequence_responses(prepare.parse_responses(V.raw_responses(spark, sf))).select(
+    return V.sequenced(spark, sf).select(
         "learner_id", "source_row", "out_of_order"
     )
 
 
 @register("e2_repeated_events", query("select learner_id, source_row, is_repeat from ordered_v"))
 def repeated_events(spark, sf):
-    return prepare.sequence_responses(prepare.parse_responses(V.raw_responses(spark, sf))).select(
+    return V.sequenced(spark, sf).select(
         "learner_id", "source_row", "is_repeat"
     )
 
 
 @register("e3_sequence_index", query("select learner_id, source_row, sequence_index from ordered_v"))
 def sequence_index(spark, sf):
-    return prepare.sequence_responses(prepare.parse_responses(V.raw_responses(spark, sf))).select(
+    return V.sequenced(spark, sf).select(
         "learner_id", "source_row", "sequence_index"
     )
 
@@ -298,7 +298,7 @@ def days_and_bytes(spark, sf):
 
 @register("h15_practice_day", query("select learner_id, sequence_index, round(sequence_index // 10 + (sequence_index % 10) * 1.5 / 1440, 9) as practice_day from ordered_v"))
 def practice_day(spark, sf):
-    ordered = prepare.sequence_responses(prepare.parse_responses(V.raw_responses(spark, sf)))
+    ordered = V.sequenced(spark, sf)
     return ordered.select("learner_id", "sequence_index", R(N.practice_day(F.col("sequence_index"), 10, 1.5)).alias("practice_day"))
 
 

@@ -11,8 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators import prepare, reference
-from tracewell.operators.skew import materialise, prefix
+from tracewell.operators import bayes, bkt, experiments, prepare, reference
+from tracewell.operators.skew import hot_groups, materialise, prefix, task_rows
 
 EXTREME_ELAPSED_MS = 300_000
 DEPLOYED_MS = 1_704_500_000_000
@@ -37,6 +37,22 @@ def event_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def hot_learners(spark: SparkSession, sf: str) -> tuple[list, int]:
+    """Learners too large for one task. The row count of ``events`` comes from file footers;
+    the log has at most two rows per event, so small tables need no further pass."""
+    events = event_rows(spark, sf)
+    rows, limit = task_rows(events)
+    if 2 * rows <= limit:
+        return [], limit
+    return hot_groups(events.select("learner_id"), ["learner_id"])
+
+
+def hot_pairs(spark: SparkSession, sf: str) -> tuple[list, int] | None:
+    """No (learner, skill) pair can be hot when no learner is; otherwise not yet known."""
+    hot = hot_learners(spark, sf)
+    return None if hot[0] else hot
+
+
 def raw_questions(spark: SparkSession, sf: str) -> DataFrame:
     """Question metadata as strings, one per distinct key below 99."""
     k = F.col("k")
@@ -64,7 +80,8 @@ def raw_responses(spark: SparkSession, sf: str) -> DataFrame:
     rows = e.withColumn("dup", F.explode(copies))
     shifted = F.col("ts_ms") + F.when(F.col("event_id") % 41 == 0, 259_200_000).otherwise(0)
     placed = prefix(
-        rows.withColumn("file_ms", shifted), ["learner_id"], ["file_ms", "event_id", "dup"], count="__position"
+        rows.withColumn("file_ms", shifted), ["learner_id"], ["file_ms", "event_id", "dup"], count="__position",
+        hot=hot_learners(spark, sf),
     )
     k, event = F.col("k"), F.col("event_id")
     letter = lambda n: F.substring(F.lit("abcd"), 1 + n % 4, 1)
@@ -87,20 +104,25 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:
-    return prepare.interactions(raw_responses(spark, sf), questions(spark, sf), EXTREME_ELAPSED_MS)
+    raw, known = raw_responses(spark, sf), questions(spark, sf)
+    return prepare.interactions(raw, known, EXTREME_ELAPSED_MS, hot=hot_learners(spark, sf))
+
+
+def sequenced(spark: SparkSession, sf: str) -> DataFrame:
+    return prepare.sequence_responses(prepare.parse_responses(raw_responses(spark, sf)), hot_learners(spark, sf))
 
 
 def usable(spark: SparkSession, sf: str) -> DataFrame:
     return reference.usable(cleaned(spark, sf))
 
 
-def as_sequences(rows: DataFrame) -> DataFrame:
+def as_sequences(rows: DataFrame, hot: tuple[list, int] | None) -> DataFrame:
     """Usable events with position and gap per (learner, skill)."""
-    return reference.event_sequences(rows.withColumnRenamed("primary_skill_id", "skill_id"))
+    return reference.event_sequences(rows.withColumnRenamed("primary_skill_id", "skill_id"), hot)
 
 
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
-    return as_sequences(usable(spark, sf))
+    return as_sequences(usable(spark, sf), hot_pairs(spark, sf))
 
 
 def groups(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,6 +135,7 @@ class Build:
 
     def __init__(self, spark: SparkSession, sf: str):
         self.usable = materialise(usable(spark, sf))
+        self.hot_pairs = hot_pairs(spark, sf)
         self.questions = questions(spark, sf)
 
     @cached_property
@@ -122,7 +145,7 @@ class Build:
 
     @cached_property
     def sequences(self) -> DataFrame:
-        return materialise(as_sequences(self.usable))
+        return materialise(as_sequences(self.usable, self.hot_pairs))
 
     @cached_property
     def groups(self) -> DataFrame:
@@ -185,3 +208,75 @@ def learner_outcomes(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("l_discount") * 10).alias("delayed_observed"),
         F.col("l_tax").alias("practice_accuracy"),
     )
+
+
+def fits(spark: SparkSession, sf: str) -> DataFrame:
+    """A model-fit table: one BKT-F row per brand, parameters and errors from its sales."""
+    sold = table(spark, sf, "lineitem").join(
+        table(spark, sf, "part").select(
+            F.col("p_partkey").alias("l_partkey"), F.substring_index("p_brand", "#", -1).cast("int").alias("skill_id")
+        ),
+        "l_partkey",
+    )
+    s = F.col("skill_id")
+    per_skill = sold.groupBy("skill_id").agg(
+        F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"),
+        (F.stddev_samp(F.col("l_quantity") / 50) / F.sqrt(F.count(F.lit(1)))).alias("e"),
+    )
+    return per_skill.select(
+        "skill_id",
+        F.lit("BKT-F").alias("model"),
+        (F.lit(0.15) + s * 0.02 + F.col("q") / 500).alias("p_init"),
+        (F.lit(0.02) + s * 0.004 + F.col("d") / 5).alias("p_learn"),
+        (F.lit(0.10) + s * 0.006 + F.col("t") / 4).alias("slip"),
+        (F.lit(0.25) + s * 0.01 + F.col("q") / 1000).alias("guess"),
+        (F.lit(0.0005) + s * 0.00004 + F.col("d") / 200).alias("lambda_per_day"),
+        F.col("e").alias("se_p_init_approx"),
+        (F.col("e") / 5).alias("se_p_learn_approx"),
+        (F.col("e") / 2).alias("se_slip_approx"),
+        (F.col("e") / 2).alias("se_guess_approx"),
+        (F.col("e") / 500).alias("se_lambda_per_day_approx"),
+    )
+
+
+def bank_skills(spark: SparkSession, sf: str) -> DataFrame:
+    skills = bank(spark, sf).select("skill_id").distinct()
+    return skills.select("skill_id", F.lit(0.2).alias("guess"), F.lit(0.3).alias("slip"))
+
+
+def effects(spark: SparkSession, sf: str) -> DataFrame:
+    """Item effects of the bank, written once for the passes over them."""
+    return materialise(bayes.item_effects(materialise(bank(spark, sf)), bank_skills(spark, sf)))
+
+
+def cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Order-replicate metrics of the experiment table."""
+    metrics = ["initial_latent", "delayed_latent", "delayed_observed", "delayed_expected", "practice_accuracy"]
+    return materialise(experiments.aggregate_learners(learner_outcomes(spark, sf), metrics))
+
+
+def beliefs(spark: SparkSession, sf: str) -> DataFrame:
+    """Filtered belief, last practice and count per learner and skill."""
+    seq = materialise(sequences(spark, sf))
+    keys = ["learner_id", "skill_id"]
+    models = seq.select("skill_id").distinct().select(
+        "skill_id", F.lit("BKT-F").alias("model"), F.lit(0.3).alias("p_init"), F.lit(0.1).alias("p_learn"),
+        F.lit(0.1).alias("slip"), F.lit(0.2).alias("guess"), F.lit(0.02).alias("lambda_per_day"),
+    )
+    states = bkt.final_states(bkt.filter_sequences(bkt.sequence_pieces(seq, keys), models, keys), keys)
+    last = seq.groupBy(*keys).agg(F.max("timestamp_ms").alias("last_practised_ms"))
+    return states.join(last, keys).select(
+        *keys, F.col("state").alias("belief"), "last_practised_ms", F.col("events").alias("practice_count"),
+        F.lit(0.02).alias("lambda_per_day"),
+    )
+
+
+NOW_MS = 1_735_689_600_000
+
+
+def item_bins(spark: SparkSession, sf: str) -> DataFrame:
+    """Nine bins per skill of the response log, shifts -1 to 1 plus a small skill offset."""
+    skills = questions(spark, sf).where(F.col("skill_count") == 1).select(F.col("primary_skill_id").alias("skill_id")).distinct()
+    rows = skills.withColumn("item_bin", F.explode(F.sequence(F.lit(0), F.lit(8))))
+    shift = (F.col("item_bin") - 4) / 4.0 + F.col("skill_id") * 0.01
+    return rows.select("skill_id", "item_bin", shift.alias("shift"), F.lit(0.2).alias("guess"), F.lit(0.1).alias("slip"))
