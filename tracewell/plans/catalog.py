@@ -2,6 +2,7 @@
 
 from tracewell.plans import (  # noqa: F401
     bayes_queries,
+    contract_queries,
     experiment_queries,
     model_queries,
     prepare_queries,

@@ -35,8 +35,8 @@ SQL_VIEWS = {
 select learner_id, skill_id, arg_max(state, i) as belief, count(*) as practice_count, max(timestamp_ms) as last_practised_ms
 from rec_v join (select learner_id, skill_id, within_skill_index as i, timestamp_ms from seq_v) using (learner_id, skill_id, i) where model = 'BKT-F' group by 1, 2""",
     "aged_v": "select * replace (belief * exp(-0.02 * (1735689600000 - last_practised_ms) / 86400000.0) as belief), (1735689600000 - last_practised_ms) / 86400000.0 as idle_days from belief_v",
-    "bin_v": f"select skill_id, item_bin, shift, {_ONE[0]} as p0, {_ONE[1]} as p1, {_LO[0]} as p0_lo, {_LO[1]} as p1_lo, {_HI[0]} as p0_hi, {_HI[1]} as p1_hi from (select k as skill_id, b::integer as item_bin, (b - 4) / 4.0::double + k * 0.01::double as shift from range(5) k(k), range(9) b(b))",
-    "pred_v": "select a.*, b.* exclude (skill_id), round(p0 + belief * (p1 - p0), 12) as predicted from aged_v a join bin_v b using (skill_id)",
+    "bin_v": f"select skill_id, item_bin, shift, {_ONE[0]} as p0, {_ONE[1]} as p1, {_LO[0]} as p0_lo, {_LO[1]} as p1_lo, {_HI[0]} as p0_hi, {_HI[1]} as p1_hi from (select k::integer as skill_id, b::integer as item_bin, (b - 4) / 4.0::double + k * 0.01::double as shift from range(5) k(k), range(9) b(b))",
+    "pred_v": "select a.*, b.* exclude (skill_id), p0 + belief * (p1 - p0) as predicted from aged_v a join bin_v b using (skill_id)",
     "mi_v": f"select learner_id, skill_id, item_bin, {info_sql('p0', 'p1')} as information, least({info_sql('p0_lo', 'p1_lo')}, {info_sql('p0_hi', 'p1_hi')}) as robust from pred_v",
     "target_v": "select learner_id, skill_id, belief, idle_days, practice_count, arg_min(item_bin, (abs(predicted - 0.7), item_bin)) as item_bin, min(abs(predicted - 0.7)) as distance from pred_v group by all",
 }
