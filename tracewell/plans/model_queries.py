@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tracewell.functions import bins as B
-from tracewell.operators import bkt, metrics, reference
+from tracewell.functions.hashing import learner_split
+from tracewell.operators import bkt, fit, metrics, reference
 from tracewell.operators.skew import lookup_join, materialise
 from tracewell.plans import views as V
 from tracewell.plans.prepare_queries import _RIGHT, R
@@ -192,3 +194,77 @@ def gap_bin_metrics(spark, sf):
 @register("i12_model_evaluation", rquery(f"select {ALL_BY}, n_sequences, n_events, {', '.join(f'round({n}, 6) as {n}' for n in FLOATS[:-2])}, {LINE_SQL} from ev_metrics_v", **EVAL))
 def model_evaluation(spark, sf):
     return determined_line(metrics.evaluate_models(labelled(spark, sf)))
+
+
+QUERY_FIT = fit.FitConfig(starts_bkt=2, starts_bktf=2, max_steps=12, polish_steps=2)
+
+
+class Fitted:
+    """Fits on the training learners and metrics of the fitted models on all splits."""
+
+    def __init__(self, spark, sf):
+        self.sequences = materialise(V.sequences(spark, sf))
+        split = B.label(learner_split(F.col("learner_id")), B.SPLITS)
+        train = self.sequences.where(split == "train")
+        self.fits = fit.fit_models(bkt.sequence_pieces(train, KEYS), QUERY_FIT)
+
+    def metrics(self):
+        scored = bkt.filter_sequences(bkt.sequence_pieces(self.sequences, KEYS), self.fits.select("skill_id", "model", *bkt.MODEL_COLUMNS), KEYS)
+        split = B.label(learner_split(F.col("learner_id")), B.SPLITS)
+        length = scored.groupBy(*KEYS).agg((F.max("within_skill_index") + 1).alias("n"))
+        classes = length.select(*KEYS, B.label(reference.class_code(F.col("n")), B.CLASSES).alias("sample_class"))
+        stored = materialise(lookup_join(scored.withColumn("split", split), materialise(classes), KEYS, "inner"))
+        return materialise(metrics.evaluate_models(stored))
+
+
+@register("i2_bkt_loglik", rquery("select skill_id, case model when 'BKT' then 0 else 1 end::integer as candidate, round(-sum(case when y = 1 then ln(prediction) else ln(1 - prediction) end), 6) as nll from rec_v group by 1, 2"))
+def bkt_loglik(spark, sf):
+    sequences = materialise(V.sequences(spark, sf))
+    training = fit.Training.of(bkt.sequence_pieces(sequences, KEYS))
+    points = np.array([[0.3, 0.1, 0.1, 0.2, 0.0], [0.3, 0.1, 0.1, 0.2, 0.02]])
+    skills = [r.skill_id for r in sequences.select("skill_id").distinct().toLocalIterator()]
+    sums = fit.likelihood(training, {s: points for s in skills})
+    return sums.select("skill_id", "candidate", R("nll", 6).alias("nll"))
+
+
+@register("i3_fitted_models")
+def fitted_models(spark, sf):
+    return Fitted(spark, sf).fits
+
+
+@register("i13_model_selection")
+def model_selection(spark, sf):
+    fitted = Fitted(spark, sf)
+    return metrics.model_selection(fitted.metrics(), fitted.fits)
+
+
+@register("i14_model_difference", rquery("""select 'micro_weighted_' || m as metric, max(case when model = 'BKT' then v end) as "BKT", max(case when model = 'BKT-F' then v end) as "BKT_F",
+ max(case when model = 'BKT-F' then v end) - max(case when model = 'BKT' then v end) as "BKT_F_minus_BKT" from (
+ select model, m, sum(v * n_events) / sum(case when v is not null then n_events end) as v from (select model, n_events, unnest(['log_loss','auc','brier']) as m, unnest([log_loss, auc, brier]) as v from ev_metrics_v where split = 'test' and sample_class = 'all') group by 1, 2) group by 1""".replace("max(case when model = 'BKT-F' then v end) - max(case when model = 'BKT' then v end) as", "round(max(case when model = 'BKT-F' then v end) - max(case when model = 'BKT' then v end), 7) as").replace("max(case when model = 'BKT' then v end) as", "round(max(case when model = 'BKT' then v end), 7) as").replace("max(case when model = 'BKT-F' then v end) as", "round(max(case when model = 'BKT-F' then v end), 7) as"), **EVAL))
+def model_difference(spark, sf):
+    evaluated = materialise(metrics.evaluate_models(labelled(spark, sf)))
+    return rounded(metrics.model_difference(metrics.aggregate_metrics(evaluated)), digits=7)
+
+
+@register("i15_preferred_parameters")
+def preferred_parameters(spark, sf):
+    fitted = Fitted(spark, sf)
+    fits = materialise(fitted.fits)
+    return metrics.preferred_parameters(fits, metrics.model_selection(fitted.metrics(), fits))
+
+
+_AGG = [m for m in metrics.METRICS if not m.startswith("calibration")]
+
+
+@register("d11_macro_micro_metrics", rquery("select model, split, sample_class, count(*) as n_skills, sum(n_events)::bigint as n_events, " + ", ".join(
+    f"round(avg({m}), 6) as macro_{m}, round(sum({m} * n_events) / sum(case when {m} is not null then n_events end), 6) as micro_weighted_{m}" for m in _AGG) + " from ev_metrics_v group by 1, 2, 3", **EVAL))
+def macro_micro_metrics(spark, sf):
+    out = metrics.aggregate_metrics(metrics.evaluate_models(labelled(spark, sf)))
+    return rounded(out.drop(*[c for c in out.columns if "calibration" in c]))
+
+
+@register("d12_gap_bin_summary", rquery("select model, gap_bin, sum(n_events)::bigint as n_events, " + ", ".join(
+    f"round(sum({v} * n_events) / sum(n_events), 6) as {m}_weighted" for m, v in (("event_rate", "event_rate"), ("mean_prediction", "mean_prediction"), ("log_loss", "log_loss"), ("brier", "brier"), ("auc", "coalesce(auc, 0.5)"))) + " from gp_metrics_v where split = 'test' group by 1, 2", **GAP))
+def gap_bin_summary(spark, sf):
+    by_gap = metrics.gap_bin_metrics(labelled(spark, sf).where(F.col("split") == "test"), ["skill_id", "model", "split"])
+    return rounded(metrics.gap_bin_summary(by_gap))
