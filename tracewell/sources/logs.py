@@ -117,10 +117,16 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Name, learner id and size of every CSV file; the content is not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").load(path).select("path", "length")
-    name = F.substring_index("path", "/", -1)
-    return files.select(name.alias("source_file"), file_learner_id(name).alias("learner_id"), F.col("length").alias("bytes"))
+    """Name, learner id and size of every CSV file; the content is not read.
+
+    Scans skip empty files, so those are added from the name list of Spark's own file index,
+    which the driver already holds."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").load(path)
+    name = F.substring_index("path", "/", -1).alias("source_file")
+    sized = files.select(name, F.col("length").alias("bytes"))
+    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string").select(name)
+    empty = listed.join(sized, "source_file", "left_anti").select("source_file", F.lit(0).cast("long").alias("bytes"))
+    return sized.unionByName(empty).withColumn("learner_id", file_learner_id(F.col("source_file")))
 
 
 def inventory_report(inventory: DataFrame) -> DataFrame:
