@@ -350,7 +350,7 @@ def bootstrap_quantile(values: DataFrame, by: Sequence[str], value: str, q: floa
     tagged = keyed.withColumn("__t", F.monotonically_increasing_id())
     numbered = materialise(prefix(materialise(tagged), by, ["__v", "__t"], count="__i", totals={"__n": F.lit(1)}))
     draws = numbered.where(F.col("__n") >= 2).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u = keyed_uniform(seed, 0, F.col("__i"), 0, F.col("__b"), F.abs(F.xxhash64(*by)) % 1_000_003)
+    u = keyed_uniform(seed, 0, "__i", 0, "__b", f"abs(xxhash64({', '.join(by)}) % 1000003)")
     picked = draws.select(*by, "__b", F.least(F.floor(u * F.col("__n")), F.col("__n") - 1).alias("__i"))
     fetched = picked.join(numbered.select(*by, "__i", "__v"), [*by, "__i"])
     each = exact_quantiles(fetched, [*by, "__b"], "__v", (q,)).select(*by, F.get("quantiles", F.lit(0)).alias("__q"))

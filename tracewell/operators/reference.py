@@ -137,7 +137,7 @@ def pair_groups(sequences: DataFrame) -> DataFrame:
         F.count(gap).alias("positive_gap_count"),
         F.coalesce(F.max(gap), F.lit(0).cast("long")).alias("max_positive_gap_ms"),
     )
-    return groups.withColumn("split_code", H.learner_split(F.col("learner_id")))
+    return groups.withColumn("split_code", H.learner_split("learner_id"))
 
 
 def skill_statistics(groups: DataFrame) -> DataFrame:
@@ -297,7 +297,7 @@ def select_pairs(groups: DataFrame, skills: DataFrame, config: BuildConfig) -> D
     """Per (skill, split, class) the quota of pairs with the lowest hash priority."""
     chosen = groups.join(F.broadcast(skills.select("skill_id")), "skill_id", "left_semi")
     coded = chosen.withColumn("class_code", class_code(F.col("event_count")))
-    priority = H.sample_priority(F.col("learner_id"), F.col("skill_id"), F.col("class_code"))
+    priority = H.sample_priority("learner_id", "skill_id", "class_code")
     hashed = coded.withColumn("__order", H.unsigned_order(priority))
     order = [F.col("__order"), F.col("learner_id")]
     limit = quota(F.col("split_code"), F.col("class_code"), config)
@@ -315,7 +315,7 @@ def select_pairs(groups: DataFrame, skills: DataFrame, config: BuildConfig) -> D
 def gap_sample(sequences: DataFrame, shard: Column | None, config: BuildConfig) -> DataFrame:
     """Hash sample of positive gaps per skill. With ``shard`` the sample is first capped per
     (shard, skill), as the published sample was; without it the sample ignores file layout."""
-    priority = H.gap_priority(F.col("learner_id"), F.col("skill_id"), F.col("timestamp_ms"))
+    priority = H.gap_priority("learner_id", "skill_id", "timestamp_ms")
     gaps = positive_gaps(sequences).withColumn("__order", H.unsigned_order(priority))
     order = [F.col(c) for c in ("__order", "learner_id", "timestamp_ms", "gap_ms")]
     if shard is not None and config.gap_sample_per_shard_skill is not None:
@@ -378,7 +378,7 @@ def reference_interactions(sequences: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def split_counts(learners: DataFrame) -> DataFrame:
     """Learners per split and overall (split ``all``)."""
-    code = H.learner_split(F.col("learner_id"))
+    code = H.learner_split("learner_id")
     named = learners.select("learner_id").distinct().withColumn("split", B.label(code, B.SPLITS))
     totals = named.rollup("split").agg(
         F.count(F.lit(1)).alias("learners"),

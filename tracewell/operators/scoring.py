@@ -195,6 +195,6 @@ def sampled_scores(scored: DataFrame, n_bins: int, seed: int, stream: int, count
     p = clip(predicted_success(F.col("belief"), F.col("__e.p0"), F.col("__e.p1")), EPS, 1.0 - EPS)
     u = F.lit(None).cast("double")
     for pos, b in enumerate(representative_bins(n_bins, count)):
-        drawn = keyed_uniform(seed, stream + pos, F.col("learner_id"), 20000, F.col("skill_id"), F.lit(b))
+        drawn = keyed_uniform(seed, stream + pos, "learner_id", 20000, "skill_id", str(b))
         u = F.when(F.col("__k.pos") == pos, drawn).otherwise(u)
     return items.groupBy("learner_id").agg(F.avg((u < p).cast("double")).alias("observed_score"))

@@ -20,7 +20,7 @@ def zero(*names: str) -> str:
 
 
 def _splits(rows):
-    return rows.select("learner_id").distinct().withColumn("split", B.label(learner_split(F.col("learner_id")), B.SPLITS))
+    return rows.select("learner_id").distinct().withColumn("split", B.label(learner_split("learner_id"), B.SPLITS))
 
 
 class Bundle:

@@ -204,13 +204,13 @@ class Fitted:
 
     def __init__(self, spark, sf):
         self.sequences = materialise(V.sequences(spark, sf))
-        split = B.label(learner_split(F.col("learner_id")), B.SPLITS)
+        split = B.label(learner_split("learner_id"), B.SPLITS)
         train = self.sequences.where(split == "train")
         self.fits = fit.fit_models(bkt.sequence_pieces(train, KEYS), QUERY_FIT)
 
     def metrics(self):
         scored = bkt.filter_sequences(bkt.sequence_pieces(self.sequences, KEYS), self.fits.select("skill_id", "model", *bkt.MODEL_COLUMNS), KEYS)
-        split = B.label(learner_split(F.col("learner_id")), B.SPLITS)
+        split = B.label(learner_split("learner_id"), B.SPLITS)
         length = scored.groupBy(*KEYS).agg((F.max("within_skill_index") + 1).alias("n"))
         classes = length.select(*KEYS, B.label(reference.class_code(F.col("n")), B.CLASSES).alias("sample_class"))
         stored = materialise(lookup_join(scored.withColumn("split", split), materialise(classes), KEYS, "inner"))

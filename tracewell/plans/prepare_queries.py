@@ -177,29 +177,29 @@ def sequence_index(spark, sf):
 
 @register("f1_avalanche_hash", query("select event_id, h::decimal(20,0) as h from event_hash_v", **hash_steps("events", "event_id::UBIGINT", "event_hash_v", "eh")))
 def avalanche_hash(spark, sf):
-    hashed = V.table(spark, sf, "events").select("event_id", H.splitmix64(F.col("event_id")).alias("h"))
+    hashed = V.table(spark, sf, "events").select("event_id", H.splitmix64("event_id").alias("h"))
     return hashed.withColumn("h", H.unsigned_decimal(F.col("h")))
 
 
 @register("f2_learner_split", query("select distinct learner_id, split_code from groups_v"))
 def learner_split(spark, sf):
     learners = V.sequences(spark, sf).select("learner_id").distinct()
-    return learners.withColumn("split_code", H.learner_split(F.col("learner_id")))
+    return learners.withColumn("split_code", H.learner_split("learner_id"))
 
 
 @register("f3_pair_priority", query("select learner_id, skill_id, h::decimal(20,0) as priority from all_prio_v", **hash_steps(
     "groups_v", "xor(xor(learner_id::UBIGINT, skill_id::UBIGINT << 32), xor((case when event_count >= 3 then 1 else 0 end)::UBIGINT << 60, 7822362180758744021::UBIGINT))", "all_prio_v", "ap")))
 def pair_priority(spark, sf):
-    code = reference.class_code(F.col("event_count"))
-    priority = H.sample_priority(F.col("learner_id"), F.col("skill_id"), code)
-    hashed = V.groups(spark, sf).select("learner_id", "skill_id", priority.alias("priority"))
+    coded = V.groups(spark, sf).withColumn("class_code", reference.class_code(F.col("event_count")))
+    priority = H.sample_priority("learner_id", "skill_id", "class_code")
+    hashed = coded.select("learner_id", "skill_id", priority.alias("priority"))
     return hashed.withColumn("priority", H.unsigned_decimal(F.col("priority")))
 
 
 @register("f4_gap_priority", query("select learner_id, skill_id, within_skill_index, h::decimal(20,0) as priority from gap_prio_v"))
 def gap_priority(spark, sf):
     gaps = reference.positive_gaps(V.sequences(spark, sf))
-    priority = H.gap_priority(F.col("learner_id"), F.col("skill_id"), F.col("timestamp_ms"))
+    priority = H.gap_priority("learner_id", "skill_id", "timestamp_ms")
     hashed = gaps.select("learner_id", "skill_id", "within_skill_index", priority.alias("priority"))
     return hashed.withColumn("priority", H.unsigned_decimal(F.col("priority")))
 
@@ -215,7 +215,7 @@ KEYED = {
 @register("f10_keyed_uniform", query("select l_orderkey, l_linenumber, l_suppkey, (xor(z, z >> 31) >> 11)::double / 9007199254740992.0 as u from ku_2", **KEYED))
 def keyed_uniform(spark, sf):
     lines = V.table(spark, sf, "lineitem")
-    u = H.keyed_uniform(7, 5, F.col("l_orderkey"), 3, F.col("l_linenumber"), F.col("l_suppkey"))
+    u = H.keyed_uniform(7, 5, "l_orderkey", 3, "l_linenumber", "l_suppkey")
     return lines.select("l_orderkey", "l_linenumber", "l_suppkey", u.alias("u"))
 
 

@@ -179,7 +179,7 @@ def union_of_parts(spark, sf):
     """Per-split parts united again give the same totals as the whole."""
     from tracewell.functions.hashing import learner_split
 
-    coded = V.sequences(spark, sf).withColumn("split_code", learner_split(F.col("learner_id")))
+    coded = V.sequences(spark, sf).withColumn("split_code", learner_split("learner_id"))
     parts = [coded.where(F.col("split_code") == i).drop("split_code") for i in range(3)]
     united = parts[0].unionByName(parts[1]).unionByName(parts[2])
     pairs = united.groupBy("skill_id", "learner_id").agg(F.count(F.lit(1)).alias("n"))
