@@ -27,9 +27,16 @@ NO_TAGS = ("", "-1", "nan", "None", "null")
 DAY_MS = 86_400_000.0
 
 
+# Every character that counts as white space when stripping.
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def trimmed(c: Column) -> Column:
     """Strip every kind of white space at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -37,9 +44,12 @@ def blank_to_null(c: Column) -> Column:
 
 
 def parse_int(c: Column) -> Column:
-    """Signed decimal integer with optional ``_`` between digits; anything else is null."""
-    matches = c.rlike(r"^\s*[+-]?\d+(_\d+)*\s*$")
-    return F.when(matches, F.regexp_replace(c, r"[\s_]", "").try_cast("bigint"))
+    """Signed decimal integer with optional ``_`` between digits; anything else is null.
+
+    The regular expression runs only on text that has an underscore."""
+    text = trimmed(c)
+    grouped = F.when(text.rlike(r"^[+-]?\d+(_\d+)*$"), F.replace(text, F.lit("_"), F.lit("")).try_cast("bigint"))
+    return F.when(F.contains(text, F.lit("_")), grouped).otherwise(text.try_cast("bigint"))
 
 
 def normalize_answer(c: Column) -> Column:

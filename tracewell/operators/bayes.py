@@ -44,7 +44,7 @@ def transformed_parameters(fits: DataFrame) -> DataFrame:
     )
 
 
-def reml(values: DataFrame, group: str = "parameter", rounds: int = 14, points: int = 65) -> DataFrame:
+def reml(values: DataFrame, group: str = "parameter", rounds: int = 8, points: int = 65) -> DataFrame:
     """Restricted maximum likelihood of y ~ N(mu, se^2 + tau^2) for every group at once.
 
     Each round evaluates a log-spaced grid of tau^2 for all groups in one aggregation and

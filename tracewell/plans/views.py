@@ -100,7 +100,9 @@ def raw_responses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    return prepare.normalize_questions(raw_questions(spark, sf))
+    """Normalised question metadata. Stored, as the table would be in production: otherwise
+    filters on it are pushed through the distinct and parse the tags of every event."""
+    return materialise(prepare.normalize_questions(raw_questions(spark, sf)))
 
 
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:
