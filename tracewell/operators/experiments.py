@@ -5,7 +5,6 @@ Input rows carry ``world_model``, ``policy``, ``replicate``, ``order_id`` and me
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Mapping, Sequence
 
@@ -164,15 +163,15 @@ def rank_pairs(ranks: DataFrame) -> DataFrame:
 def rank_concordance(ranks: DataFrame) -> DataFrame:
     """Kendall's tau between the policy ranks of every two worlds (no ties), with the exact
     p-value up to 33 policies and the normal approximation beyond."""
-    pairs = materialise(rank_pairs(ranks))
-    other = pairs.select("world_1", "world_2", F.col("policy").alias("__p"), F.col("rank_1").alias("__r1"), F.col("rank_2").alias("__r2"))
-    both = pairs.join(other, ["world_1", "world_2"]).where(F.col("rank_1") < F.col("__r1"))
-    against = F.count_if(F.col("rank_2") > F.col("__r2")).alias("discordant")
-    sizes = pairs.groupBy("world_1", "world_2").agg(F.count(F.lit(1)).alias("n_policies"))
+    # One short array per world pair: the ranks in the second world, ordered by the first.
+    entries = F.array_sort(F.collect_list(F.struct("rank_1", "rank_2")))
+    lists = rank_pairs(ranks).groupBy("world_1", "world_2").agg(F.transform(entries, lambda e: e["rank_2"]).alias("r"))
+    after = lambda x, i: F.filter(F.slice("r", i + 2, F.size("r")), lambda y: y < x)
+    discordant = F.aggregate(F.transform("r", lambda x, i: F.size(after(x, i))), F.lit(0), lambda t, x: t + x)
+    n = F.col("n_policies")
     tau = materialise(
-        sizes.join(both.groupBy("world_1", "world_2").agg(against), ["world_1", "world_2"]).withColumn(
-            "kendall_tau", F.lit(1.0) - F.lit(4.0) * F.col("discordant") / (F.col("n_policies") * (F.col("n_policies") - 1))
-        )
+        lists.select("world_1", "world_2", F.size("r").cast("long").alias("n_policies"), discordant.cast("long").alias("discordant"))
+        .withColumn("kendall_tau", F.lit(1.0) - F.lit(4.0) * F.col("discordant") / (n * (n - 1)))
     )
 
     def p_value(n: int, d: int) -> float:
@@ -384,6 +383,3 @@ def design_table(first: DataFrame, second: DataFrame) -> DataFrame:
     """Stack the summaries of the two order designs under a ``design`` label."""
     return first.withColumn("design", F.lit("order_average")).unionByName(second.withColumn("design", F.lit("factorial")))
 
-
-def world_pairs(worlds: Sequence[str]) -> list[tuple[str, str]]:
-    return list(itertools.combinations(sorted(worlds), 2))
