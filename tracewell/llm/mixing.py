@@ -83,3 +83,25 @@ def mix(scratch: Scratch, docs: DataFrame, seed: int = 0) -> DataFrame:
         taken = sum((F.when(F.struct(*[c.alias(n) for c, n in zip(key(F.lit(t)), names)]) <= last, 1).otherwise(0) for t in range(REPEATS)), F.lit(0))
         taken = F.when((F.col("size") > 0) & (F.col("target") > 0), taken).otherwise(0)
     return rows.select("doc_id", "text_hash", "source", "size", "source_size", "target", taken.cast("int").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed(scratch: Scratch, docs: DataFrame, seed: int = 0) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, each as often as it takes them.
+
+    Rows that agree in doc_id, source and text are told apart by nothing, so together they
+    come as often as the mix takes them.
+    """
+    taken = mix(scratch, docs, seed).filter("copies > 0")
+    taken = taken.groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("__copies"))
+    taken = scratch.save(taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__text"), "__copies"), keep=True)
+    text = F.coalesce(F.xxhash64("text"), F.lit(0))
+    numbered = docs.withColumn("__hash", text)
+    same = numbered["doc_id"].eqNullSafe(taken["__id"]) & numbered["source"].eqNullSafe(taken["__source"]) & (numbered["__hash"] == taken["__text"])
+    joined = numbered.join(taken, same).dropDuplicates(["doc_id", "source", "__hash"]) if _repeated(docs) else numbered.join(taken, same)
+    return joined.withColumn("__turn", F.explode(F.expr("sequence(1, int(__copies))"))).select(*docs.columns)
+
+
+def _repeated(docs: DataFrame) -> bool:
+    """Whether a doc_id occurs twice."""
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return (one(ids.agg(F.max("n")))[0] or 0) > 1

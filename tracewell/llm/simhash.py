@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import Scratch, one, slices
@@ -247,9 +247,14 @@ def near_groups(scratch: Scratch, docs: DataFrame) -> DataFrame:
 def first_of_group(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """``docs`` without the near copies: of each group the row with the smallest doc_id stays.
 
-    Rows that repeat this doc_id stay too, as they are one document to the links. Documents
-    without a doc_id stay if no equal one has a doc_id.
+    Of rows that repeat this doc_id the one with the least text hash stays. Rows without a
+    doc_id all stay.
     """
     groups = near_groups(scratch, docs)
-    kept = scratch.save(groups.filter("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept["__id"]), "left_semi")
+    kept = groups.filter("doc_id is null or doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
+    kept = scratch.save(kept, keep=True)
+    columns = docs.columns
+    if (one(kept.filter("__id is not null").agg(F.max("__n")))[0] or 0) > 1:
+        order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(c) for c in ("text", *columns)]))
+        docs = docs.withColumn("__row", F.row_number().over(order)).filter("doc_id is null or __row = 1")
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept["__id"]), "left_semi").select(*columns)
