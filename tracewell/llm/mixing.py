@@ -92,13 +92,13 @@ def mixed(scratch: Scratch, docs: DataFrame, seed: int = 0) -> DataFrame:
     come as often as the mix takes them.
     """
     taken = mix(scratch, docs, seed).filter("copies > 0")
-    taken = taken.groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("__copies"))
-    taken = scratch.save(taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__text"), "__copies"), keep=True)
+    taken = taken.groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("__mix_copies"))
+    taken = scratch.save(taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__text"), "__mix_copies"), keep=True)
     text = F.coalesce(F.xxhash64("text"), F.lit(0))
-    numbered = docs.withColumn("__hash", text)
-    same = numbered["doc_id"].eqNullSafe(taken["__id"]) & numbered["source"].eqNullSafe(taken["__source"]) & (numbered["__hash"] == taken["__text"])
-    joined = numbered.join(taken, same).dropDuplicates(["doc_id", "source", "__hash"]) if _repeated(docs) else numbered.join(taken, same)
-    return joined.withColumn("__turn", F.explode(F.expr("sequence(1, int(__copies))"))).select(*docs.columns)
+    numbered = docs.withColumn("__mix_hash", text)
+    same = numbered["doc_id"].eqNullSafe(taken["__id"]) & numbered["source"].eqNullSafe(taken["__source"]) & (numbered["__mix_hash"] == taken["__text"])
+    joined = numbered.join(taken, same).dropDuplicates(["doc_id", "source", "__mix_hash"]) if _repeated(docs) else numbered.join(taken, same)
+    return joined.withColumn("__mix_turn", F.explode(F.expr("sequence(1, int(__mix_copies))"))).select(*docs.columns)
 
 
 def _repeated(docs: DataFrame) -> bool:

@@ -179,6 +179,8 @@ def lower_bound(counts: np.ndarray, capacity: int = CAPACITY) -> int:
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best-fit decreasing: (bin, offset) of each piece, and each bin's filled length."""
+    if lengths.max(initial=0) > capacity:
+        raise ValueError(f"a piece is longer than {capacity}")
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     fill: list[int] = []
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]  # by room left
