@@ -75,10 +75,8 @@ def test_gradient_matches_finite_differences():
 
     def nll(p):
         n = len(length)
-        slope = np.zeros((n, 5))
-        slope[:, 0] = 1
         full = [np.full(n, v) for v in p]
-        return R.forward_gradient(full[0], slope, first, length, days, y, *full[1:])
+        return R.adjoint(full[0], first, length, days, y, *full[1:])
 
     p = np.array([0.3, 0.15, 0.12, 0.22, 0.04])
     total, gradient = nll(p)[0].sum(), nll(p)[1].sum(axis=0)
@@ -87,6 +85,8 @@ def test_gradient_matches_finite_differences():
         h[i] = 1e-6
         slope = (nll(p + h)[0].sum() - nll(p - h)[0].sum()) / 2e-6
         assert slope == pytest.approx(gradient[i], abs=2e-5 * max(1, abs(total)))
+        ends = [R.adjoint(*[np.full(4, v) for v in q[:1]], first, length, days, y, *[np.full(4, v) for v in q[1:]], likelihood=False) for q in (p + h, p - h, p)]
+        assert (ends[0][0] - ends[1][0]) / 2e-6 == pytest.approx(ends[2][1][:, i], abs=1e-6)
 
 
 def test_likelihood_is_the_same_for_any_piece_size(spark, conf):

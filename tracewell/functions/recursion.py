@@ -24,59 +24,79 @@ def _steps(length: np.ndarray):
         yield t, n - int(np.searchsorted(ascending, t, side="right"))
 
 
-def forward(start, first, length, days, y, learn, slip, guess, rate):
-    """Predictions and states after each event (flat arrays) and log-likelihood per sequence."""
-    prediction, after = np.empty(len(y)), np.empty(len(y))
-    state, total = start.astype(float).copy(), np.zeros(len(start))
+def _chances(right, slip, guess):
+    """Probability of the observed answer with and without mastery."""
+    return np.abs(right - slip), np.abs(1.0 - right - guess)
+
+
+def _sweep(start, first, length, days, y, learn, slip, guess, rate):
+    """Mastery before every event (one array per step) and after the last one.
+
+    An answer moves the odds of mastery by the ratio of its two chances; learning then
+    closes a share of what is left to 1."""
+    mastery, state = [], start.astype(float).copy()
     for t, n in _steps(length):
         at = first[:n] + t
-        s, g, seen = slip[:n], guess[:n], y[at] > 0
-        held = state[:n] * np.exp(-rate[:n] * days[at])
-        p = np.clip(g + held * (1.0 - s - g), TINY, 1.0 - TINY)
-        know = np.where(seen, 1.0 - s, s) * held
-        other = np.where(seen, g, 1.0 - g) * (1.0 - held)
-        posterior = know / np.maximum(know + other, TINY)
-        state[:n] = learn[:n] + (1.0 - learn[:n]) * posterior
-        total[:n] += np.where(seen, np.log(p), np.log1p(-p))
-        prediction[at], after[at] = p, state[:n]
-    return prediction, after, state, total
-
-
-def forward_gradient(start, start_slope, first, length, days, y, learn, slip, guess, rate):
-    """Negative log-likelihood, its gradient, the final state and that state's gradient.
-
-    Gradients are with respect to PARAMETERS, by forward differentiation of the recursion.
-    ``start_slope`` (n, 5) is the gradient of the start state."""
-    state, slope = start.astype(float).copy(), start_slope.astype(float).copy()
-    nll, gradient = np.zeros(len(start)), np.zeros((len(start), 5))
-    for t, n in _steps(length):
+        before = state[:n] * np.exp(-rate[:n] * days[at])
+        with_, without = _chances(y[at] > 0, slip[:n], guess[:n])
+        observed = np.maximum(without + before * (with_ - without), TINY)
+        state[:n] = 1.0 - (1.0 - learn[:n]) * (1.0 - before * with_ / observed)
+        mastery.append(before)
+    return mastery, state
+
+
+def forward(start, first, length, days, y, learn, slip, guess, rate):
+    """Predictions and states after each event (flat arrays), last states and log-likelihoods."""
+    mastery, last = _sweep(start, first, length, days, y, learn, slip, guess, rate)
+    prediction, after, total = np.empty(len(y)), np.empty(len(y)), np.zeros(len(start))
+    for t, before in enumerate(mastery):
+        n = len(before)
+        at = first[:n] + t
+        right = y[at] > 0
+        p = np.clip(guess[:n] + before * (1.0 - slip[:n] - guess[:n]), TINY, 1.0 - TINY)
+        with_, without = _chances(right, slip[:n], guess[:n])
+        observed = np.maximum(without + before * (with_ - without), TINY)
+        prediction[at] = p
+        after[at] = 1.0 - (1.0 - learn[:n]) * (1.0 - before * with_ / observed)
+        total[:n] += np.log(np.where(right, p, 1.0 - p))
+    return prediction, after, last, total
+
+
+def adjoint(start, first, length, days, y, learn, slip, guess, rate, likelihood=True):
+    """Value and gradient of each sequence's negative log-likelihood, or of its end state.
+
+    Returns (value, gradient); the gradient's columns are the start state, then learn, slip,
+    guess and rate. One forward sweep keeps the mastery before each event. The sweep back
+    carries a single number per sequence: the derivative of the value with respect to the
+    state after the event (0 behind the last event for the likelihood, 1 for the end state).
+    """
+    mastery, last = _sweep(start, first, length, days, y, learn, slip, guess, rate)
+    value, gradient = np.zeros(len(start)), np.zeros((len(start), 5))
+    weight = np.zeros(len(start)) if likelihood else np.ones(len(start))
+    for t in range(len(mastery) - 1, -1, -1):
+        before = mastery[t]
+        n = len(before)
         at = first[:n] + t
-        s, g, l, d, seen = slip[:n], guess[:n], learn[:n], days[at], y[at] > 0
-        keep = np.exp(-rate[:n] * d)
-        held = state[:n] * keep
-        d_held = slope[:n] * keep[:, None]
-        d_held[:, 4] -= d * held
-        p = np.clip(g + held * (1.0 - s - g), TINY, 1.0 - TINY)
-        d_p = d_held * (1.0 - s - g)[:, None]
-        d_p[:, 2] -= held
-        d_p[:, 3] += 1.0 - held
-        nll[:n] -= np.where(seen, np.log(p), np.log1p(-p))
-        gradient[:n] -= d_p * np.where(seen, 1.0 / p, -1.0 / (1.0 - p))[:, None]
-        # Evidence of the answer: sign is +1 when right, -1 when wrong.
-        sign = np.where(seen, 1.0, -1.0)
-        know_rate, guess_rate = np.where(seen, 1.0 - s, s), np.where(seen, g, 1.0 - g)
-        evidence = np.maximum(held * know_rate + (1.0 - held) * guess_rate, TINY)
-        posterior = held * know_rate / evidence
-        d_know = d_held * know_rate[:, None]
-        d_know[:, 2] -= sign * held
-        d_evidence = d_held * (know_rate - guess_rate)[:, None]
-        d_evidence[:, 2] -= sign * held
-        d_evidence[:, 3] += sign * (1.0 - held)
-        d_post = (d_know - posterior[:, None] * d_evidence) / evidence[:, None]
-        state[:n] = l + (1.0 - l) * posterior
-        slope[:n] = (1.0 - l)[:, None] * d_post
-        slope[:n, 1] += 1.0 - posterior
-    return nll, gradient, state, slope
+        right = y[at] > 0
+        sign = np.where(right, 1.0, -1.0)
+        with_, without = _chances(right, slip[:n], guess[:n])
+        observed = np.maximum(without + before * (with_ - without), TINY)
+        loss = np.zeros(n)
+        if likelihood:
+            value[:n] -= np.log(np.minimum(observed, 1.0 - TINY))
+            loss = -1.0 / observed
+        # The state after the event reacts to mastery and to both chances by Bayes' rule.
+        moved = weight[:n] * (1.0 - learn[:n]) / observed**2
+        by_before = loss * (with_ - without) + moved * with_ * without
+        by_with = loss * before + moved * before * (1.0 - before) * without
+        by_without = loss * (1.0 - before) - moved * before * (1.0 - before) * with_
+        gradient[:n, 1] += weight[:n] * (1.0 - before * with_ / observed)
+        gradient[:n, 2] -= sign * by_with
+        gradient[:n, 3] += sign * by_without
+        gradient[:n, 4] -= days[at] * before * by_before
+        weight[:n] = by_before * np.exp(-rate[:n] * days[at])
+    gradient[:, 0] = weight
+    return (value if likelihood else last), gradient
 
 
 def chain(earlier: dict, later: dict) -> dict:

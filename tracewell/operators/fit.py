@@ -25,10 +25,8 @@ from tracewell.operators.bkt import _flat, is_long
 from tracewell.operators.skew import materialise
 
 NAMES = R.PARAMETERS
-# Starting points (p_init, p_learn, slip, guess, lambda_per_day). The first is
-# replaced by one whose p_init matches the rate of correct first responses.
+# Starting points (p_init, p_learn, slip, guess, lambda_per_day) after the first.
 STARTS = [
-    (0.10, 0.05, 0.05, 0.15, 0.001),
     (0.20, 0.10, 0.10, 0.20, 0.005),
     (0.35, 0.15, 0.10, 0.25, 0.010),
     (0.50, 0.20, 0.15, 0.20, 0.030),
@@ -41,6 +39,13 @@ STARTS = [
     (0.55, 0.25, 0.25, 0.20, 0.100),
     (0.05, 0.12, 0.08, 0.35, 0.400),
 ]
+# The first start (p_learn, slip, guess, lambda_per_day), and the range of its p_init.
+FIRST_START = (0.12, 0.10, 0.20, 0.03)
+FIRST_P_INIT = (0.03, 0.90)
+# Largest values of the four probabilities.
+CAPS = np.array([1.0, 1.0, MAX_EMISSION_ERROR, MAX_EMISSION_ERROR])
+# Event steps times candidates that one evaluation holds.
+TRACE = 4_000_000
 _TRIANGLE = [(i, j) for i in range(5) for j in range(i, 5)]
 _SUMS = ["nll", *[f"g{i}" for i in range(5)], *[f"h{i}{j}" for i, j in _TRIANGLE]]
 _LEVEL = 256
@@ -50,7 +55,7 @@ _LEVEL = 256
 class FitConfig:
     starts_bkt: int = 8
     starts_bktf: int = 12
-    max_steps: int = 60
+    max_steps: int = 350
     polish_steps: int = 6
     ftol: float = 1e-11
     gtol: float = 1e-6
@@ -61,17 +66,21 @@ class FitConfig:
 
 
 def to_natural(z: np.ndarray, forgetting: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Natural parameters and their derivatives with respect to the raw ones (rows of 5)."""
-    s = 1.0 / (1.0 + np.exp(-z[:, :4]))
-    cap = np.array([1.0, 1.0, MAX_EMISSION_ERROR, MAX_EMISSION_ERROR])
-    rate = np.where(forgetting, np.exp(z[:, 4]), 0.0)
-    return np.column_stack([cap * s, rate]), np.column_stack([cap * s * (1.0 - s), rate])
+    """Natural parameters and their derivatives with respect to the raw ones (rows of 5).
+
+    A probability runs from 0 to its cap as (1 + tanh(z / 2)) / 2; the rate is exp(z)."""
+    lean = np.tanh(z[:, :4] / 2.0)
+    natural, slope = np.zeros_like(z), np.zeros_like(z)
+    natural[:, :4], slope[:, :4] = CAPS * (1.0 + lean) / 2.0, CAPS * (1.0 - lean**2) / 4.0
+    natural[forgetting, 4] = slope[forgetting, 4] = np.exp(z[forgetting, 4])
+    return natural, slope
 
 
 def to_raw(natural: np.ndarray, config: FitConfig) -> np.ndarray:
-    cap = np.array([1.0, 1.0, MAX_EMISSION_ERROR, MAX_EMISSION_ERROR])
-    p = np.clip(natural[:4] / cap, 1e-8, 1.0 - 1e-8)
-    return np.append(np.log(p / (1.0 - p)), math.log(np.clip(natural[4], config.lambda_min, config.lambda_max)))
+    """The raw parameters of rows of natural ones."""
+    lean = 2.0 * np.clip(natural[:, :4] / CAPS, 1e-8, 1.0 - 1e-8) - 1.0
+    rate = np.clip(natural[:, 4:], config.lambda_min, config.lambda_max)
+    return np.hstack([2.0 * np.arctanh(lean), np.log(rate)])
 
 
 def _totals(skill: int, offset: int, nll: np.ndarray, gradient: np.ndarray) -> Iterator[tuple]:
@@ -90,7 +99,7 @@ def _blocks(skills: np.ndarray, candidates: dict[int, np.ndarray], length: np.nd
             continue
         rows = np.flatnonzero(skills == s)
         rows = rows[R.longest_first(length[rows])]
-        width = max(1, 60_000 // len(rows))
+        width = max(1, TRACE // max(1, int(length[rows].sum())))
         for at in range(0, len(points), width):
             yield int(s), at, points[at : at + width], rows
 
@@ -105,11 +114,7 @@ def _evaluate(batches: Iterator[pa.RecordBatch], candidates: dict[int, np.ndarra
         for skill, at, points, rows in _blocks(np.asarray(batch.column("skill_id")), candidates, length):
             n, m = len(rows), len(points)
             seq, p = np.repeat(rows, m), np.tile(points, (n, 1))
-            slope = np.zeros((n * m, 5))
-            slope[:, 0] = 1.0
-            nll, gradient, _, _ = R.forward_gradient(
-                p[:, 0], slope, first[seq], length[seq], days, y, p[:, 1], p[:, 2], p[:, 3], p[:, 4]
-            )
+            nll, gradient = R.adjoint(p[:, 0], first[seq], length[seq], days, y, *p[:, 1:].T)
             for row in _totals(skill, at, nll.reshape(n, m), gradient.reshape(n, m, 5)):
                 key = row[:2]
                 sums[key] = sums.get(key, 0.0) + np.array(row[2:])
@@ -141,9 +146,10 @@ def _evaluate_pieces(batches: Iterator[pa.RecordBatch], candidates: dict[int, np
             out = {c: np.asarray(batch.column(c))[seq] for c in ("learner_id", "skill_id", "piece")}
             out["candidate"] = np.tile(np.arange(at, at + m, dtype=np.int32), n)
             for s, start in enumerate((1.0, 0.0)):
-                nll, dn, end, de = R.forward_gradient(
-                    np.full(n * m, start), np.zeros((n * m, 5)), first[seq], length[seq], days, y, p[:, 1], p[:, 2], p[:, 3], p[:, 4]
-                )
+                inputs = (np.full(n * m, start), first[seq], length[seq], days, y, *p[:, 1:].T)
+                nll, dn = R.adjoint(*inputs)
+                end, de = R.adjoint(*inputs, likelihood=False)
+                dn[:, 0] = de[:, 0] = 0.0  # the start state of a piece is fixed here
                 out[f"nll{s}"], out[f"end{s}"] = nll, end
                 for i in range(5):
                     out[f"dn{s}_{i}"], out[f"de{s}_{i}"] = dn[:, i], de[:, i]
@@ -198,7 +204,9 @@ class Training:
 
     @classmethod
     def of(cls, pieces: DataFrame) -> Training:
-        stored = materialise(pieces.select("learner_id", F.col("skill_id").cast("int").alias("skill_id"), "piece", "events"))
+        columns = pieces.select("learner_id", F.col("skill_id").cast("int").alias("skill_id"), "piece", "events")
+        # In the order of skills, so that a step's filter on the live skills skips the others' row groups.
+        stored = materialise(columns.sortWithinPartitions("skill_id"))
         row = stored.agg(F.max("piece"), F.max(is_long(stored).cast("int"))).first()
         return cls(stored, row[0] or 0, bool(row[1]))
 
@@ -209,7 +217,7 @@ def likelihood(training: Training, candidates: dict[int, np.ndarray]) -> DataFra
     ``candidates`` maps a skill to rows of natural parameters; it travels with the tasks, so
     callers keep it to one block of skills."""
     schema = "skill_id int, candidate int, " + ", ".join(f"{c} double" for c in _SUMS)
-    pieces = training.pieces
+    pieces = training.pieces.where(F.col("skill_id").isin(sorted(candidates)))
     long = is_long(pieces)
     sums = pieces.where(~long).select("skill_id", "events").mapInArrow(lambda it: _evaluate(it, candidates), schema)
     if training.has_long:
@@ -245,7 +253,7 @@ class _Searches:
             candidates[int(s)] = natural[rows]
             where[int(s)] = rows
         nll, g, h = np.full(len(z), np.inf), np.zeros((len(z), 5)), np.zeros((len(z), 5, 5))
-        for r in likelihood(self.training, candidates).toLocalIterator():
+        for r in likelihood(self.training, candidates).collect():  # a row per trial point
             k = where[r["skill_id"]][r["candidate"]]
             nll[k] = r["nll"]
             g[k] = [r[f"g{i}"] for i in range(5)]
@@ -273,7 +281,7 @@ class _Searches:
         """Damped Gauss-Newton on every search until its improvement or gradient is small."""
         n = len(z)
         nll, g, h = self.evaluate(np.arange(n), z)
-        mu, done, taken = np.full(n, 1e-2), np.zeros(n, bool), np.zeros(n, int)
+        mu, done, good, taken = np.full(n, 1e-2), np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, int)
         for _ in range(self.config.max_steps):
             live = np.flatnonzero(~done)
             if not len(live):
@@ -284,7 +292,7 @@ class _Searches:
             t_nll, t_g, t_h = self.evaluate(owner, trial)
             for i, k in enumerate(live):
                 rows = slice(i * len(factors), (i + 1) * len(factors))
-                best = i * len(factors) + int(np.argmin(t_nll[rows]))
+                best = i * len(factors) + int(np.argmin(np.where(np.isfinite(t_nll[rows]), t_nll[rows], np.inf)))
                 gain = nll[k] - t_nll[best]
                 taken[k] += 1
                 if gain > 0:
@@ -293,24 +301,19 @@ class _Searches:
                 else:
                     mu[k] *= 1e3
                 small = np.max(np.abs(g[k][self.free(k, z[k], g[k])]), initial=0.0) < self.config.gtol
-                done[k] = small or mu[k] > 1e12 or 0 < gain <= self.config.ftol * max(1.0, abs(nll[k]))
-        return z, nll, g, taken, done
+                good[k] = small or 0 < gain <= self.config.ftol * max(1.0, abs(nll[k]))
+                done[k] = good[k] or mu[k] > 1e12  # beyond that the search is stuck, which is no success
+        return z, nll, g, taken, good
 
     def hessian(self, rows: np.ndarray, z: np.ndarray):
-        """Hessian of every row by central differences of the gradient: one job."""
-        step = 1e-4 * np.maximum(1.0, np.abs(z))
-        trial, owner = [], []
-        for k in range(len(z)):
-            for j in range(5):
-                for sign in (1.0, -1.0):
-                    point = z[k].copy()
-                    point[j] += sign * step[k, j]
-                    trial.append(point)
-                    owner.append(rows[k])
-        _, g, _ = self.evaluate(np.array(owner), np.array(trial))
-        g = g.reshape(len(z), 5, 2, 5)
-        h = (g[:, :, 0] - g[:, :, 1]) / (2.0 * step[:, :, None])
-        return 0.5 * (h + np.swapaxes(h, 1, 2))
+        """Hessian of every row from gradients on either side along each axis: one job."""
+        width = 1e-4 * np.maximum(1.0, np.abs(z))
+        shifts = width[:, :, None] * np.eye(5)
+        points = np.stack([z[:, None, :] + shifts, z[:, None, :] - shifts])
+        _, g, _ = self.evaluate(np.tile(np.repeat(rows, 5), 2), points.reshape(-1, 5))
+        above, below = g.reshape(2, len(z), 5, 5)
+        curve = (above - below) / (2.0 * width[:, :, None])
+        return (curve + curve.transpose(0, 2, 1)) / 2.0
 
     def polish(self, rows: np.ndarray, z: np.ndarray, nll: np.ndarray, g: np.ndarray):
         """Newton steps with the difference Hessian; returns it at the final point."""
@@ -334,21 +337,26 @@ class _Searches:
         return z, nll, g, h
 
 
-def _starting_points(skill: int, first_rate: float, forgetting: bool, config: FitConfig) -> list[np.ndarray]:
-    p_init = float(np.clip((first_rate - 0.20) / (1.0 - 0.10 - 0.20), 0.03, 0.90))
-    points = [(p_init, 0.12, 0.10, 0.20, 0.03), *STARTS[1:]]
-    count = config.starts_bktf if forgetting else config.starts_bkt
-    return [to_raw(np.array(p), config) for p in points[:count]]
+def _starting_points(first_rate: float, forgetting: bool, config: FitConfig) -> np.ndarray:
+    """Raw starting points: one that explains the rate of correct first answers, then STARTS."""
+    learn, slip, guess, rate = FIRST_START
+    explained = (first_rate - guess) / (1.0 - slip - guess)
+    first = (min(max(explained, FIRST_P_INIT[0]), FIRST_P_INIT[1]), learn, slip, guess, rate)
+    return to_raw(np.array([first, *STARTS])[: config.starts_bktf if forgetting else config.starts_bkt], config)
 
 
-def _errors(h: np.ndarray, chain: np.ndarray, k: int) -> tuple[list, str]:
-    sub = h[:k, :k]
-    if not np.all(np.isfinite(sub)):
+def _errors(h: np.ndarray, slope: np.ndarray, k: int) -> tuple[list, str]:
+    """Standard errors of the first k natural parameters: with H = L L', the covariance of
+    the raw ones is the square of L's inverse, and ``slope`` carries it over."""
+    information = h[:k, :k]
+    if not np.isfinite(information).all():
         return [None] * 5, "failed"
-    if not np.all(np.linalg.eigvalsh(sub) > 1e-8):
+    try:
+        np.linalg.cholesky(information - 1e-8 * np.eye(k))  # smallest eigenvalue above 1e-8
+        spread = np.linalg.solve(np.linalg.cholesky(information), np.diag(slope[:k]))
+    except np.linalg.LinAlgError:
         return [None] * 5, "not_positive_definite"
-    se = chain[:k] * np.sqrt(np.clip(np.diag(np.linalg.inv(sub)), 0.0, None))
-    return [float(x) for x in se] + [None] * (5 - k), "positive_definite"
+    return [*np.sqrt((spread**2).sum(axis=0)).tolist(), *[None] * (5 - k)], "positive_definite"
 
 
 FIT_SCHEMA = (
@@ -389,12 +397,15 @@ def _fit_block(training: Training, block: list, config: FitConfig) -> list[tuple
     skills, forgetting, z = [], [], []
     for r in block:
         for f in (False, True):
-            for point in _starting_points(r["skill_id"], r["first_rate"], f, config):
+            for point in _starting_points(r["first_rate"], f, config):
                 skills.append(r["skill_id"])
                 forgetting.append(f)
                 z.append(point)
     search = _Searches(training, np.array(skills), np.array(forgetting), config)
-    z, nll, g, taken, done = search.descend(np.array(z))
+    z, nll, g, taken, good = search.descend(np.array(z))
+    if not np.isfinite(nll).any():
+        raise FloatingPointError("no start has a finite likelihood")
+    nll = np.where(np.isfinite(nll), nll, np.inf)
     best = []
     for r in block:
         for f in (False, True):
@@ -412,7 +423,7 @@ def _fit_block(training: Training, block: list, config: FitConfig) -> list[tuple
         free = search.free(k, zb[i], gb[i])
         norm = float(np.max(np.abs(gb[i][free]), initial=0.0))
         fact = facts[int(search.skills[k])]
-        success = bool(done[k] or norm < 1e-3)
+        success = bool(good[k] or norm < 1e-3)
         rows.append(
             (int(search.skills[k]), "BKT-F" if f else "BKT", success, fact["events"], fact["sequences"], float(nb[i]), size,
              int(taken[k]), norm, status, *[float(x) for x in natural[i]], *se)
