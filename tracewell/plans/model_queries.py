@@ -196,7 +196,7 @@ def model_evaluation(spark, sf):
     return determined_line(metrics.evaluate_models(labelled(spark, sf)))
 
 
-QUERY_FIT = fit.FitConfig(starts_bkt=2, starts_bktf=2, max_steps=12, polish_steps=2)
+QUERY_FIT = fit.FitConfig()
 
 
 class Fitted:
