@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,27 +41,28 @@ class BuildConfig:
     gap_sample_final_per_skill: int = 100_000
 
 
+# Thresholds for small logs; the quotas and sample sizes stay those of the published build.
 SMALL_CONFIG = BuildConfig(
     reference_skill_count=3,
-    min_item_interactions=3,
     min_items_per_skill=5,
     min_unique_learners=10,
     min_repeat_learners=5,
     min_positive_gaps=10,
     min_item_accuracy_spread=0.0,
     min_skill_accuracy=0.05,
-    max_skill_accuracy=0.95,
     relaxed_min_unique_learners=5,
     relaxed_min_repeat_learners=3,
     relaxed_min_positive_gaps=5,
     relaxed_min_item_accuracy_spread=0.0,
-    repeat_train_quota=20,
-    repeat_calibration_quota=5,
-    repeat_test_quota=5,
-    cold_quota_per_split=2,
-    gap_sample_per_shard_skill=50,
-    gap_sample_final_per_skill=200,
 )
+# Of the mean rows of an item, what one needs at least under the small thresholds.
+SMALL_ITEM_SHARE = 0.9
+
+
+def small_config(counts: DataFrame) -> BuildConfig:
+    """The small thresholds, with an item threshold that follows the log's size."""
+    mean = counts.agg(F.avg("interaction_rows")).first()[0]
+    return replace(SMALL_CONFIG, min_item_interactions=int(SMALL_ITEM_SHARE * mean) if mean else 1)
 
 
 def usable(cleaned: DataFrame) -> DataFrame:
@@ -376,6 +377,16 @@ def reference_interactions(sequences: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def selected_items(items: DataFrame, skills: DataFrame) -> DataFrame:
+    """Candidate items of the selected skills."""
+    return items.join(F.broadcast(skills.select("skill_id")), "skill_id", "left_semi")
+
+
+def selected_questions(questions: DataFrame, items: DataFrame) -> DataFrame:
+    """Question metadata of the selected items, for the bundle."""
+    return lookup_join(questions, items.select("question_id"), ["question_id"], "left_semi")
+
+
 def split_counts(learners: DataFrame) -> DataFrame:
     """Learners per split and overall (split ``all``)."""
     code = H.learner_split("learner_id")

@@ -15,12 +15,33 @@ from tracewell.plans.sql import query
 from tracewell.sources import logs, tables
 
 
-def zero(*names: str) -> str:
-    return f"select unnest({list(names)}) as check, 0::bigint as violations"
-
-
-def _splits(rows):
-    return rows.select("learner_id").distinct().withColumn("split", B.label(learner_split("learner_id"), B.SPLITS))
+def both(*bodies: str) -> str:
+    """Checks in SQL over the reference rows ({t}) as built and with faults."""
+    inputs = {"as built": "refint_v", "broken": "broken_v"}
+    return query(" union all ".join(f"select '{name}' as input, * from ({body.format(t=t)})" for name, t in inputs.items() for body in bodies))
+
+
+def row_checks(table: str, conditions: dict[str, str]) -> list[str]:
+    """One body per check that counts the rows where the condition isn't true."""
+    return [f"select '{name}' as check, count(*) filter (where ({ok}) is not true)::bigint as violations from {table}" for name, ok in conditions.items()]
+
+
+def broken(rows):
+    """Reference rows with one fault of each kind, to see that the checks find them."""
+    c = F.col
+    at, learner, index = c("sequence_index"), c("learner_id"), c("within_skill_index")
+    kept = rows.where(~((learner % 5 == 0) & (index == 1)))
+    return kept.withColumns(
+        {
+            "skill_id": F.when(learner % 17 == 0, 99).otherwise(c("skill_id")),
+            "split": F.when((learner % 7 == 0) & (index == 1), "other").otherwise(c("split")),
+            "sample_class": F.when(learner % 19 != 0, c("sample_class")),
+            "gap_ms": F.when(at % 23 == 0, -1).when((learner % 3 == 0) & (index == 0), 5).otherwise(c("gap_ms")),
+            "question_id": F.when(at % 13 == 0, "q99").otherwise(c("question_id")),
+            "is_correct": F.when(at % 29 != 0, c("is_correct")),
+            "quality_flags": F.when(at % 31 == 0, c("quality_flags").bitwiseOR(F.lit(1))).otherwise(c("quality_flags")),
+        }
+    )
 
 
 class Bundle:
@@ -28,13 +49,26 @@ class Bundle:
         build = V.Build(spark, sf)
         self.build = build
         self.pairs = materialise(build.pairs)
-        self.reference = materialise(V.reference.reference_interactions(build.sequences, self.pairs))
+        self.splits = V.event_rows(spark, sf).select("learner_id").distinct().withColumn("split", B.label(learner_split("learner_id"), B.SPLITS))
+        kept = V.reference.selected_questions(build.sequences, build.selected_items)
+        self.reference = materialise(V.reference.reference_interactions(kept, self.pairs))
 
+    def check(self, check):
+        """The check on the reference rows as built and with faults."""
+        reports = [check(rows).select(F.lit(name).alias("input"), "*") for name, rows in (("as built", self.reference), ("broken", broken(self.reference)))]
+        return contracts.combined(reports)
 
-@register("a5_bundle_contracts", query("select (select count(*) from refint_v) as reference_rows, (select count(*) from pairs_v) as selected_pairs, (select sum(event_count)::bigint from pairs_v) as pair_events, (select count(distinct skill_id) from pairs_v) as selected_skills, (select count(distinct learner_id) filter (where split = 'train') from pairs_v) as train_learners, (select count(distinct learner_id) filter (where split = 'calibration') from pairs_v) as calibration_learners, (select count(distinct learner_id) filter (where split = 'test') from pairs_v) as test_learners, (select count(*) from items_v) as candidate_items"))
+
+@register("a5_bundle_contracts", query("select (select count(*) from refint_v) as reference_rows, (select count(*) from pairs_v) as selected_pairs, (select sum(event_count)::bigint from pairs_v) as pair_events, (select count(distinct skill_id) from pairs_v) as selected_skills, (select count(*) from all_splits_v where split = 'train') as train_learners, (select count(*) from all_splits_v where split = 'calibration') as calibration_learners, (select count(*) from all_splits_v where split = 'test') as test_learners, (select count(*) from items_v) as candidate_items"))
 def bundle_contracts(spark, sf):
     b = Bundle(spark, sf)
-    return tables.build_manifest(b.reference, b.pairs, b.build.items, _splits(b.pairs))
+    return tables.build_manifest(b.reference, b.pairs, b.build.items, b.splits)
+
+
+@register("a5_selected_questions", query("select question_id, bundle_id, correct_answer, part, skill_ids, skill_count, primary_skill_id from questions_v where question_id in (select question_id from selected_items_v)"))
+def selected_questions(spark, sf):
+    columns = ["question_id", "bundle_id", "correct_answer", "part", "skill_ids", "skill_count", "primary_skill_id"]
+    return V.Build(spark, sf).selected_questions.select(*columns)
 
 
 @register("a12_data_fingerprint")
@@ -42,28 +76,28 @@ def data_fingerprint(spark, sf):
     return logs.data_fingerprint(V.table(spark, sf, "events"))
 
 
-@register("c4_split_agreement", zero("split_agrees"))
+@register("c4_split_agreement", both("select 'split_agrees' as check, count(*) filter (where (r.split = s.split) is not true)::bigint as violations from (select distinct learner_id, skill_id, split from {t}) r left join all_splits_v s using (learner_id)"))
 def split_agreement(spark, sf):
     b = Bundle(spark, sf)
-    return contracts.split_agreement(b.pairs, _splits(b.build.sequences))
+    return b.check(lambda rows: contracts.split_agreement(rows.select(*contracts.PAIR, "split").distinct(), b.splits))
 
 
-@register("c5_pair_keys_equal", zero("pair_keys"))
+@register("c5_pair_keys_equal", both("select 'pair_keys' as check, ((select count(*) from (select learner_id, skill_id from pairs_v except select learner_id, skill_id from {t})) + (select count(*) from (select learner_id, skill_id from {t} except select learner_id, skill_id from pairs_v)))::bigint as violations"))
 def pair_keys_equal(spark, sf):
     b = Bundle(spark, sf)
-    return contracts.equal_keys(b.pairs, b.reference, contracts.PAIR, "pair_keys")
+    return b.check(lambda rows: contracts.equal_keys(b.pairs, rows, contracts.PAIR, "pair_keys"))
 
 
-@register("c9_question_membership", zero("question_selected"))
+@register("c9_question_membership", both("select 'question_selected' as check, count(*) as violations from {t} where question_id not in (select question_id from selected_items_v)"))
 def question_membership(spark, sf):
     b = Bundle(spark, sf)
-    return contracts.known_values(b.reference, "question_id", V.questions(spark, sf), "question_selected")
+    return b.check(lambda rows: contracts.known_values(rows, "question_id", b.build.selected_items, "question_selected"))
 
 
-@register("o2_row_counts", zero("pair_event_sum"))
+@register("o2_row_counts", both("select 'pair_event_sum' as check, abs((select count(*) from {t}) - (select sum(event_count) from pairs_v))::bigint as violations"))
 def row_counts(spark, sf):
     b = Bundle(spark, sf)
-    return contracts.row_count(b.reference, F.sum("event_count"), b.pairs, "pair_event_sum")
+    return b.check(lambda rows: contracts.row_count(rows, F.sum("event_count"), b.pairs, "pair_event_sum"))
 
 
 @register("o3_unique_keys", query("select 'event_key' as check, 0::bigint as violations union all select 'repeated_event', count(*) from (select 1 from raw_v group by learner_id, timestamp_ms, solving_id, question_id, user_answer, elapsed_time_ms having count(*) > 1)"))
@@ -75,20 +109,28 @@ def unique_keys(spark, sf):
     )
 
 
-@register("o4_reference_rows", zero("no_excluded_flag", "no_negative_gap", "first_gap_zero", "split_known", "class_known", "outcome_present"))
+@register("o4_reference_rows", both(*row_checks("{t}", {
+    "no_excluded_flag": "quality_flags & 567 = 0", "no_negative_gap": "gap_ms >= 0", "first_gap_zero": "within_skill_index > 0 or gap_ms = 0",
+    "split_known": "split in ('train', 'calibration', 'test')", "class_known": "sample_class in ('cold_1_2', 'repeat_3_plus')", "outcome_present": "is_correct is not null"})))
 def reference_rows(spark, sf):
-    return contracts.reference_row_checks(Bundle(spark, sf).reference)
+    return Bundle(spark, sf).check(contracts.reference_row_checks)
+
+
+_SEQUENCES = """(select count(*) as n, list_sort(list(within_skill_index)) as i, count(distinct split) as splits, count(distinct sample_class) as classes, min(sample_class) as c
+ from {t} group by learner_id, skill_id)"""
 
 
-@register("o5_sequences", zero("index_from_zero", "index_sums", "split_constant", "class_constant", "class_matches_length"))
+@register("o5_sequences", both(*row_checks(_SEQUENCES, {
+    "index_from_zero": "i[1] = 0 and i[n] = n - 1", "index_sums": "i = range(n)", "split_constant": "splits = 1",
+    "class_constant": "classes = 1", "class_matches_length": "c = case when n <= 2 then 'cold_1_2' else 'repeat_3_plus' end"})))
 def sequences(spark, sf):
-    return contracts.sequence_checks(Bundle(spark, sf).reference)
+    return Bundle(spark, sf).check(contracts.sequence_checks)
 
 
-@register("o6_known_labels", zero("skill_selected"))
+@register("o6_known_labels", both("select 'skill_selected' as check, count(*) as violations from {t} where skill_id not in (select skill_id from selected_v)"))
 def known_labels(spark, sf):
     b = Bundle(spark, sf)
-    return contracts.known_values(b.reference, "skill_id", b.build.selected, "skill_selected")
+    return b.check(lambda rows: contracts.known_values(rows, "skill_id", b.build.selected, "skill_selected"))
 
 
 @register("o7_cell_completeness", query("select unnest(['one_row_per_cell', 'cell_count', " + ", ".join(f"'finite_{m}'" for m in _METRICS) + ", 'range_initial_latent', 'range_delayed_expected', 'range_delayed_observed']) as check, 0::bigint as violations"))
@@ -97,9 +139,15 @@ def cell_completeness(spark, sf):
     return contracts.cell_checks(V.cells(spark, sf), keys, _METRICS, ["initial_latent", "delayed_expected", "delayed_observed"], 3 * 7 * 10 * 3)
 
 
-@register("o8_sequence_pieces", zero("piece_not_empty", "piece_ordered", "gaps_present", "outcomes_binary"))
+_PIECES = """(select learner_id, skill_id, within_skill_index // 1024 as piece, list_sort(list(within_skill_index)) as i, list(gap_ms) as g, list(is_correct) as y
+ from {t} group by 1, 2, 3)"""
+
+
+@register("o8_sequence_pieces", both(*row_checks(_PIECES, {
+    "piece_not_empty": "len(i) > 0", "piece_ordered": "i[-1] - i[1] = len(i) - 1",
+    "gaps_present": "len(list_filter(g, lambda x: x is null or x < 0)) = 0", "outcomes_binary": "len(list_filter(y, lambda x: x is null)) = 0"})))
 def sequence_pieces(spark, sf):
-    return contracts.piece_checks(bkt.sequence_pieces(V.sequences(spark, sf), contracts.PAIR))
+    return Bundle(spark, sf).check(lambda rows: contracts.piece_checks(bkt.sequence_pieces(rows, contracts.PAIR)))
 
 
 @register("o9_shortfall_diagnostics", query("select t.skill_id, t.selection_tier, s.selection_rank is not null as selected, s.selection_rank from tiers_v t left join selected_v s using (skill_id)"))

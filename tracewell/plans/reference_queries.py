@@ -30,9 +30,9 @@ def item_counts(spark, sf):
 
 @register("d3_candidate_skills", query("select skill_id, count(*) as eligible_items from items_v group by 1"))
 def candidate_skills(spark, sf):
-    counts = reference.item_counts(V.usable(spark, sf))
-    skills = reference.candidate_skills(reference.eligible_items(counts, V.questions(spark, sf), V.CONFIG), V.CONFIG)
-    return reference.require_enough_skills(skills, V.CONFIG)
+    build = V.Build(spark, sf)
+    skills = reference.candidate_skills(reference.eligible_items(build.counts, build.questions, build.config), build.config)
+    return reference.require_enough_skills(skills, build.config)
 
 
 @register("d4_learner_skill_groups", query("select * from groups_v"))
@@ -66,7 +66,7 @@ def item_accuracy_distribution(spark, sf):
 
 
 def _gap_quantiles(spark, sf):
-    sample = reference.gap_sample(V.sequences(spark, sf), F.floor(F.col("learner_id") / 10), V.CONFIG)
+    sample = reference.gap_sample(V.sequences(spark, sf), F.floor(F.col("learner_id") / 10), reference.SMALL_CONFIG)
     return reference.gap_quantiles(materialise(sample))
 
 
@@ -78,22 +78,23 @@ def gap_quantiles(spark, sf):
 @register(
     "d9_pair_summary",
     query("""select g.skill_id, g.split, g.sample_class, g.quota, count(p.learner_id) as pairs, coalesce(sum(p.event_count), 0)::bigint as events
- from (select skill_id, s.split, c.sample_class, case when c.sample_class = 'cold_1_2' then 2 when s.split = 'train' then 20 else 5 end as quota
+ from (select skill_id, s.split, c.sample_class, case when c.sample_class = 'cold_1_2' then 500 when s.split = 'train' then 5000 else 2000 end as quota
   from selected_v, (select unnest(['train','calibration','test']) as split) s, (select unnest(['cold_1_2','repeat_3_plus']) as sample_class) c) g
  left join pairs_v p using (skill_id, split, sample_class) group by 1, 2, 3, 4"""),
 )
 def pair_summary(spark, sf):
     build = V.Build(spark, sf)
-    return reference.pair_summary(build.pairs, build.selected, V.CONFIG)
+    return reference.pair_summary(build.pairs, build.selected, reference.SMALL_CONFIG)
 
 
 @register(
     "d10_split_counts",
     query("""select coalesce(split, 'all') as split, count(*) as learners, min(learner_id) as min_learner_id, max(learner_id) as max_learner_id
- from (select distinct learner_id, case split_code when 0 then 'train' when 1 then 'calibration' else 'test' end as split from groups_v) group by rollup (split)"""),
+ from all_splits_v group by rollup (split)"""),
 )
 def split_counts(spark, sf):
-    return reference.split_counts(V.sequences(spark, sf))
+    """Every learner of the log, with or without usable rows."""
+    return reference.split_counts(V.event_rows(spark, sf))
 
 
 @register(
@@ -148,7 +149,7 @@ def stratified_pairs(spark, sf):
 
 @register("f6_gap_sample", query("select skill_id, learner_id, timestamp_ms, gap_ms from gap_sample_v"))
 def gap_sample(spark, sf):
-    sample = reference.gap_sample(V.sequences(spark, sf), F.floor(F.col("learner_id") / 10), V.CONFIG)
+    sample = reference.gap_sample(V.sequences(spark, sf), F.floor(F.col("learner_id") / 10), reference.SMALL_CONFIG)
     return sample.select("skill_id", "learner_id", "timestamp_ms", "gap_ms")
 
 

@@ -62,12 +62,12 @@ select * from cleaned_v where skill_count = 1 and primary_skill_id >= 0 and is_c
 select question_id, count(*) as interaction_rows, count(*) filter (where is_correct) as correct_rows from usable_v group by 1""",
     "eligible_v": """
 select c.question_id, q.primary_skill_id as skill_id, q.part, c.interaction_rows, c.correct_rows, c.correct_rows / c.interaction_rows as accuracy
-from item_counts_v c join questions_v q using (question_id) where c.interaction_rows >= 3 and q.skill_count = 1""",
+from item_counts_v c join questions_v q using (question_id) where c.interaction_rows >= (select floor(0.9::double * avg(interaction_rows)) from item_counts_v) and q.skill_count = 1""",
     "items_v": """
 select * from eligible_v where skill_id in (select skill_id from eligible_v group by 1 having count(*) >= 5)""",
     "seq_v": """
 select *, primary_skill_id as skill_id, row_number() over w - 1 as within_skill_index, coalesce(timestamp_ms - lag(timestamp_ms) over w, 0) as gap_ms
-from usable_v window w as (partition by learner_id, primary_skill_id order by timestamp_ms, sequence_index)""",
+from usable_v where question_id in (select question_id from items_v) window w as (partition by learner_id, primary_skill_id order by timestamp_ms, sequence_index)""",
     "pair_base_v": """
 select learner_id, skill_id, count(*) as event_count, count(*) filter (where is_correct) as correct_count,
   min(timestamp_ms) as first_timestamp_ms, max(timestamp_ms) as last_timestamp_ms,
@@ -121,10 +121,26 @@ select *, case when event_count >= 3 then 1 else 0 end as class_code from groups
 select learner_id, skill_id, case split_code when 0 then 'train' when 1 then 'calibration' else 'test' end as split,
   case class_code when 0 then 'cold_1_2' else 'repeat_3_plus' end as sample_class, event_count, h::decimal(20,0) as selection_priority_u64
 from pair_prio_v
-qualify row_number() over (partition by skill_id, split_code, class_code order by h, learner_id) <= case when class_code = 0 then 2 when split_code = 0 then 20 else 5 end""",
+qualify row_number() over (partition by skill_id, split_code, class_code order by h, learner_id) <= case when class_code = 0 then 500 when split_code = 0 then 5000 else 2000 end""",
     "refint_v": """
 select s.learner_id, s.skill_id, p.split, p.sample_class, s.within_skill_index, s.timestamp_ms, s.gap_ms, s.sequence_index, s.question_id, s.is_correct, s.elapsed_time_ms, s.part, s.quality_flags
-from seq_v s join pairs_v p using (learner_id, skill_id)""",
+from seq_v s join pairs_v p using (learner_id, skill_id)
+where s.question_id in (select question_id from selected_items_v)""",
+    "selected_items_v": "select * from items_v where skill_id in (select skill_id from selected_v)",
+    "learner_keys_v": "select distinct learner_id from raw_v",
+    **hash_steps("learner_keys_v", "xor(learner_id::UBIGINT, 11636841376413550081::UBIGINT)", "learner_hash_v", "lh"),
+    "all_splits_v": """
+select learner_id, case when h % 10000 < 7000 then 'train' when h % 10000 < 8500 then 'calibration' else 'test' end as split from learner_hash_v""",
+    # Reference rows with one fault of each kind, to see that the checks find them.
+    "broken_v": """
+select learner_id, case when learner_id % 17 = 0 then 99 else skill_id end as skill_id,
+  case when learner_id % 7 = 0 and within_skill_index = 1 then 'other' else split end as split,
+  case when learner_id % 19 = 0 then null else sample_class end as sample_class, within_skill_index, timestamp_ms,
+  case when sequence_index % 23 = 0 then -1 when learner_id % 3 = 0 and within_skill_index = 0 then 5 else gap_ms end as gap_ms, sequence_index,
+  case when sequence_index % 13 = 0 then 'q99' else question_id end as question_id,
+  case when sequence_index % 29 <> 0 then is_correct end as is_correct, elapsed_time_ms, part,
+  case when sequence_index % 31 = 0 then quality_flags | 1 else quality_flags end as quality_flags
+from refint_v where not (learner_id % 5 = 0 and within_skill_index = 1)""",
     "posgap_v": "select * from seq_v where gap_ms > 0",
     **hash_steps(
         "posgap_v",
@@ -133,9 +149,9 @@ from seq_v s join pairs_v p using (learner_id, skill_id)""",
         "gp",
     ),
     "gap_capped_v": """
-select * from gap_prio_v qualify row_number() over (partition by learner_id // 10, skill_id order by h, learner_id, timestamp_ms, gap_ms) <= 50""",
+select * from gap_prio_v qualify row_number() over (partition by learner_id // 10, skill_id order by h, learner_id, timestamp_ms, gap_ms) <= 200""",
     "gap_sample_v": """
-select * from gap_capped_v qualify row_number() over (partition by skill_id order by h, learner_id, timestamp_ms, gap_ms) <= 200""",
+select * from gap_capped_v qualify row_number() over (partition by skill_id order by h, learner_id, timestamp_ms, gap_ms) <= 100000""",
     "gap_quantiles_v": """
 select skill_id, p::double as probability, q as gap_ms, n as sample_size from (
  select skill_id, count(*) as n, unnest([0.01,0.05,0.1,0.25,0.5,0.75,0.9,0.95,0.99]) as p,

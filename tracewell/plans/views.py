@@ -16,7 +16,6 @@ from tracewell.operators.skew import hot_groups, materialise, prefix, task_rows
 
 EXTREME_ELAPSED_MS = 300_000
 DEPLOYED_MS = 1_704_500_000_000
-CONFIG = reference.SMALL_CONFIG
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -118,13 +117,10 @@ def usable(spark: SparkSession, sf: str) -> DataFrame:
     return reference.usable(cleaned(spark, sf))
 
 
-def as_sequences(rows: DataFrame, hot: tuple[list, int] | None) -> DataFrame:
-    """Usable events with position and gap per (learner, skill)."""
-    return reference.event_sequences(rows.withColumnRenamed("primary_skill_id", "skill_id"), hot)
-
-
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
-    return as_sequences(usable(spark, sf), hot_pairs(spark, sf))
+    """Candidate-item events with position and gap per (learner, skill)."""
+    build = Build(spark, sf)
+    return reference.event_sequences(build.events, build.hot_pairs)
 
 
 def groups(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,14 +136,26 @@ class Build:
         self.hot_pairs = hot_pairs(spark, sf)
         self.questions = questions(spark, sf)
 
+    @cached_property
+    def counts(self) -> DataFrame:
+        return materialise(reference.item_counts(self.usable))
+
+    @cached_property
+    def config(self) -> reference.BuildConfig:
+        return reference.small_config(self.counts)
+
     @cached_property
     def items(self) -> DataFrame:
-        counts = reference.item_counts(self.usable)
-        return reference.candidate_items(reference.eligible_items(counts, self.questions, CONFIG), CONFIG)
+        return reference.candidate_items(reference.eligible_items(self.counts, self.questions, self.config), self.config)
+
+    @cached_property
+    def events(self) -> DataFrame:
+        """Usable rows of candidate items; everything after the item screen reads these."""
+        return reference.candidate_events(self.usable, self.items)
 
     @cached_property
     def sequences(self) -> DataFrame:
-        return materialise(as_sequences(self.usable, self.hot_pairs))
+        return materialise(reference.event_sequences(self.events, self.hot_pairs))
 
     @cached_property
     def groups(self) -> DataFrame:
@@ -156,23 +164,32 @@ class Build:
     @cached_property
     def tiers(self) -> DataFrame:
         stats = reference.skill_statistics(self.groups).join(reference.item_distribution(self.items), "skill_id")
-        return materialise(reference.skill_tiers(stats, CONFIG))
+        return materialise(reference.skill_tiers(stats, self.config))
 
     @cached_property
     def scored(self) -> DataFrame:
-        return reference.score_skills(self.tiers, CONFIG)
+        return reference.score_skills(self.tiers, self.config)
 
     @cached_property
     def selected(self) -> DataFrame:
-        return reference.top_skills(self.scored, CONFIG)
+        return reference.top_skills(self.scored, self.config)
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return reference.select_pairs(self.groups, self.selected, CONFIG)
+        return reference.select_pairs(self.groups, self.selected, self.config)
+
+    @cached_property
+    def selected_items(self) -> DataFrame:
+        return reference.selected_items(self.items, self.selected)
+
+    @cached_property
+    def selected_questions(self) -> DataFrame:
+        return reference.selected_questions(self.questions, self.selected_items)
 
     @cached_property
     def reference_interactions(self) -> DataFrame:
-        return reference.reference_interactions(self.sequences, materialise(self.pairs))
+        kept = reference.selected_questions(self.sequences, self.selected_items)
+        return reference.reference_interactions(kept, materialise(self.pairs))
 
 
 def bank(spark: SparkSession, sf: str) -> DataFrame:
