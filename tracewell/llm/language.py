@@ -6,7 +6,8 @@ words, so a text may switch languages. Forward-backward over the whole text give
 word's distribution, and a document's language is the one with the largest mean.
 
 The model is fitted on a bounded sample of labelled rows: at most ``SAMPLE`` documents a
-language of at most ``SAMPLE_CHARS`` characters, the first by a keyed hash, from which
+language (of the ``LANGUAGES`` most frequent ones) of at most ``SAMPLE_CHARS`` characters,
+the first by a keyed hash, from which
 ``SEQUENCES`` training sequences are put together, half of them switching between
 languages. It is applied to every row.
 """
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +29,7 @@ from tracewell.llm.common import slices
 
 SAMPLE = 200
 SAMPLE_CHARS = 20_000
+LANGUAGES = 200
 SEQUENCES = 1_600
 STEPS = 60
 BITS = 15
@@ -194,13 +196,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame) -> list[tuple[str, str]]:
-    """The bounded sample: (language, text) of at most ``SAMPLE`` documents a language."""
+    """The bounded sample: (language, text) of at most ``SAMPLE`` documents of each of the
+    ``LANGUAGES`` most frequent languages."""
     usable = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS))
-    counts = usable.groupBy("lang").count()
-    draw = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = usable.join(counts, "lang").filter(draw * F.col("count") < 2 * SAMPLE)  # then the first of these by language
-    ordered = drawn.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(7), "doc_id").alias("h"), "doc_id", "text"))), 1, SAMPLE).alias("rows"))
-    return sorted((lang, r["text"]) for lang, rows in ordered.collect() for r in rows)
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return []
+    # Twice as many as needed are drawn by a keyed hash, then the first of these by language.
+    share = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, 2.0 * SAMPLE / n)])
+    draw = F.xxhash64(F.lit(7), "doc_id")
+    drawn = usable.filter(F.pmod(draw, F.lit(1 << 30)) / float(1 << 30) < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    firsts = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+    rows = drawn.withColumn("h", draw).withColumn("row", F.row_number().over(firsts)).filter(F.col("row") <= SAMPLE)
+    return sorted((r["lang"], r["text"]) for r in rows.select("lang", "text").collect())
 
 
 class _Labeller:
