@@ -21,14 +21,10 @@ def duck(sf: str):
 
 
 def plain(value):
-    if value is None:
-        return None
-    if isinstance(value, bool):
+    if isinstance(value, bool) or value is None:
         return value
     if isinstance(value, float):
-        if math.isnan(value):
-            return None
-        return round(value, 8) + 0.0
+        return value + 0.0
     if isinstance(value, (list, tuple)):
         return tuple(plain(v) for v in value)
     if hasattr(value, "as_tuple"):
@@ -36,10 +32,26 @@ def plain(value):
     return value
 
 
+def same(a, b) -> bool:
+    """Equal; floats within the noise of summation order, NaN only to NaN."""
+    if isinstance(a, float) and isinstance(b, float):
+        return (math.isnan(a) and math.isnan(b)) or a == b or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)
+    if isinstance(a, tuple) and isinstance(b, tuple):
+        return len(a) == len(b) and all(map(same, a, b))
+    return a == b
+
+
 def rows(columns, data):
+    """Rows with columns by name, in an order that float noise does not change: other
+    columns first, then floats to few digits."""
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     out = [tuple(plain(r[i]) for i in order) for r in data]
-    return sorted(out, key=lambda r: tuple((v is None, str(type(v)), v if v is not None else 0) for v in r))
+
+    def key(row):
+        exact = tuple((v is None, str(type(v)), v) if v is not None else (True, "", 0) for v in row if not isinstance(v, float) and not isinstance(v, tuple))
+        return exact, tuple(str(v) if isinstance(v, tuple) else round(v, 5) if math.isfinite(v) else str(v) for v in row if isinstance(v, (float, tuple))).__repr__()
+
+    return sorted(out, key=key)
 
 
 def differences(spark, con, query, sql, sf) -> list[str]:
@@ -55,7 +67,7 @@ def differences(spark, con, query, sql, sf) -> list[str]:
     if not a:
         problems.append("no rows")
     for x, y in zip(a, b):
-        if x != y:
+        if not all(map(same, x, y)):
             problems.append(f"{sorted(names)}: {x} != {y}")
             if len(problems) > 3:
                 break

@@ -76,17 +76,18 @@ def _with_draw(spark, sf):
 
 
 R8 = lambda df: rounded(df, digits=8)
+R11 = lambda df: rounded(df, digits=11)  # noqa: E731  values with few digits, where 8 would meet ties
 
 
-@register("b13_stress_scale_filter", xquery("select world_model, policy, order_id, scale, round(benefit, 8) as benefit from (select *, 0.5 + order_id * 0.5 as scale from paired_v) where scale <> 1.0").replace("0.5 + order_id * 0.5", "0.5::double + order_id * 0.5::double"))
+@register("b13_stress_scale_filter", xquery("select world_model, policy, order_id, scale, round(benefit, 11) as benefit from (select *, 0.5 + order_id * 0.5 as scale from paired_v) where scale <> 1.0").replace("0.5 + order_id * 0.5", "0.5::double + order_id * 0.5::double"))
 def stress_scale_filter(spark, sf):
     rows = paired(spark, sf).withColumn("scale", 0.5 + F.col("order_id") * 0.5).where(F.col("scale") != 1.0)
-    return R8(X.keep_existing(rows, ["world_model", "policy", "order_id", "scale", "grid_role", "benefit"]))
+    return R11(X.keep_existing(rows, ["world_model", "policy", "order_id", "scale", "grid_role", "benefit"]))
 
 
-@register("c6_paired_reference", xquery("select world_model, policy, replicate, order_id, round(benefit, 8) as benefit, round(observed_benefit, 8) as observed_benefit, round(expected_benefit, 8) as expected_benefit from paired_v"))
+@register("c6_paired_reference", xquery("select world_model, policy, replicate, order_id, round(benefit, 11) as benefit, round(observed_benefit, 11) as observed_benefit, round(expected_benefit, 11) as expected_benefit from paired_v"))
 def paired_reference(spark, sf):
-    return R8(paired(spark, sf).select("world_model", "policy", "replicate", "order_id", "benefit", "observed_benefit", "expected_benefit"))
+    return R11(paired(spark, sf).select("world_model", "policy", "replicate", "order_id", "benefit", "observed_benefit", "expected_benefit"))
 
 
 def _differences(spark, sf):
@@ -108,12 +109,12 @@ def error_summary(spark, sf):
     return R8(X.error_summary(paired(spark, sf), ["world_model", "order_id"], "benefit"))
 
 
-_CELL_ROUND = ", ".join(f"round({m}, 8) as {m}" for m in [*_METRICS, "delayed_latent_low", "delayed_latent_middle", "delayed_latent_high"])
+_CELL_ROUND = ", ".join(f"round({m}, 11) as {m}" for m in [*_METRICS, "delayed_latent_low", "delayed_latent_middle", "delayed_latent_high"])
 
 
 @register("d15_replicate_means", xquery(f"select world_model, policy, replicate, order_id, n_learners, n_low, n_middle, n_high, {_CELL_ROUND} from cell_v"))
 def replicate_means(spark, sf):
-    return R8(V.cells(spark, sf))
+    return R11(V.cells(spark, sf))
 
 
 @register("d16_order_average", xquery("select world_model, policy, replicate, round(benefit, 8) as benefit, round(observed_benefit, 8) as observed_benefit from rep_v"))
