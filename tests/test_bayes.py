@@ -89,6 +89,9 @@ def test_hash_matches_big_integers(spark):
 def test_driver_scalars():
     assert t_critical(9) == pytest.approx(2.2621571627409915, abs=1e-10)
     assert t_critical(29) == pytest.approx(2.045229642132703, abs=1e-10)
+    for n in (1_000, 10_000, 100_000):
+        low, high, coverage = order_statistic_ranks(n, 0.025)
+        assert low < 0.025 * n < high and 0.95 <= coverage < 0.96
     low, high, coverage = order_statistic_ranks(200, 0.025)
     assert (low, high) == (1, 11) and coverage == pytest.approx(0.9811046153906396, abs=1e-12)
     assert kendall_p_value(4, 0) == pytest.approx(2 / 24) and kendall_p_value(4, 3) == 1.0

@@ -81,7 +81,12 @@ def test_files_errors_and_inventory(spark, folder):
     report = logs.inventory_report(inventory).first()
     assert (report.learner_files, report.unexpected_files, report.minimum_learner_id, report.maximum_learner_id) == (4, 0, 1, 4)
     assert report.total_bytes == sum(f.stat().st_size for f in kt.iterdir())
-    assert [r.learner_id for r in logs.first_files(inventory, 2).collect()] == [1, 2]
+    (kt / "u9.csv").write_text("timestamp,solving_id,question_id,user_answer,elapsed_time\n")
+    raw, errors = logs.read_learner_logs(spark, str(kt))
+    found = prepare.add_failed_learners(prepare.learner_summary(prepare.interactions(raw, questions(spark, folder))), errors)
+    whole = {r.learner_id: r for r in prepare.add_silent_learners(found, logs.file_inventory(spark, str(kt))).collect()}
+    assert sorted(whole) == [1, 2, 3, 4, 9] and (whole[9].raw_rows, whole[9].source_file, whole[9].file_error) == (0, "u9.csv", None)
+    (kt / "u9.csv").unlink()
     (kt / "other.csv").write_text("x\n")
     with pytest.raises(ValueError):
         logs.require_clean_inventory(logs.file_inventory(spark, str(kt)))

@@ -53,21 +53,31 @@ def t_critical(df: int, level: float = 0.95) -> float:
     return 0.5 * (low + high)
 
 
-def binomial_cdf(k: int, n: int, p: float) -> float:
-    return math.fsum(math.comb(n, i) * p**i * (1.0 - p) ** (n - i) for i in range(0, k + 1))
+def _binomial_terms(n: int, p: float):
+    """Probabilities of 0, 1, ... n successes, from their logarithms so that no n overflows."""
+    for k in range(n + 1):
+        if p in (0.0, 1.0):
+            yield float(k == n * p)
+        else:
+            ways = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+            yield math.exp(ways + k * math.log(p) + (n - k) * math.log1p(-p))
 
 
 def order_statistic_ranks(n: int, q: float, level: float = 0.95) -> tuple[int, int, float]:
     """1-based ranks whose order statistics bracket the ``q`` quantile, and the coverage."""
     tail = (1.0 - level) / 2.0
-    low = 0
-    while binomial_cdf(low, n, q) < tail:
-        low += 1
-    high = low
-    while binomial_cdf(high, n, q) < 1.0 - tail:
-        high += 1
-    low_rank, high_rank = max(low, 1), min(high + 1, n)
-    return low_rank, high_rank, binomial_cdf(high_rank - 1, n, q) - binomial_cdf(low_rank - 1, n, q)
+    below, total = [0.0], 0.0  # below[k]: probability of fewer than k successes
+    low = None
+    for k, term in enumerate(_binomial_terms(n, q)):
+        total += term
+        below.append(total)
+        if low is None and total >= tail:
+            low = k
+        if total >= 1.0 - tail:
+            break
+    high = len(below) - 2
+    low_rank, high_rank = max(low or 0, 1), min(high + 1, n)
+    return low_rank, high_rank, below[high_rank] - below[low_rank]
 
 
 @lru_cache(maxsize=None)

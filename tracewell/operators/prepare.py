@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import cleaning as C
@@ -213,22 +213,29 @@ def learner_summary(cleaned: DataFrame) -> DataFrame:
     )
 
 
+def _zero_rows(summary: DataFrame, learners: DataFrame, error: Column) -> DataFrame:
+    """A summary row per learner (learner_id, source_file) whose counters are all zero."""
+    zeros = {f.name: F.lit(0).cast(f.dataType) for f in summary.schema if f.name.endswith(("_rows", "_count"))}
+    columns = {
+        **{n: F.col(n) for n in ("learner_id", "source_file")},
+        **zeros,
+        "first_timestamp_ms": F.lit(None).cast("long"),
+        "last_timestamp_ms": F.lit(None).cast("long"),
+        "file_error": error.cast("string"),
+    }
+    return learners.select(*[c.alias(n) for n, c in columns.items()])
+
+
 def add_failed_learners(summary: DataFrame, errors: DataFrame) -> DataFrame:
     """Append an all-zero summary row per unreadable file (learner_id, source_file, error)."""
-    zeros = {
-        f.name: F.lit(0).cast(f.dataType)
-        for f in summary.schema
-        if f.name.endswith(("_rows", "_count"))
-    }
-    failed = errors.select(
-        "learner_id",
-        "source_file",
-        *[c.alias(n) for n, c in zeros.items()],
-        F.lit(None).cast("long").alias("first_timestamp_ms"),
-        F.lit(None).cast("long").alias("last_timestamp_ms"),
-        F.col("error").alias("file_error"),
-    )
-    return summary.unionByName(failed)
+    return summary.unionByName(_zero_rows(summary, errors, F.col("error")))
+
+
+def add_silent_learners(summary: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Append an all-zero row, without an error, per learner file that has no response."""
+    files = inventory.where(F.col("learner_id").isNotNull()).select("learner_id", F.concat(F.lit("u"), "learner_id", F.lit(".csv")).alias("source_file"))
+    silent = files.join(summary.select("learner_id").distinct(), "learner_id", "left_anti")
+    return summary.unionByName(_zero_rows(summary, silent, F.lit(None)))
 
 
 def run_totals(summary: DataFrame, shard: str = "shard_id") -> DataFrame:

@@ -165,7 +165,7 @@ def rank_order(spark, sf):
 
 @register("f11_bootstrap_quantile")
 def bootstrap_quantile(spark, sf):
-    return X.bootstrap_quantile(replicates(spark, sf), ["world_model", "policy"], "benefit", 0.025, 17, resamples=200)
+    return X.bootstrap_quantile(replicates(spark, sf), ["world_model", "policy"], "benefit", 0.025, 17, resamples=2000)
 
 
 @register("f12_order_statistic_interval", xquery("""select world_model, policy, count(*) as n_draws, 1::bigint as rank_low, 4::bigint as rank_high, round(list(benefit order by benefit)[1], 8) as value_low, round(list(benefit order by benefit)[4], 8) as value_high,

@@ -158,11 +158,6 @@ def require_clean_inventory(inventory: DataFrame) -> DataFrame:
     return inventory
 
 
-def first_files(inventory: DataFrame, max_files: int) -> DataFrame:
-    """The ``max_files`` files with the lowest learner ids."""
-    return inventory.where(F.col("learner_id").isNotNull()).orderBy("learner_id").limit(max_files)
-
-
 def data_fingerprint(df: DataFrame) -> DataFrame:
     """Order-independent fingerprint of a table: row count and XOR and sum of row hashes."""
     h = F.xxhash64(*df.columns)
