@@ -124,15 +124,18 @@ def _round_sql(names, digits=6):
 
 # In a tiny cell, or one whose outcomes are separated by the prediction or whose prediction is
 # constant, the line is not determined and its digits depend on the number of steps and the
-# summation order. These two queries show it as null there; the operator itself returns it.
+# summation order. These two queries mark such rows and leave its numbers out; the operator
+# itself returns them.
 LINE = ["calibration_intercept", "calibration_slope"]
-LINE_SQL = ", ".join(f"case when n_events >= 30 and least(auc, 1 - auc) > 0.05 and abs(auc - 0.5) > 1e-9 then round({n}, 6) end as {n}" for n in LINE)
+DETERMINED = "n_events >= 30 and least(auc, 1 - auc) > 0.05 and abs(auc - 0.5) > 1e-9"
+LINE_SQL = ", ".join(f"case when {DETERMINED} then round({n}, 6) end as {n}" for n in LINE)
+LINE_SQL += f", case when {DETERMINED} then 'determined' else 'undetermined' end as line_status"
 
 
 def determined_line(df):
-    auc = F.col("auc")
-    fixed = (F.col("n_events") >= 30) & (F.least(auc, 1 - auc) > 0.05) & (F.abs(auc - 0.5) > 1e-9)
+    fixed = F.expr(DETERMINED)
     kept = {n: F.when(fixed, F.col(n)) for n in LINE}
+    kept["line_status"] = F.when(fixed, "determined").otherwise("undetermined")
     return rounded(df.withColumns(kept).drop("calibration_fit_status"))
 
 
