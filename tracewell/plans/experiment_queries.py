@@ -187,11 +187,15 @@ def policy_summary(spark, sf):
     return R8(X.interval_summary(replicates(spark, sf), ["world_model", "policy"], _K1))
 
 
-@register("k3_rank_concordance", xquery("""select world_1, world_2, n as n_policies, round(1 - 4.0::double * d / (n * (n - 1)), 8) as kendall_tau from (
- select x.world_1, x.world_2, count(distinct x.policy) as n, count(*) filter (where (x.rank_1 < y.rank_1) and (x.rank_2 > y.rank_2)) as d from rp_v x join rp_v y using (world_1, world_2) group by 1, 2)""",
-    rp_v="select a.world_model as world_1, b.world_model as world_2, policy, a.rank as rank_1, b.rank as rank_2 from ranked_v a join ranked_v b using (policy) where a.world_model < b.world_model"))
+@register("k3_rank_concordance", xquery("""select world_1, world_2, n as n_policies, round(1 - 4.0::double * d / (n * (n - 1)), 8) as kendall_tau,
+ round(case when 4 * d = n * (n - 1) then 1.0::double else least(1.0::double, 2 * (select count(*) from inversions_v i where i.n = c.n and i.k <= least(d, n * (n - 1) // 2 - d)) / (select count(*) from inversions_v i where i.n = c.n)::double) end, 8) as kendall_p_value from (
+ select x.world_1, x.world_2, count(distinct x.policy) as n, count(*) filter (where (x.rank_1 < y.rank_1) and (x.rank_2 > y.rank_2)) as d from rp_v x join rp_v y using (world_1, world_2) group by 1, 2) c""",
+    recursive=True,
+    rp_v="select a.world_model as world_1, b.world_model as world_2, policy, a.rank as rank_1, b.rank as rank_2 from ranked_v a join ranked_v b using (policy) where a.world_model < b.world_model",
+    # A row for each order of n policies, with its number of inversions k.
+    inversions_v="select 1 as n, 0 as k union all select n + 1, k + j from inversions_v, (select unnest(range(7)) as j) where n < 7 and j <= n"))
 def rank_concordance(spark, sf):
-    return R8(X.rank_concordance(X.policy_ranks(mean_benefit(spark, sf), "benefit_mean"))).drop("kendall_p_value")
+    return R8(X.rank_concordance(X.policy_ranks(mean_benefit(spark, sf), "benefit_mean")))
 
 
 @register("k4_robustness", xquery("""select policy, round(avg(benefit_mean), 8) as mean_across_worlds, round(min(benefit_mean), 8) as minimum_across_worlds, round(max(benefit_mean), 8) as maximum_across_worlds, round(stddev_samp(benefit_mean), 8) as world_disagreement_sd,
