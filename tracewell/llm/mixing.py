@@ -97,7 +97,10 @@ def mixed(scratch: Scratch, docs: DataFrame, seed: int = 0) -> DataFrame:
     text = F.coalesce(F.xxhash64("text"), F.lit(0))
     numbered = docs.withColumn("__mix_hash", text)
     same = numbered["doc_id"].eqNullSafe(taken["__id"]) & numbered["source"].eqNullSafe(taken["__source"]) & (numbered["__mix_hash"] == taken["__text"])
-    joined = numbered.join(taken, same).dropDuplicates(["doc_id", "source", "__mix_hash"]) if _repeated(docs) else numbered.join(taken, same)
+    # What is taken grows with the documents, so the join is a shuffle at every size.
+    joined = numbered.join(taken.hint("merge"), same)
+    if _repeated(docs):
+        joined = joined.dropDuplicates(["doc_id", "source", "__mix_hash"])
     return joined.withColumn("__mix_turn", F.explode(F.expr("sequence(1, int(__mix_copies))"))).select(*docs.columns)
 
 

@@ -257,4 +257,5 @@ def first_of_group(scratch: Scratch, docs: DataFrame) -> DataFrame:
     if (one(kept.filter("__id is not null").agg(F.max("__n")))[0] or 0) > 1:
         order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(c) for c in ("text", *columns)]))
         docs = docs.withColumn("__first_of_group", F.row_number().over(order)).filter("doc_id is null or __first_of_group = 1")
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept["__id"]), "left_semi").select(*columns)
+    # The kept ids grow with the documents, so the join is a shuffle at every size.
+    return docs.join(kept.hint("merge"), docs.doc_id.eqNullSafe(kept["__id"]), "left_semi").select(*columns)
