@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import io
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,39 +50,55 @@ def responses(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", ids.alias("record_id"), F.col("url").alias("target_uri"), F.lit(DATE).alias("warc_date"), F.concat(head, html).alias("block"))
 
 
-def _decoded(text: Column) -> Column:
-    """Entities as characters: the table's, then numbers."""
-    for name, char in ENTITIES[:-1]:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    for pattern, prefix, base in (("&#([0-9]{1,7});", "&#", 10), ("&#[xX]([0-9a-fA-F]{1,6});", "&#x", 16)):
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _numbers(text: Column, pattern: str, prefix: str, base: int) -> Column:
+    """``text`` with its numeric entities of one base as characters."""
+
+    def put(held: Column, number: Column) -> Column:
+        code = F.conv(number, base, 10).cast("long")
+        legal = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.when(legal, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+        held = F.replace(held, F.concat(F.lit(prefix), number, F.lit(";")), char)
+        return F.replace(held, F.concat(F.lit(prefix.upper()), number, F.lit(";")), char) if base == 16 else held
+
+    def replaced(text: Column) -> Column:
         found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+        return F.aggregate(found, text, put)
+
+    return _bound(text, lambda t: F.when(F.instr(t, prefix[:2]) > 0, replaced(t)).otherwise(t))
+
+
+def _decoded(text: Column) -> Column:
+    """Entities as characters: the table's, then numbers, the ampersand last."""
 
-        def put(held: Column, number: Column, prefix: str = prefix, base: int = base) -> Column:
-            code = F.conv(number, base, 10).cast("long")
-            legal = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-            char = F.when(legal, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("�"))
-            held = F.replace(held, F.concat(F.lit(prefix), number, F.lit(";")), char)
-            return F.replace(held, F.concat(F.lit(prefix.upper()), number, F.lit(";")), char) if base == 16 else held
+    def replaced(text: Column) -> Column:
+        for name, char in ENTITIES[:-1]:
+            text = F.replace(text, F.lit(name), F.lit(char))
+        text = _numbers(text, "&#([0-9]{1,7});", "&#", 10)
+        text = _numbers(text, "&#[xX]([0-9a-fA-F]{1,6});", "&#x", 16)
+        return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
-        text = F.when(F.size(found) > 0, F.aggregate(found, text, lambda held, number: put(held, number))).otherwise(text)
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+    return _bound(text, lambda t: F.when(F.instr(t, "&") > 0, replaced(t)).otherwise(t))
 
 
 def visible(html: Column) -> Column:
     """Markup without comments and without elements that hold no text."""
     html = F.regexp_replace(html, "(?s)<!--.*?-->", " ")
-    for name in SILENT:
-        html = F.regexp_replace(html, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", " ")
-    return html
+    return F.regexp_replace(html, rf"(?is)<({'|'.join(SILENT)})\b[^>]*>.*?</\1\s*>", " ")
 
 
-def text_of(html: Column) -> Column:
-    """Lines of text: block elements break lines, other tags vanish, white space is collapsed."""
-    text = F.regexp_replace(visible(html), r"[\t\r\n\f ]+", " ")
-    text = F.regexp_replace(text, rf"(?i)</?(?:{BREAKING})\b[^>]*>", "\n")
+def text_of(seen: Column) -> Column:
+    """Lines of text of visible markup: block elements break lines, other tags vanish, white
+    space is collapsed."""
+    text = F.translate(seen, "\t\r\n\f", "    ")
+    text = F.regexp_replace(text, rf"</?(?:(?i){BREAKING})\b[^>]*>", "\n")
     text = _decoded(F.regexp_replace(text, "<[/!?a-zA-Z][^>]*>", ""))
-    text = F.regexp_replace(F.regexp_replace(text, " +", " "), r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
+    text = F.regexp_replace(F.regexp_replace(text, "  +", " "), r" ?\n[ \n]*", "\n")
+    return F.btrim(text, F.lit(" \n"))
 
 
 def derive(records: DataFrame) -> DataFrame:
@@ -98,17 +114,20 @@ def derive(records: DataFrame) -> DataFrame:
     at = F.when(F.startswith(block, F.lit("HTTP/")), F.instr(block, CRLF * 2)).otherwise(0)
     split = records.withColumn("__head", F.when(at > 0, F.substr(block, F.lit(1), at - 1)).otherwise("")).withColumn("__payload", F.when(at > 0, F.substr(block, at + 4)).otherwise(block))
     lines = F.split("__head", CRLF)
-    seen = visible(F.col("__payload"))
+    title = lambda v: _decoded(F.trim(F.regexp_extract(v, r"(?is)<title\b[^>]*>(.*?)</title", 1)))
+    links = lambda v: F.transform(F.regexp_extract_all(v, F.lit(r"<[aA]\s[^>]*?(?i:href)\s*=\s*[\"']([^\"'>]*)"), F.lit(1)), _decoded)
+    seen = _bound(visible(F.col("__payload")), lambda v: F.struct(text_of(v).alias("text"), title(v).alias("title"), links(v).alias("links")))
+    split = split.withColumn("__seen", seen)
     envelope = F.to_json(
         F.struct(
             F.struct(F.lit("response").alias("WARC-Type"), F.col("record_id").alias("WARC-Record-ID"), F.col("target_uri").alias("WARC-Target-URI"), F.col("warc_date").alias("WARC-Date"), digest(block).alias("WARC-Block-Digest"), digest(F.col("__payload")).alias("WARC-Payload-Digest")).alias("warc"),
             F.element_at(lines, 1).alias("status"),
             F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))).alias("headers"),
-            _decoded(F.trim(F.regexp_extract(seen, r"(?is)<title\b[^>]*>(.*?)</title", 1))).alias("title"),
-            F.transform(F.regexp_extract_all(seen, F.lit(r"(?i)<a\s[^>]*?href\s*=\s*[\"']([^\"'>]*)"), F.lit(1)), _decoded).alias("links"),
+            F.col("__seen.title").alias("title"),
+            F.col("__seen.links").alias("links"),
         )
     )
-    made = [("metadata", "application/json", envelope), ("conversion", "text/plain", text_of(F.col("__payload")))]
+    made = [("metadata", "application/json", envelope), ("conversion", "text/plain", F.col("__seen.text"))]
     rows = split.select(
         *own,
         F.col("record_id").alias("refers_to"),
