@@ -285,13 +285,13 @@ def text_digest(spark, sf):
 
 @register(
     "h14_days_and_bytes",
-    query("""select learner_id, skill_id, within_skill_index, round(gap_ms / 86400000.0, 9) as gap_days,
+    query("""select learner_id, skill_id, within_skill_index, round(gap_ms / 86400000.0, 12) as gap_days,
  case when gap_ms < 1024 then format('{:.2f} B', gap_ms::double) when gap_ms < 1048576 then format('{:.2f} KiB', gap_ms / 1024.0)
  when gap_ms < 1073741824 then format('{:.2f} MiB', gap_ms / 1048576.0) when gap_ms < 1099511627776 then format('{:.2f} GiB', gap_ms / 1073741824.0) else format('{:.2f} TiB', gap_ms / 1099511627776.0) end as size_text from seq_v"""),
 )
 def days_and_bytes(spark, sf):
     return V.sequences(spark, sf).select(
-        "learner_id", "skill_id", "within_skill_index", R(F.col("gap_ms") / C.DAY_MS).alias("gap_days"),
+        "learner_id", "skill_id", "within_skill_index", R(F.col("gap_ms") / C.DAY_MS, 12).alias("gap_days"),
         N.human_bytes(F.col("gap_ms")).alias("size_text"),
     )
 
