@@ -49,7 +49,7 @@ def clustered(seed, n, width=16, labels=2, spread=0.16):
     return [(int(i), [float(np.float32(x)) for x in r], int(random.integers(labels))) for i, r in zip(random.permutation(n), rows)]
 
 
-@pytest.mark.parametrize("limits", [(1200, 2500), (60, 2500), (60, 50)])
+@pytest.mark.parametrize("limits", [(1200, 1500), (60, 1500), (60, 50)])
 def test_links_and_components_equal_brute_force(spark, monkeypatch, limits):
     """One shard, many overlapping shards, and shards cut into pairs of sub-blocks."""
     monkeypatch.setattr(neardup, "SHARD", limits[0])
@@ -60,7 +60,7 @@ def test_links_and_components_equal_brute_force(spark, monkeypatch, limits):
     found, truth = (sum(r[1] for r in x) for x in (got, want))
     assert truth > 500 and found >= 0.95 * truth and recall >= neardup.TARGET
     assert all(g[1] <= w[1] for g, w in zip(got, want))
-    if limits == (1200, 2500):
+    if limits == (1200, 1500):
         assert got == want
 
 

@@ -33,8 +33,8 @@ from tracewell.llm.components import components
 from tracewell.llm.topk import finite, matrix
 
 THRESHOLD = 0.93
-SHARD = 1_200
-LIMIT = 2_500
+SHARD = 400
+LIMIT = 1_500
 CENTRES = 4_096
 SAMPLE = 16
 DEGREE = 24
@@ -42,6 +42,7 @@ POOL = 40
 RANDOM = 8
 ALPHA = 1.2
 MEDOIDS = 8
+EXPAND = 4
 AUDIT = 100
 TARGET = 0.95
 
@@ -170,18 +171,19 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], rows: np.ndarray, beam:
     closed = np.zeros((q, n), bool)
     first = medoids(x)
     cos[:, first] = x[rows] @ x[first].T
-    while True:
-        open_cos = np.where(closed, -np.inf, cos)
-        step = min(4, n)
+    live = np.arange(q)
+    while len(live):
+        seen = cos[live]
+        open_cos = np.where(closed[live], -np.inf, seen)
+        step = min(EXPAND, n)
         best = np.argpartition(-open_cos, step - 1, axis=1)[:, :step]
-        limit = -np.partition(-cos, min(beam, n) - 1, axis=1)[:, min(beam, n) - 1]
+        limit = -np.partition(-seen, min(beam, n) - 1, axis=1)[:, min(beam, n) - 1]
         value = np.take_along_axis(open_cos, best, axis=1)
         expand = open_cos >= THRESHOLD
         good = (value > -np.inf) & (value >= limit[:, None])
         expand[np.nonzero(good)[0], best[good]] = True
         r, node = np.nonzero(expand)
-        if not len(r):
-            break
+        r, live = live[r], live[expand.any(axis=1)]
         closed[r, node] = True
         for at in range(0, len(r), 50_000):
             rs, ns = r[at : at + 50_000], node[at : at + 50_000]
@@ -284,7 +286,7 @@ def _audit(nodes: DataFrame, found: DataFrame) -> float:
     return 1.0 if not row[0] else (row[1] or 0) / row[0]
 
 
-def near_duplicates(scratch: Scratch, vectors: DataFrame, overlap: int = 2, beam: int = 32) -> tuple[DataFrame, float]:
+def near_duplicates(scratch: Scratch, vectors: DataFrame, overlap: int = 2, beam: int = 16) -> tuple[DataFrame, float]:
     """((vec_id, n_links, component_id, kept) per row, audited recall).
 
     Vectors link within one label and dimension. Those that are null, empty or zero, hold
