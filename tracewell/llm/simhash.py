@@ -39,12 +39,12 @@ TEXT_SLICE = 1_500_000
 PAIRS = 2_000_000
 
 
-def shingle_hashes(text: bytes) -> np.ndarray:
-    """Hashes of all 3-word shingles (fewer words: of the whole sequence) as unsigned 64 bit."""
+def shingle_hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of all ``size``-word shingles (fewer words: of the whole sequence) as unsigned 64 bit."""
     words = text.lower().split()  # on bytes: ASCII letters and ASCII white space only
     if not words:
         return np.empty(0, np.uint64)
-    joined = map(b" ".join, zip(words, words[1:], words[2:])) if len(words) >= SHINGLE else [b" ".join(words)]
+    joined = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else [b" ".join(words)]
     return np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(SEED)), np.uint64)
 
 
