@@ -91,3 +91,10 @@ def test_pruned_graph_keeps_no_needless_edge():
     half = len(a) // 2
     assert not (a == b).any() and np.bincount(a[:half]).max() <= neardup.DEGREE
     assert set(zip(a[:half].tolist(), b[:half].tolist())) == set(zip(b[half:].tolist(), a[half:].tolist()))
+
+
+def test_a_recall_below_target_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "_audit", lambda nodes, found: 0.5)
+    frame = spark.createDataFrame([(i, 0, [1.0, i / 100]) for i in range(20)], "vec_id long, label long, embedding array<double>")
+    with Scratch(spark) as scratch, pytest.raises(RuntimeError, match="0.5000"):
+        neardup.near_duplicates(scratch, frame)

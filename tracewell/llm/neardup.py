@@ -12,7 +12,8 @@ A shard counts the links whose first common shard it is and returns one row per
 the least node it is connected to, so pairs are never emitted. A shard of more than ``LIMIT``
 nodes is cut into sub-blocks, and every pair of these is a task of its own. The links of a
 bounded sample of nodes are held against brute force over all nodes; below ``TARGET``
-recall, everything is repeated with more overlap and a wider search.
+recall, everything is repeated with more overlap and a wider search, and it is an error if
+the third round is below it too.
 
 The centres are fitted on a bounded sample (``SAMPLE`` vectors a centre, ``CENTRES`` centres
 in all, for the labels with the most nodes); all nodes are indexed and searched.
@@ -310,6 +311,8 @@ def near_duplicates(scratch: Scratch, vectors: DataFrame, overlap: int = 2, beam
         if recall >= TARGET:
             break
         overlap, beam = overlap + 1, 2 * beam
+    else:
+        raise RuntimeError(f"audited recall {recall:.4f} is below {TARGET} after the last round: links are missing")
     least = components(scratch, searched.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     classes = nodes.join(links, "rep", "left").join(least, F.col("rep") == F.col("a"), "left")
     classes = classes.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("b", "rep").alias("component_id"))
