@@ -33,13 +33,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import Scratch, one
+from tracewell.llm.common import Scratch, one, slices
 
 SPAN = 100
 GRAM = 32
 DEAL = 20_000
 # Starts hashed in one step; a step's bytes overlap the next one's.
-STEP = 1 << 20
+STEP = 1 << 18
+TEXT_SLICE = 4 << 20
 PARTITION_BYTES = 8 << 20
 MAX_PARTITIONS = 8192
 
@@ -141,12 +142,17 @@ def parse(docs: DataFrame, partitions: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            data, ends = _joined(batch.column(2).cast(pa.binary()))
-            trigger, phrase, at, n = phrases(data, ends)
+            texts = batch.column(2).cast(pa.binary())
+            found = [(np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint8), np.empty(0, np.int64))]
+            for a, b in slices(pc.binary_length(texts).fill_null(0).to_pylist(), TEXT_SLICE):
+                data, ends = _joined(texts.slice(a, b - a))
+                trigger, phrase, at, n = phrases(data, ends)
+                row = np.searchsorted(ends, at, side="right")
+                found.append((trigger, phrase, at - np.concatenate([[0], ends[:-1]]).astype(np.int64)[row], n.astype(np.uint8), a + row))
+            trigger, phrase, at, n, row = (np.concatenate(c) for c in zip(*found))
+            del found
             order = np.argsort(trigger, kind="stable")
-            trigger, phrase, at, n = trigger[order], phrase[order], at[order], n[order]
-            row = np.searchsorted(ends, at, side="right")
-            at -= np.concatenate([[0], ends[:-1]]).astype(np.int64)[row]
+            trigger, phrase, at, n, row = trigger[order], phrase[order], at[order], n[order], row[order]
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             part = ((trigger >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
@@ -158,9 +164,9 @@ def parse(docs: DataFrame, partitions: int) -> DataFrame:
                     phrase[a:b] & np.uint64((1 << 48) - 1),
                     place.astype(np.uint32),
                     at[a:b],
-                    n[a:b].astype(np.uint8),
+                    n[a:b],
                 ]
-                head = np.array([b - a, len(used)], np.int64).tobytes() + ids[used].tobytes() + tags[used].tobytes()
+                head = np.array([b - a, len(used)], np.int64).tobytes() + _planes(np.diff(ids[used], prepend=0)) + _planes(tags[used])
                 numbers.append(part[a])
                 packed.append(pack(head + b"".join(map(_planes, arrays))))
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(packed, pa.binary())], ["part", "packed"])
@@ -177,7 +183,8 @@ def occurrences(packed: DataFrame) -> DataFrame:
             for raw in batch.column(1):
                 raw = unpack(raw.as_py())
                 rows, used = np.frombuffer(raw, np.int64, 2)
-                ids, tags = np.frombuffer(raw, np.int64, 2 * used, 16).reshape(2, used)
+                ids = np.cumsum(_unplaned(raw[16 : 16 + 8 * used], "i8", used))
+                tags = _unplaned(raw[16 + 8 * used : 16 + 16 * used], "i8", used)
                 columns, start = [], 16 + 16 * used
                 for dtype, width in (("u8", 8), ("i8", 8), ("u4", 4), ("i8", 8), ("u1", 1)):
                     columns.append(_unplaned(raw[start : start + width * rows], dtype, rows))
