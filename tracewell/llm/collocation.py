@@ -37,11 +37,11 @@ SCALE = 2_000_000
 ABSORBED = 80
 UNKNOWN = "und"
 
-TEXT_SLICE = 8 << 20
+TEXT_SLICE = 3 << 20
 RANGE_BYTES = 4 << 20
 MAX_RANGES = 8192
 # The sample that cuts ranges: documents, and characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 2000, 4000
+SAMPLE_DOCS, SAMPLE_CHARS = 1000, 4000
 
 _BREAK, _BLANK = b".,;:!?\n\x0b\x0c\r", b" \t"
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -309,12 +309,14 @@ def _counted(ordered: DataFrame, least: int) -> DataFrame:
     return ordered.mapInArrow(work, "lang string, key binary, size int, n long")
 
 
-def range_cuts(docs: DataFrame, ranges: int) -> list[tuple[str, bytes]]:
+def range_cuts(docs: DataFrame, rows: int, ranges: int) -> list[tuple[str, bytes]]:
     """(lang, window): ``ranges`` - 1 cuts at most, from a sample of bounded size."""
     if ranges < 2:
         return []
-    order = F.xxhash64(F.substring("text", 1, 200), "lang")
-    sample = docs.filter("text is not null").orderBy(order).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_DOCS).collect()
+    # Four times as many as needed are drawn by a hash, then the first of these.
+    draw = F.pmod(F.xxhash64(F.substring("text", 1, 200), "lang"), F.lit(1 << 30)).alias("draw")
+    drawn = docs.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), draw).filter(F.col("draw") * max(rows, 1) < (SAMPLE_DOCS << 32))
+    sample = drawn.filter("text is not null").orderBy("draw", "lang", "text").limit(SAMPLE_DOCS).collect()
     seen = []
     for lang in sorted({r["lang"] for r in sample}):
         distinct, ids, counts = windows([r["text"].encode() for r in sample if r["lang"] == lang])
@@ -329,8 +331,8 @@ def range_cuts(docs: DataFrame, ranges: int) -> list[tuple[str, bytes]]:
 
 def phrase_counts(scratch: Scratch, docs: DataFrame, least: int = MIN_COUNT) -> DataFrame:
     """(lang, key, size, n) of all phrases with ``least`` occurrences, and of all words as size 0."""
-    size = one(docs.agg(F.sum(F.octet_length("text"))))[0] or 0
-    cuts = range_cuts(docs, int(min(MAX_RANGES, max(4, size // RANGE_BYTES))))
+    rows, size = one(docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))))
+    cuts = range_cuts(docs, rows, int(min(MAX_RANGES, max(4, size // RANGE_BYTES))))
     parts = len(cuts) + 1
     dealt = _unpacked(_packed(docs, cuts).repartitionById(parts, F.col("part"))).sortWithinPartitions("lang", "key")
     counted = scratch.save(_counted(dealt, least))
