@@ -263,22 +263,20 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     docs = docs.drop(*added)
     model = model or fit(training_rows(docs))
     languages = model.languages if model else []
-    at = docs.columns.index("text")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.StructType([*map(T.StructField, added, [T.StringType(), T.DoubleType(), T.LongType(), T.LongType()])]))
+    def labelled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         labeller = _Labeller(model) if model else None
         for batch in batches:
-            for a, b in slices(pc.binary_length(batch.column(at)).fill_null(0).to_pylist(), TEXT_SLICE):
-                part = batch.slice(a, b - a)
-                texts = part.column(at).to_pylist()
-                if labeller:
-                    best, score, sizes, switches = labeller.label(texts)
-                else:
-                    best, score, sizes, switches = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-                names = [languages[i] if i >= 0 else UNKNOWN for i in best]
-                columns = [pa.array(names, pa.string()), pa.array(score), pa.array(sizes.astype(np.int64)), pa.array(switches)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *added])
-
-    kinds = [T.StringType(), T.DoubleType(), T.LongType(), T.LongType()]
-    schema = T.StructType([*docs.schema.fields, *map(T.StructField, added, kinds)])
-    return docs.mapInArrow(work, schema)
+            parts = [(np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64))]
+            for a, b in slices(pc.binary_length(batch).fill_null(0).to_pylist(), TEXT_SLICE):
+                nothing = np.full(b - a, -1), np.zeros(b - a), np.zeros(b - a, np.int64), np.zeros(b - a, np.int64)
+                parts.append(labeller.label(batch.slice(a, b - a).to_pylist()) if labeller else nothing)
+            best, score, sizes, switches = (np.concatenate(c) for c in zip(*parts))
+            names = [languages[i] if i >= 0 else UNKNOWN for i in best]
+            arrays = [pa.array(names, pa.string()), pa.array(score), pa.array(sizes.astype(np.int64)), pa.array(switches)]
+            yield pa.StructArray.from_arrays(arrays, added)
+
+    # Only the text goes through Python; the rest of the row stays where it is.
+    found = docs.select("*", labelled(F.col("text").cast("string")).alias("__found"))
+    return found.select(*docs.columns, *[F.col(f"__found.{c}").alias(c) for c in added])

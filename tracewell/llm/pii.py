@@ -300,24 +300,27 @@ def find(docs: DataFrame, weights: np.ndarray | None, masked: bool = False) -> D
     results, an empty table none; columns of the added names are replaced, others kept.
     """
     docs = docs.drop("pii_base", "pii_spans")
-    at = docs.columns.index("text")
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    names = ["pii_base", "pii_spans", "masked"]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.StructType([*map(T.StructField, names, [span, span, T.StringType()])]))
+    def spanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            for a, b in slices(pc.binary_length(batch.column(at)).fill_null(0).to_pylist(), TEXT_SLICE):
-                part = batch.slice(a, b - a)
-                columns = list(part.columns)
-                texts = part.column(at).to_pylist()
-                found = [spans_of(t, weights) for t in texts]
-                if masked:
-                    columns[at] = pa.array([mask(t, f[1]) if f[1] else t for t, f in zip(texts, found)], part.schema.field(at).type)
-                both = [pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in f[i]] for f in found], arrow) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*columns, *both], [*part.schema.names, "pii_base", "pii_spans"])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("pii_base", span), T.StructField("pii_spans", span)])
-    out = docs.mapInArrow(work, schema)
+            both, texts = ([], []), []
+            for a, b in slices(pc.binary_length(batch).fill_null(0).to_pylist(), TEXT_SLICE):
+                for text in batch.slice(a, b - a).to_pylist():
+                    found = spans_of(text, weights)
+                    for i in (0, 1):
+                        both[i].append([{"kind": k, "start": s, "end": e} for k, s, e in found[i]])
+                    # Null stands for a text that stays as it is.
+                    texts.append(mask(text, found[1]) if masked and found[1] else None)
+            yield pa.StructArray.from_arrays([*(pa.array(x, arrow) for x in both), pa.array(texts, pa.string())], names)
+
+    # Only the text goes through Python, and only texts that change come back.
+    found = docs.select("*", spanned(F.col("text").cast("string")).alias("__found"))
+    text = F.coalesce("__found.masked", "text").alias("text")
+    out = found.select(*[text if masked and c == "text" else c for c in docs.columns], "__found.pii_base", "__found.pii_spans")
     if masked and "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
