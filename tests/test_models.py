@@ -119,22 +119,51 @@ def test_fit_recovers_parameters(spark):
     assert f.n_train_events == 1200 * 24 and f.n_train_sequences == 1200
 
 
-def test_calibration_line_small_and_large_groups_agree(spark):
+def newton(x, y, steps=80):
+    """The regression on the events themselves: (intercept, slope, status)."""
+    b = np.array([0.0, 1.0])
+    for _ in range(steps):
+        mu = 1 / (1 + np.exp(-(b[0] + b[1] * x)))
+        w = np.maximum(mu * (1 - mu), 1e-8)
+        columns = np.stack([np.ones_like(x), x])
+        step = np.linalg.solve((columns * w) @ columns.T + 1e-8 * np.eye(2), columns @ (mu - y))
+        b = b - step
+        if np.abs(step).max() < 1e-9:
+            return b[0], b[1], "converged"
+    return b[0], b[1], "maxiter"
+
+
+def test_calibration_line_equals_regression_on_events(spark):
     rng = np.random.default_rng(2)
-    rows = []
-    for g in range(3):
-        for _ in range(300):
-            p = float(rng.uniform(0.05, 0.95))
-            rows.append((g, p, int(rng.random() < p)))
+    rows = [(g, float(p), int(rng.random() < 0.2 + 0.6 * p)) for g in range(3) for p in rng.uniform(0.02, 0.98, 3000)]
+    rows += [(4, p, y) for p, y in ((0.3, 0), (0.35, 1), (0.3, 1), (0.9, 1), (0.1, 0))]
+    rows += [(5, 0.4, 1), (5, 0.4, 0), (5, 0.4, 1)]  # one prediction
+    rows += [(6, 0.2, 0), (6, 0.3, 0), (6, 0.7, 1)]  # outcomes that a threshold separates
     rows += [(9, 0.4, 1), (9, 0.6, 1)]
     df = spark.createDataFrame(rows, "g int, prediction double, y int")
-    small = {r.g: r for r in metrics.calibration_line(df, ["g"]).collect()}
-    large = {r.g: r for r in metrics.calibration_line(df, ["g"], small_group=10).collect()}
-    assert small[9].calibration_fit_status == "single_outcome" and small[9].calibration_slope is None
-    for g in range(3):
-        assert small[g].calibration_fit_status == large[g].calibration_fit_status == "converged"
-        assert small[g].calibration_slope == pytest.approx(large[g].calibration_slope, abs=1e-9)
-        assert small[g].calibration_intercept == pytest.approx(large[g].calibration_intercept, abs=1e-9)
+    found = {r.g: r for r in metrics.calibration_line(df, ["g"]).collect()}
+    assert found[9].calibration_fit_status == "single_outcome" and found[9].calibration_slope is None
+    for g in (0, 1, 2, 4, 5, 6):
+        p, y = np.array([r[1:] for r in rows if r[0] == g]).T
+        intercept, slope, status = newton(np.log(p / (1 - p)), y)
+        assert found[g].calibration_fit_status == status or g == 5, g
+        assert found[g].calibration_intercept == pytest.approx(intercept, abs=1e-6)
+        assert found[g].calibration_slope == pytest.approx(slope, abs=1e-6)
+    assert found[6].calibration_fit_status == "maxiter" and found[5].calibration_fit_status == "converged"
+
+
+def test_prediction_tables_add_up(spark):
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(int(g), float(p), int(rng.random() < p)) for g, p in zip(rng.integers(0, 3, 500), rng.uniform(0, 1, 500).round(2))], "g int, prediction double, y int")
+    whole = metrics.prediction_metrics(df, ["g"]).orderBy("g").collect()
+    parts = metrics.prediction_table(df.limit(200), ["g"]).union(metrics.prediction_table(df.exceptAll(df.limit(200)), ["g"]))
+    merged = metrics.table_metrics(metrics._merged(parts, ["g"]), ["g"]).select(*whole[0].asDict()).orderBy("g").collect()
+    for a, b in zip(whole, merged):
+        assert [x if isinstance(x, (int, str)) else pytest.approx(x, abs=1e-9) for x in b] == list(a)
+    basic = metrics.basic_metrics(df, ["g"]).orderBy("g").collect()
+    ece = metrics.calibration_error(df, ["g"]).orderBy("g").collect()
+    for a, b, c in zip(whole, basic, ece):
+        assert all(a[k] == pytest.approx(b[k], abs=1e-12) for k in b.asDict()) and a.ece_equal_width == pytest.approx(c.ece_equal_width, abs=1e-12)
 
 
 def test_auc_with_ties_and_hot_group(spark, conf):

@@ -72,19 +72,21 @@ _BIN = "least(14, len(list_filter(range(16), lambda k: k * (1.0::double / 15) <=
 
 def metric_sql(source: str, by: str, prefix: str) -> dict[str, str]:
     """CTEs for every metric of ``source`` grouped by ``by``; result in ``<prefix>metrics_v``."""
+    # Newton steps of the calibration line, at most 80, with sums about the least logit of the group.
+    det = "(s0 * s2 - s1 * s1 + 1e-8 * (s0 + s2 + 2 * c * s1 + c * c * s0) + 1e-16)"
     steps = {
-        f"{prefix}x_v": f"select {by}, y, ln(prediction / (1 - prediction)) as x from {source}",
-        f"{prefix}b0": f"select {by}, 0.0::double as b0, 1.0::double as b1, 1.0::double as s0, 1.0::double as s1 from {source} group by all having min(y) < max(y)",
+        f"{prefix}x_v": f"select {by}, y, x, min(x) over (partition by {by}) as c from (select {by}, y, greatest(-20, least(20, ln(prediction / (1 - prediction)))) as x from {source})",
+        f"{prefix}newton_v": f"""
+select {by}, 0 as k, 0.0::double as b0, 1.0::double as b1, 'maxiter' as status from {source} group by all having min(y) < max(y)
+union all
+select {by}, k + 1, b0 - t0, b1 - t1, case when greatest(abs(t0), abs(t1)) < 1e-9 then 'converged' else 'maxiter' end from (
+ select *, ((s2 + c * s1 + 1e-8) * g0 - (s1 + c * s0) * gz) / {det} as t0, ((s0 + 1e-8) * gz + 1e-8 * c * g0 - s1 * g0) / {det} as t1 from (
+  select {by}, k, b0, b1, c, sum(e) as g0, sum(e * (x - c)) as gz, sum(w) as s0, sum(w * (x - c)) as s1, sum(w * (x - c) * (x - c)) as s2 from (
+   select {by}, k, b0, b1, c, x, case when y = 1 then -1 / (1 + exp(b0 + b1 * x)) else 1 / (1 + exp(-b0 - b1 * x)) end as e,
+    greatest(1 / ((1 + exp(b0 + b1 * x)) * (1 + exp(-b0 - b1 * x))), 1e-8) as w
+   from {prefix}newton_v join {prefix}x_v using ({by}) where status <> 'converged' and k < 80) group by all))""",
+        f"{prefix}line_v": f"select {by}, arg_max(b0, k) as b0, arg_max(b1, k) as b1, arg_max(status, k) as status from {prefix}newton_v group by all",
     }
-    for k in range(1, 13):
-        steps[f"{prefix}m{k}"] = (
-            f"select {by}, any_value(b0) as b0, any_value(b1) as b1, sum(mu - y) as g0, sum((mu - y) * x) as g1, sum(greatest(mu * (1 - mu), 1e-8)) + 1e-8 as h00,"
-            f" sum(greatest(mu * (1 - mu), 1e-8) * x) as h01, sum(greatest(mu * (1 - mu), 1e-8) * x * x) + 1e-8 as h11"
-            f" from (select *, 1 / (1 + exp(-(b0 + b1 * x))) as mu from {prefix}x_v join {prefix}b{k - 1} using ({by})) group by {by}"
-        )
-        steps[f"{prefix}b{k}"] = (
-            f"select {by}, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) as b0, b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) as b1 from {prefix}m{k}"
-        )
     steps[f"{prefix}base_v"] = (
         f"select {by}, count(*) as n_events, avg(y) as event_rate, avg(prediction) as mean_prediction, -avg(case when y = 1 then ln(prediction) else ln(1 - prediction) end) as log_loss,"
         f" avg((prediction - y) * (prediction - y)) as brier, avg(case when (prediction >= 0.5) = (y = 1) then 1.0::double else 0 end) as accuracy_0_5, count(*) filter (where within_skill_index = 0) as n_sequences from {source} group by {by}"
@@ -100,8 +102,8 @@ def metric_sql(source: str, by: str, prefix: str) -> dict[str, str]:
         f" from (select *, count(*) filter (where y = 1) over (partition by {by}) as n1, count(*) filter (where y = 0) over (partition by {by}) as n0 from {prefix}rank_v) group by {by}, n1, n0"
     )
     steps[f"{prefix}metrics_v"] = (
-        f"select a.*, c.auc, e.ece_equal_width, b.b0 as calibration_intercept, b.b1 as calibration_slope, case when b.b0 is null then 'single_outcome' else 'converged' end as calibration_fit_status"
-        f" from {prefix}base_v a join {prefix}ece_v e using ({by}) join {prefix}auc_v c using ({by}) left join {prefix}b12 b using ({by})"
+        f"select a.*, c.auc, e.ece_equal_width, b.b0 as calibration_intercept, b.b1 as calibration_slope, coalesce(b.status, 'single_outcome') as calibration_fit_status"
+        f" from {prefix}base_v a join {prefix}ece_v e using ({by}) join {prefix}auc_v c using ({by}) left join {prefix}line_v b using ({by})"
     )
     return steps
 
@@ -122,21 +124,13 @@ def _round_sql(names, digits=6):
     return "* replace (" + ", ".join(f"round({n}, {digits}) as {n}" for n in names) + ")"
 
 
-# In a tiny cell, or one whose outcomes are separated by the prediction or whose prediction is
-# constant, the line is not determined and its digits depend on the number of steps and the
-# summation order. These two queries mark such rows and leave its numbers out; the operator
-# itself returns them.
+# The line of a separable group grows from step to step, so fewer of its digits are compared.
 LINE = ["calibration_intercept", "calibration_slope"]
-DETERMINED = "n_events >= 30 and least(auc, 1 - auc) > 0.05 and abs(auc - 0.5) > 1e-9"
-LINE_SQL = ", ".join(f"case when {DETERMINED} then round({n}, 6) end as {n}" for n in LINE)
-LINE_SQL += f", case when {DETERMINED} then 'determined' else 'undetermined' end as line_status"
+LINE_SQL = ", ".join([f"round({n}, 4) as {n}" for n in LINE])
 
 
-def determined_line(df):
-    fixed = F.expr(DETERMINED)
-    kept = {n: F.when(fixed, F.col(n)) for n in LINE}
-    kept["line_status"] = F.when(fixed, "determined").otherwise("undetermined")
-    return rounded(df.withColumns(kept).drop("calibration_fit_status"))
+def rounded_metrics(df):
+    return rounded(rounded(df, [n for n in FLOATS if n not in LINE]), LINE, 4)
 
 
 @register("i1_filter_predictions", rquery("select learner_id, skill_id, model, i as within_skill_index, gap_ms, y, round(prediction, 9) as prediction, round(state, 9) as state from rec_v"))
@@ -175,9 +169,9 @@ def auc(spark, sf):
     return rounded(metrics.area_under_curve(materialise(scored_events(spark, sf)[1]), ["skill_id", "model"]))
 
 
-@register("i9_calibration_line", rquery("select skill_id, model, round(calibration_intercept, 6) as calibration_intercept, round(calibration_slope, 6) as calibration_slope, calibration_fit_status from sk_metrics_v", **SKILL_BY))
+@register("i9_calibration_line", rquery(f"select skill_id, model, {LINE_SQL}, calibration_fit_status from sk_metrics_v", **SKILL_BY))
 def calibration_line(spark, sf):
-    return rounded(metrics.calibration_line(materialise(scored_events(spark, sf)[1]), ["skill_id", "model"]))
+    return rounded(metrics.calibration_line(scored_events(spark, sf)[1], ["skill_id", "model"]), LINE, 4)
 
 
 @register("i10_calibration_bins", rquery(f"""select g.skill_id, g.model, g.b as bin_index, round(g.b / 15.0, 6) as bin_lower, round((g.b + 1) / 15.0, 6) as bin_upper, coalesce(c.n, 0) as n_events, round(c.mp, 6) as mean_prediction, round(c.my, 6) as observed_rate
@@ -189,14 +183,14 @@ def calibration_bins(spark, sf):
 GRID = f"(select distinct skill_id, model, split, unnest({B.all_gap_bins()}) as gap_bin from lab_v)"
 
 
-@register("i11_gap_bin_metrics", rquery(f"select skill_id, model, split, gap_bin, coalesce(n_events, 0) as n_events, {', '.join(f'round({n}, 6) as {n}' for n in FLOATS[:-2])}, {LINE_SQL} from {GRID} g left join gp_metrics_v using (skill_id, model, split, gap_bin)", **GAP))
+@register("i11_gap_bin_metrics", rquery(f"select skill_id, model, split, gap_bin, coalesce(n_events, 0) as n_events, {', '.join(f'round({n}, 6) as {n}' for n in FLOATS[:-2])}, {LINE_SQL}, coalesce(calibration_fit_status, 'empty') as calibration_fit_status from {GRID} g left join gp_metrics_v using (skill_id, model, split, gap_bin)", **GAP))
 def gap_bin_metrics(spark, sf):
-    return determined_line(metrics.gap_bin_metrics(labelled(spark, sf), ["skill_id", "model", "split"]))
+    return rounded_metrics(metrics.gap_bin_metrics(labelled(spark, sf), ["skill_id", "model", "split"]))
 
 
-@register("i12_model_evaluation", rquery(f"select {ALL_BY}, n_sequences, n_events, {', '.join(f'round({n}, 6) as {n}' for n in FLOATS[:-2])}, {LINE_SQL} from ev_metrics_v", **EVAL))
+@register("i12_model_evaluation", rquery(f"select {ALL_BY}, n_sequences, n_events, {', '.join(f'round({n}, 6) as {n}' for n in FLOATS[:-2])}, {LINE_SQL}, calibration_fit_status from ev_metrics_v", **EVAL))
 def model_evaluation(spark, sf):
-    return determined_line(metrics.evaluate_models(labelled(spark, sf)))
+    return rounded_metrics(metrics.evaluate_models(labelled(spark, sf)))
 
 
 QUERY_FIT = fit.FitConfig()
@@ -256,14 +250,13 @@ def preferred_parameters(spark, sf):
     return metrics.preferred_parameters(fits, metrics.model_selection(fitted.metrics(), fits))
 
 
-_AGG = [m for m in metrics.METRICS if not m.startswith("calibration")]
-
-
 @register("d11_macro_micro_metrics", rquery("select model, split, sample_class, count(*) as n_skills, sum(n_events)::bigint as n_events, " + ", ".join(
-    f"round(avg({m}), 6) as macro_{m}, round(sum({m} * n_events) / sum(case when {m} is not null then n_events end), 6) as micro_weighted_{m}" for m in _AGG) + " from ev_metrics_v group by 1, 2, 3", **EVAL))
+    f"round(avg({m}), {d}) as macro_{m}, round(sum({m} * n_events) / sum(case when {m} is not null then n_events end), {d}) as micro_weighted_{m}"
+    for m, d in ((m, 4 if m in LINE else 6) for m in metrics.METRICS)) + " from ev_metrics_v group by 1, 2, 3", **EVAL))
 def macro_micro_metrics(spark, sf):
     out = metrics.aggregate_metrics(metrics.evaluate_models(labelled(spark, sf)))
-    return rounded(out.drop(*[c for c in out.columns if "calibration" in c]))
+    line = [c for c in out.columns if "calibration" in c]
+    return rounded(rounded(out, line, 4), [n for n, t in out.dtypes if t == "double" and n not in line])
 
 
 @register("d12_gap_bin_summary", rquery("select model, gap_bin, sum(n_events)::bigint as n_events, " + ", ".join(
