@@ -14,8 +14,8 @@ sequence in the documents is the parse.
 * Repeats of both kinds are joined with the documents, whose other bytes stay.
 
 Phrases are equal if 64 bits of the trigger's hash, 48 of the phrase's own, its length and the
-trigger's place agree; suffixes of unequal phrases are compared byte by byte. Occurrences are
-sorted by Spark and read in order, with one row carried from batch to batch. A trigger of
+trigger's place agree; suffixes of unequal phrases are compared byte by byte. A task holds the distinct phrases
+of one range of triggers and gives out repeats as it reads them. A trigger of
 over ``DEAL`` distinct phrases isn't handled by one task: its strings are dealt by their own
 hash and the first of each is a partial minimum.
 """
@@ -40,9 +40,11 @@ GRAM = 32
 DEAL = 20_000
 # Starts hashed in one step; a step's bytes overlap the next one's.
 STEP = 1 << 18
-TEXT_SLICE = 4 << 20
-PARTITION_BYTES = 8 << 20
+TEXT_SLICE = 8 << 20
+# Triggers are dealt by ranges of their hash, one for so many bytes of text; a task takes several.
+RANGE_BYTES = 8 << 20
 MAX_PARTITIONS = 8192
+COMBINE = 1_000_000
 
 _PICK = np.random.default_rng(20250311)
 _BYTE = _PICK.integers(0, 2**64, 256, dtype=np.uint64)
@@ -136,102 +138,125 @@ def _joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join([t.as_py() or b"" for t in texts]), np.uint8), ends
 
 
-def parse(docs: DataFrame, partitions: int) -> DataFrame:
+def parse(docs: DataFrame, ranges: int) -> DataFrame:
     """(part, packed) of the occurrences of all phrases in ``docs`` (doc_id, tag, text), by trigger."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             texts = batch.column(2).cast(pa.binary())
-            found = [(np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint8), np.empty(0, np.int64))]
-            for a, b in slices(pc.binary_length(texts).fill_null(0).to_pylist(), TEXT_SLICE):
-                data, ends = _joined(texts.slice(a, b - a))
+            ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for first, last in slices(pc.binary_length(texts).fill_null(0).to_pylist(), TEXT_SLICE):
+                data, ends = _joined(texts.slice(first, last - first))
                 trigger, phrase, at, n = phrases(data, ends)
                 row = np.searchsorted(ends, at, side="right")
-                found.append((trigger, phrase, at - np.concatenate([[0], ends[:-1]]).astype(np.int64)[row], n.astype(np.uint8), a + row))
-            trigger, phrase, at, n, row = (np.concatenate(c) for c in zip(*found))
-            del found
-            order = np.argsort(trigger, kind="stable")
-            trigger, phrase, at, n, row = trigger[order], phrase[order], at[order], n[order], row[order]
-            ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            part = ((trigger >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32)).astype(np.int64)
-            cuts = np.flatnonzero(np.diff(part, prepend=-1))
-            numbers, packed = [], []
-            for a, b in zip(cuts, np.append(cuts[1:], len(part))):
-                used, place = np.unique(row[a:b], return_inverse=True)
-                arrays = [
-                    np.diff(trigger[a:b], prepend=np.uint64(0)),
-                    phrase[a:b] & np.uint64((1 << 48) - 1),
-                    place.astype(np.uint32),
-                    at[a:b],
-                    n[a:b],
-                ]
-                head = np.array([b - a, len(used)], np.int64).tobytes() + _planes(np.diff(ids[used], prepend=0)) + _planes(tags[used])
-                numbers.append(part[a])
-                packed.append(pack(head + b"".join(map(_planes, arrays))))
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(packed, pa.binary())], ["part", "packed"])
+                at -= np.concatenate([[0], ends[:-1]]).astype(np.int64)[row]
+                order = np.argsort(trigger, kind="stable")
+                trigger, phrase, at, n, row = trigger[order], phrase[order], at[order], n[order], first + row[order]
+                part = ((trigger >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+                cuts = np.flatnonzero(np.diff(part, prepend=-1))
+                packed = []
+                for a, b in zip(cuts, np.append(cuts[1:], len(part))):
+                    used, place = np.unique(row[a:b], return_inverse=True)
+                    arrays = [
+                        np.diff(trigger[a:b], prepend=np.uint64(0)),
+                        phrase[a:b] & np.uint64((1 << 48) - 1),
+                        place.astype(np.uint32),
+                        at[a:b],
+                        n[a:b].astype(np.uint8),
+                    ]
+                    head = np.array([b - a, len(used)], np.int64).tobytes() + _planes(np.diff(ids[used], prepend=0)) + _planes(tags[used])
+                    packed.append(pack(head + b"".join(map(_planes, arrays))))
+                yield pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), pa.array(packed, pa.binary())], ["part", "packed"])
 
     return docs.mapInArrow(work, "part int, packed binary")
 
 
-def occurrences(packed: DataFrame) -> DataFrame:
-    """(g, c, doc_id, tag, at, n): the rows that ``parse`` packed; ``g`` and ``c`` are hashes."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for raw in batch.column(1):
-                raw = unpack(raw.as_py())
-                rows, used = np.frombuffer(raw, np.int64, 2)
-                ids = np.cumsum(_unplaned(raw[16 : 16 + 8 * used], "i8", used))
-                tags = _unplaned(raw[16 + 8 * used : 16 + 16 * used], "i8", used)
-                columns, start = [], 16 + 16 * used
-                for dtype, width in (("u8", 8), ("i8", 8), ("u4", 4), ("i8", 8), ("u1", 1)):
-                    columns.append(_unplaned(raw[start : start + width * rows], dtype, rows))
-                    start += width * rows
-                g, c, place, at, n = columns
-                g = np.cumsum(g).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, c, ids[place], tags[place], at, n.astype(np.int32))], ["g", "c", "doc_id", "tag", "at", "n"])
-
-    return packed.mapInArrow(work, "g long, c long, doc_id long, tag long, at long, n int")
-
-
-def meet(ordered: DataFrame) -> DataFrame:
-    """(g, doc_id, tag, at, n, whole) of the occurrences that matter, from rows sorted by
-    (g, c, n, doc_id, tag, at).
+def _unpacked(raw: bytes) -> list[np.ndarray]:
+    """[trigger, phrase, n, doc_id, tag, at] of a block that ``parse`` packed."""
+    rows, used = np.frombuffer(raw, np.int64, 2)
+    ids = np.cumsum(_unplaned(raw[16 : 16 + 8 * used], "i8", used))
+    tags = _unplaned(raw[16 + 8 * used : 16 + 16 * used], "i8", used)
+    columns, start = [], 16 + 16 * used
+    for dtype, width in (("u8", 8), ("i8", 8), ("u4", 4), ("i8", 8), ("u1", 1)):
+        columns.append(_unplaned(raw[start : start + width * rows], dtype, rows))
+        start += width * rows
+    g, c, place, at, n = columns
+    return [np.cumsum(g).view(np.int64), c, n.astype(np.int64), ids[place], tags[place], at]
+
+
+class _Meeting:
+    """Occurrences of the triggers of one range: the first of each phrase stays, others are repeats."""
+
+    def __init__(self) -> None:
+        self.parts: list[list[np.ndarray]] = []
+        self.rows = 0
+
+    def add(self, columns: list[np.ndarray]) -> None:
+        self.parts.append(columns)
+        self.rows += len(columns[0])
+
+    def _combined(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """All rows in order, and whether each is the first of its phrase."""
+        columns = [np.concatenate(c) for c in zip(*self.parts)]
+        order = np.lexsort(columns[::-1])
+        columns = [c[order] for c in columns]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)
+        return columns, fresh
+
+    def compact(self) -> list[np.ndarray]:
+        """Give out the repeats so far; one row of each phrase is left."""
+        columns, fresh = self._combined()
+        self.parts, self.rows = [[c[fresh] for c in columns]], int(fresh.sum())
+        return [c[~fresh] for c in columns]
+
+    def firsts(self) -> list[np.ndarray]:
+        """After ``compact``: the first occurrences of phrases whose trigger has several."""
+        columns = self.parts[0]
+        g = columns[0]
+        several = np.zeros(len(g), bool)
+        same = g[1:] == g[:-1]
+        several[1:] |= same
+        several[:-1] |= same
+        return [c[several] for c in columns]
+
+
+def meet(packed: DataFrame) -> DataFrame:
+    """(g, doc_id, tag, at, n, whole) of the occurrences that matter, from the blocks of ``parse``.
 
     ``whole`` is true for occurrences of a phrase that occurred before, and false for the first
-    one of each phrase whose trigger has several phrases.
+    one of each phrase whose trigger has several phrases. Blocks come range by range; at
+    most ``COMBINE`` rows wait beside the distinct phrases of a range.
     """
 
+    def rows(columns: list[np.ndarray], whole: bool) -> Iterator[pa.RecordBatch]:
+        g, _, n, ids, tags, at = columns
+        for a in range(0, len(g), 50_000):
+            part = [x[a : a + 50_000] for x in (g, ids, tags, at, n.astype(np.int32), np.full(len(g), whole))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in part], ["g", "doc_id", "tag", "at", "n", "whole"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, several = None, None, False  # the last row; a first row not yet given out
+        unpack = zstandard.ZstdDecompressor().decompress
+        meeting, now, limit = _Meeting(), None, COMBINE
+
+        def end() -> Iterator[pa.RecordBatch]:
+            if meeting.rows:
+                yield from rows(meeting.compact(), True)
+                yield from rows(meeting.firsts(), False)
+
         for batch in batches:
-            if not len(batch):
-                continue
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            g, c, n = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(5).to_numpy()
-            new_g = np.concatenate([[True], g[1:] != g[:-1]])
-            new_c = new_g | np.concatenate([[True], (c[1:] != c[:-1]) | (n[1:] != n[:-1])])
-            if held is None and last is not None:
-                new_g[0] = g[0] != last[0]
-                new_c[0] = new_g[0] or (c[0], n[0]) != last[1:]
-            group = np.cumsum(new_g) - new_g[0]
-            kinds = np.bincount(group, weights=new_c)
-            if not new_g[0]:
-                kinds[0] += 2 if several else 1
-            give = ~new_c | (kinds[group] > 1)
-            first = np.flatnonzero(new_c & (group == group[-1]))
-            held, several = None, bool(kinds[-1] > 1)
-            if not several and len(first):
-                held = batch.slice(first[-1], 1)
-            last = (g[-1], c[-1], n[-1])
-            rows = pa.array(np.flatnonzero(give))
-            out = [batch.column(i).take(rows) for i in (0, 2, 3, 4, 5)]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(~new_c[give])], ["g", "doc_id", "tag", "at", "n", "whole"])
-
-    return ordered.mapInArrow(work, "g long, doc_id long, tag long, at long, n int, whole boolean")
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if part != now:
+                    yield from end()
+                    meeting, now, limit = _Meeting(), part, COMBINE
+                meeting.add(_unpacked(unpack(raw.as_py())))
+                if meeting.rows > limit:
+                    yield from rows(meeting.compact(), True)
+                    limit = meeting.rows + COMBINE
+        yield from end()
+
+    return packed.mapInArrow(work, "g long, doc_id long, tag long, at long, n int, whole boolean")
 
 
 def _windows(content: pa.Array, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -376,9 +401,10 @@ def _contents(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 def repeats(scratch: Scratch, docs: DataFrame, deal: int = DEAL) -> DataFrame:
     """``FOUND`` rows: starts at..at+n-1 of a document hold strings that also start earlier."""
     size = one(docs.agg(F.sum(F.octet_length("text"))))[0] or 0
-    parts = int(min(MAX_PARTITIONS, max(4, size // PARTITION_BYTES)))
-    met = occurrences(parse(docs, parts).repartitionById(parts, F.col("part"))).sortWithinPartitions("g", "c", "n", "doc_id", "tag", "at")
-    met = scratch.save(meet(met))
+    ranges = int(max(4, size // RANGE_BYTES))
+    parts = min(MAX_PARTITIONS, ranges)
+    blocks = parse(docs, ranges).repartitionById(parts, (F.col("part") % parts).cast("int"))
+    met = scratch.save(meet(blocks.sortWithinPartitions("part")))
     firsts = scratch.save(_contents(docs, met.filter("not whole").drop("whole")))
     wide = scratch.save(firsts.groupBy("g").count().filter(F.col("count") > deal).select("g"))
     usual = firsts.join(wide.hint("merge"), "g", "left_anti").select("g", "doc_id", "tag", "at", "n", "content")
