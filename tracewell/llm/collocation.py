@@ -2,7 +2,7 @@
 
 A window is a word and up to three words after it in its piece of text; every word starts one,
 so the count of a phrase is the sum over the windows that begin with it. Windows are counted in
-tasks, packed, dealt by ranges of their order and read there in that order by ``_counted``: one
+tasks, dealt in blocks by ranges of their order and read there in that order by ``_counted``: one
 pass gives the counts of all phrases of one to ``WORDS`` words with four sums in memory, and
 only phrases that straddle a range leave it as parts. The frequent ones are laid out in two
 orders, by their words and by their words from the last to the first. A pass over the first
@@ -18,12 +18,12 @@ the order of word sequences.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ SCALE = 2_000_000
 ABSORBED = 80
 UNKNOWN = "und"
 
-TEXT_SLICE = 3 << 20
+TEXT_SLICE = 2 << 20
 RANGE_BYTES = 4 << 20
 MAX_RANGES = 8192
 # The sample that cuts ranges: documents, and characters of each.
@@ -104,95 +104,49 @@ def windows(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return distinct, np.stack([a >> np.uint64(32), a & mask, b >> np.uint64(32), b & mask], axis=1).astype(np.int64), counts
 
 
-def _pack(distinct: pa.Array, ids: np.ndarray, counts: np.ndarray) -> bytes:
-    """Windows in order: how many words each shares with the one before, its length, count and other words."""
-    same = np.zeros((len(ids), WORDS), bool)
-    same[1:] = np.logical_and.accumulate((ids[1:] == ids[:-1]) & (ids[1:] > 0), axis=1)
-    shared, length = same.sum(axis=1), (ids > 0).sum(axis=1)
-    new = (~same) & (ids > 0)
-    text = _bytes(distinct.take(pa.array(ids[new] - 1)))
-    head = np.array([len(ids)], np.int64).tobytes()
-    return head + (shared * 8 + length).astype(np.uint8).tobytes() + _planes(counts.astype(np.uint32)) + text.tobytes()
-
-
-def _planes(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
-
-
-def _unpack(raw: bytes) -> tuple[pa.Array, np.ndarray]:
-    """(windows, counts) of a packed block; a window is its words with a space behind each."""
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    shape = np.frombuffer(raw, np.uint8, n, 8)
-    counts = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, 8 + n).reshape(4, n).T).view(np.uint32)[:, 0]
-    text = np.frombuffer(raw, np.uint8, offset=8 + 5 * n)
-    shared, length = shape >> 3, shape & 7
-    words = _binary(text, np.flatnonzero(text == _SPACE) + 1)
-    column = np.arange(WORDS)
-    new = (column >= shared[:, None]) & (column < length[:, None])
-    at = np.full((n, WORDS), -1, np.int64)
-    at[new] = np.arange(len(words))
-    row = np.where(new, np.arange(n)[:, None], 0)
-    at = np.take_along_axis(at, np.maximum.accumulate(row, axis=0), axis=0)
-    used = at[column < length[:, None]]
-    sizes = pc.binary_length(words).to_numpy().astype(np.int64)[used]
-    ends = np.cumsum(sizes)[np.cumsum(length.astype(np.int64)) - 1]
-    return _binary(_bytes(words.take(pa.array(used))), ends), counts.astype(np.int64)
-
-
-def _cut_places(distinct: pa.Array, ids: np.ndarray, cuts: list[bytes]) -> np.ndarray:
-    """For each cut the number of windows before it."""
-    names = distinct.to_pylist()
-
-    def window(i: int) -> bytes:
-        return b"".join([names[k - 1] for k in ids[i] if k])
-
-    out = []
-    for cut in cuts:
-        low, high = out[-1] if out else 0, len(ids)
-        while low < high:
-            middle = (low + high) // 2
-            low, high = (middle + 1, high) if window(middle) < cut else (low, middle)
-        out.append(low)
-    return np.array(out, np.int64)
-
-
-def _packed(docs: DataFrame, cuts: list[tuple[str, bytes]]) -> DataFrame:
-    """(part, lang, packed): the windows of ``docs`` (lang, text) counted by task, in blocks by range."""
+def _keys(distinct: pa.Array, ids: np.ndarray) -> pa.Array:
+    """Windows as their words, each with a space behind it."""
+    used = ids[ids > 0]
+    sizes = pc.binary_length(distinct).to_numpy().astype(np.int64)[used - 1]
+    ends = np.cumsum(sizes)[np.cumsum((ids > 0).sum(axis=1)) - 1]
+    return _binary(_bytes(distinct.take(pa.array(used - 1))), ends)
+
+
+def _blocks(docs: DataFrame, cuts: list[tuple[str, bytes]]) -> DataFrame:
+    """(part, lang, block): the windows of ``docs`` (lang, text) counted by task, by range.
+
+    A block is the lines of one range in order: a window (each word with a space behind it) and
+    its count. No word holds a line end.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            langs = batch.column(0).dictionary_encode()
-            texts = batch.column(1).cast(pa.binary())
-            parts, names, blocks = [], [], []
-            for code, lang in enumerate(langs.dictionary.to_pylist()):
-                own = texts.take(pa.array(np.flatnonzero(langs.indices.to_numpy() == code)))
-                before = sum(name < lang for name, _ in cuts)
-                inside = [key for name, key in cuts if name == lang]
-                for a, b in slices(pc.binary_length(own).fill_null(0).to_pylist(), TEXT_SLICE):
-                    distinct, ids, counts = windows([t or b"" for t in own.slice(a, b - a).to_pylist()])
-                    places = [0, *_cut_places(distinct, ids, inside), len(ids)]
+            for a, b in slices(pc.binary_length(batch.column(1)).fill_null(0).to_pylist(), TEXT_SLICE):
+                langs, texts = batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist()
+                parts, names, blocks = [], [], []
+                for lang in sorted(set(langs)):
+                    distinct, ids, counts = windows([t.encode() for x, t in zip(langs, texts) if x == lang and t])
+                    keys = _keys(distinct, ids).to_pylist()
+                    inside = [key for name, key in cuts if name == lang]
+                    places = [0, *[bisect_left(keys, cut) for cut in inside], len(keys)]
+                    lines = [b"%b%d" % line for line in zip(keys, counts.tolist())]
+                    before = sum(name < lang for name, _ in cuts)
                     for k, (x, y) in enumerate(zip(places, places[1:])):
                         if x < y:
                             parts.append(before + k)
                             names.append(lang)
-                            blocks.append(pack(_pack(distinct, ids[x:y], counts[x:y])))
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(names, pa.string()), pa.array(blocks, pa.binary())], ["part", "lang", "packed"])
+                            blocks.append(b"\n".join(lines[x:y]))
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(names, pa.string()), pa.array(blocks, pa.binary()).cast(pa.string())], ["part", "lang", "block"])
 
-    return docs.mapInArrow(work, "part int, lang string, packed binary")
+    return docs.mapInArrow(work, "part int, lang string, block string")
 
 
-def _unpacked(blocks: DataFrame) -> DataFrame:
-    """(lang, key, n): the windows of packed blocks."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for lang, raw in zip(batch.column(1).to_pylist(), batch.column(2)):
-                keys, counts = _unpack(unpack(raw.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(keys), np.int8))), keys, pa.array(counts)], ["lang", "key", "n"])
-
-    return blocks.mapInArrow(work, "lang string, key binary, n long")
+def _lines(blocks: DataFrame) -> DataFrame:
+    """(lang, key, n): the windows of blocks."""
+    line = F.explode(F.split("block", "\n")).alias("line")
+    count = F.substring_index("line", " ", -1)
+    rows = blocks.select("lang", line)
+    return rows.select("lang", F.expr("left(line, length(line) - length(substring_index(line, ' ', -1)))").cast("binary").alias("key"), count.cast("long").alias("n"))
 
 
 def _matrix(keys: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -320,8 +274,7 @@ def range_cuts(docs: DataFrame, rows: int, ranges: int) -> list[tuple[str, bytes
     seen = []
     for lang in sorted({r["lang"] for r in sample}):
         distinct, ids, counts = windows([r["text"].encode() for r in sample if r["lang"] == lang])
-        names = distinct.to_pylist()
-        seen += [(lang, b"".join([names[k - 1] for k in row if k]), c) for row, c in zip(ids.tolist(), counts.tolist())]
+        seen += [(lang, key, c) for key, c in zip(_keys(distinct, ids).to_pylist(), counts.tolist())]
     if not seen:
         return []
     total = np.cumsum([c for _, _, c in seen])
@@ -334,7 +287,7 @@ def phrase_counts(scratch: Scratch, docs: DataFrame, least: int = MIN_COUNT) ->
     rows, size = one(docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))))
     cuts = range_cuts(docs, rows, int(min(MAX_RANGES, max(4, size // RANGE_BYTES))))
     parts = len(cuts) + 1
-    dealt = _unpacked(_packed(docs, cuts).repartitionById(parts, F.col("part"))).sortWithinPartitions("lang", "key")
+    dealt = _lines(_blocks(docs, cuts).repartitionById(parts, F.col("part"))).sortWithinPartitions("lang", "key")
     counted = scratch.save(_counted(dealt, least))
     whole = counted.groupBy("lang", "key", "size").agg(F.sum("n").alias("n"))
     return scratch.save(whole.filter(f"size = 0 or n >= {least}"))
