@@ -1,105 +1,12 @@
-"""Readers for raw learner logs and question metadata.
-
-A learner log is one CSV file ``u<id>.csv`` whose row order matters. Files are read as
-lines, block by block, so a file of any size is shared between tasks; row numbers are
-counted inside each block and shifted by the rows of the blocks before it.
-Quoted fields may hold commas but not line breaks.
-"""
+"""Question metadata, and reports on inventories and tables; learner logs are in ``learner_files``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators.skew import lookup_join
-
-# Required columns of both inputs.
-LOG_COLUMNS = ["timestamp", "solving_id", "question_id", "user_answer", "elapsed_time"]
+# Fixed value: required columns.
 QUESTION_COLUMNS = ["question_id", "bundle_id", "explanation_id", "correct_answer", "part", "tags", "deployed_at"]
-FILE_NAME = r"(?i)^u(\d+)\.csv$"
-BYTE_ORDER_MARK = "﻿"
-
-
-def file_learner_id(name: Column) -> Column:
-    """The integer of ``u<integer>.csv``; null for other names."""
-    return F.regexp_extract(name, FILE_NAME, 1).try_cast("bigint")
-
-
-def split_fields(line: Column) -> Column:
-    """CSV fields of one line; doubled quotes inside quotes stand for one quote."""
-    plain = F.split(line, ",", -1)
-    matches = F.regexp_extract_all(line, F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
-    unquoted = F.transform(
-        matches,
-        lambda m: F.when(m.rlike('^".*"$'), F.regexp_replace(F.regexp_replace(m, r'^"|"$', ""), '""', '"')).otherwise(m),
-    )
-    return F.when(F.contains(line, F.lit('"')), unquoted).otherwise(plain)
-
-
-def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines with file name, position in the file and the file's header line."""
-    meta = F.col("_metadata")
-    lines = spark.read.text(path, pathGlobFilter="*.[cC][sS][vV]").select(
-        meta.file_path.alias("file_path"),
-        meta.file_name.alias("source_file"),
-        meta.file_block_start.alias("block"),
-        (meta.file_block_length < meta.file_size).alias("split_file"),
-        F.monotonically_increasing_id().alias("arrival"),
-        F.regexp_replace("value", f"^{BYTE_ORDER_MARK}", "").alias("line"),
-    )
-    lines = lines.where(F.length("line") > 0)
-    # Arrival order is file order inside a block, because one task reads a block from start to end.
-    inside = Window.partitionBy("file_path", "block").orderBy("arrival")
-    first = F.first("line").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = lines.withColumns({"number": F.row_number().over(inside) - 1, "first_line": first})
-    # Only files read in several blocks need values carried between blocks: a count per block.
-    blocks = (
-        lines.where("split_file").groupBy("file_path", "block").agg(F.count(F.lit(1)).alias("n"), F.min_by("line", "arrival").alias("first_line"))
-    )
-    over = Window.partitionBy("file_path").orderBy("block")
-    carried = blocks.select(
-        "file_path",
-        "block",
-        F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-        F.first("first_line").over(over.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("header_line"),
-    )
-    joined = lookup_join(local, carried, ["file_path", "block"], "left")
-    return joined.select(
-        "source_file",
-        (F.col("number") + F.coalesce("before", F.lit(0))).cast("long").alias("position"),
-        F.coalesce("header_line", "first_line").alias("header"),
-        "line",
-    )
-
-
-def read_learner_logs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(responses, errors) of all ``u<id>.csv`` files under ``path``.
-
-    Responses: learner_id, source_file, source_row (2 for the first data row) and the five
-    raw string fields. Errors: one row per file without a usable header."""
-    lines = _numbered_lines(spark, path).withColumn("learner_id", file_learner_id(F.col("source_file")))
-    names = split_fields(F.col("header"))
-    lines = lines.withColumn("names", names).withColumn("trimmed_names", F.transform("names", F.trim))
-    missing = F.filter(F.array(*[F.lit(c) for c in LOG_COLUMNS]), lambda c: ~F.array_contains(F.col("trimmed_names"), c))
-    lines = lines.withColumn("missing", missing)
-    rows = lines.where((F.size("missing") == 0) & (F.col("position") > 0)).withColumn("fields", split_fields(F.col("line")))
-
-    def field(name: str) -> Column:
-        at = F.array_position("names", name)
-        return F.when(at > 0, F.get("fields", (at - 1).cast("int"))).alias(name)
-
-    responses = rows.select(
-        "learner_id", "source_file", (F.col("position") + 1).alias("source_row"), *[field(c) for c in LOG_COLUMNS]
-    )
-    bad = lines.where((F.col("position") == 0) & (F.size("missing") > 0)).select(
-        "learner_id", "source_file", F.lit("read").alias("stage"),
-        F.concat(F.lit("missing required columns "), F.array_join("missing", ", ")).alias("error"),
-    )
-    inventory = file_inventory(spark, path).where(F.col("learner_id").isNotNull())
-    empty = inventory.join(lines.select("source_file").distinct(), "source_file", "left_anti").select(
-        "learner_id", "source_file", F.lit("read").alias("stage"), F.lit("missing CSV header").alias("error")
-    )
-    return responses, bad.unionByName(empty)
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
@@ -116,19 +23,6 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*QUESTION_COLUMNS)
 
 
-def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Name, learner id and size of every CSV file; the content is not read.
-
-    Scans skip empty files, so those are added from the name list of Spark's own file index,
-    which the driver already holds."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").load(path)
-    name = F.substring_index("path", "/", -1).alias("source_file")
-    sized = files.select(name, F.col("length").alias("bytes"))
-    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string").select(name)
-    empty = listed.join(sized, "source_file", "left_anti").select("source_file", F.lit(0).cast("long").alias("bytes"))
-    return sized.unionByName(empty).withColumn("learner_id", file_learner_id(F.col("source_file")))
-
-
 def inventory_report(inventory: DataFrame) -> DataFrame:
     """Totals, id range, unexpected names and duplicate ids of an inventory, with its fingerprint.
 
