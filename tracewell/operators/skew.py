@@ -12,7 +12,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,14 +48,48 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIR["path"]
 
 
+# Folders of the running query, innermost last; see ``tables_dropped``.
+_OPEN: list[list[str]] = []
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted with the tables of the running query."""
+    path = f"{shared_dir(spark)}/tracewell-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives executor loss."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracewell-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, scratch_path(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_dropped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``query`` so that the tables it wrote on the way are deleted; its result is written in their place.
+
+    A query that wrote none returns its result as it is."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        _OPEN.append([])
+        try:
+            result = query(spark, sf)
+            if _OPEN[-1]:
+                kept = f"{shared_dir(spark)}/tracewell-{uuid.uuid4().hex}"
+                result.write.parquet(kept)
+                result = spark.read.schema(result.schema).parquet(kept)
+            return result
+        finally:
+            for path in _OPEN.pop():
+                target = spark._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+    return run
+
+
 def task_rows(df: DataFrame) -> tuple[int, int]:
     """(rows in ``df``, rows one task may hold). The second grows with the first so that
     at most ``MAX_RANGES`` groups can exceed it."""

@@ -8,6 +8,7 @@ from tracewell.plans import (  # noqa: F401
     prepare_queries,
     reference_queries,
     scoring_queries,
+    source_queries,
 )
 from tracewell.plans.registry import QUERIES, SQL
 

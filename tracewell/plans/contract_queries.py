@@ -12,7 +12,7 @@ from tracewell.plans import views as V
 from tracewell.plans.experiment_queries import _METRICS
 from tracewell.plans.registry import register
 from tracewell.plans.sql import query
-from tracewell.sources import logs, tables
+from tracewell.sources import tables
 
 
 def both(*bodies: str) -> str:
@@ -71,11 +71,6 @@ def selected_questions(spark, sf):
     return V.Build(spark, sf).selected_questions.select(*columns)
 
 
-@register("a12_data_fingerprint")
-def data_fingerprint(spark, sf):
-    return logs.data_fingerprint(V.table(spark, sf, "events"))
-
-
 @register("c4_split_agreement", both("select 'split_agrees' as check, count(*) filter (where (r.split = s.split) is not true)::bigint as violations from (select distinct learner_id, skill_id, split from {t}) r left join all_splits_v s using (learner_id)"))
 def split_agreement(spark, sf):
     b = Bundle(spark, sf)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: required columns.
@@ -23,26 +23,62 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*QUESTION_COLUMNS)
 
 
-def inventory_report(inventory: DataFrame) -> DataFrame:
-    """Totals, id range, unexpected names and duplicate ids of an inventory, with its fingerprint.
+_LANES = [f"lane{i}" for i in range(8)]
+
+
+def _canonical(df: DataFrame) -> Column:
+    """Every column of a row by name, type and value, in the order of names; times as microseconds."""
+    parts = []
+    for field in sorted(df.schema.fields, key=lambda f: f.name):
+        kind, value = field.dataType.simpleString(), F.col(f"`{field.name}`")
+        if kind.startswith("timestamp"):
+            kind, value = "timestamp", _micros(value)
+        elif kind.startswith(("array", "map", "struct")):
+            value = F.to_json(value)
+        text = value.cast("string")
+        parts.append(F.coalesce(F.concat(F.lit(f"{field.name}:{kind}="), F.length(text).cast("string"), F.lit(":"), text), F.lit(f"{field.name}:{kind}=~")))
+    return F.concat_ws(";", *parts)
+
+
+def _micros(value: Column) -> Column:
+    epoch = F.expr("timestamp_ntz'1970-01-01 00:00:00'")
+    return F.timestamp_diff("MICROSECOND", epoch, value.cast("timestamp_ntz"))
+
+
+def digest_state(df: DataFrame) -> DataFrame:
+    """rows and eight lanes of the multiset of ``df``'s rows: sums of the words of each row's SHA-256.
+
+    States of parts of a table add up (``merged_state``), and a row can be added or taken out
+    without the others, so no order and no collection of rows is needed."""
+    row = df.select(F.sha2(_canonical(df), 256).alias("row"))
+    words = [F.sum(F.conv(F.substring("row", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")) for i in range(8)]
+    return row.agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(w, F.lit(0)).cast("decimal(38,0)").alias(n) for w, n in zip(words, _LANES)])
 
-    The fingerprint adds the digests of the single entries, so it does not depend on file
-    order and needs no ordered collection in one task."""
+
+def merged_state(states: DataFrame) -> DataFrame:
+    return states.agg(F.sum("rows").alias("rows"), *[F.sum(n).cast("decimal(38,0)").alias(n) for n in _LANES])
+
+
+def digest(state: DataFrame) -> DataFrame:
+    """(rows, digest) of a state."""
+    return state.select("rows", F.sha2(F.concat_ws("-", *[F.col(n).cast("string") for n in _LANES]), 256).alias("digest"))
+
+
+def inventory_report(inventory: DataFrame) -> DataFrame:
+    """Totals, id range, unexpected names and duplicate ids of an inventory, with its fingerprint."""
     known = F.col("learner_id").isNotNull()
-    entry = F.sha2(F.concat_ws("\t", F.col("learner_id").cast("string"), "source_file", F.col("bytes").cast("string")), 256)
-    words = [F.sum(F.conv(F.substring(entry, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).alias(f"w{i}") for i in range(8)]
     totals = inventory.agg(
         F.count_if(known).alias("learner_files"),
         F.count_if(~known).alias("unexpected_files"),
         F.min("learner_id").alias("minimum_learner_id"),
         F.max("learner_id").alias("maximum_learner_id"),
         F.sum(F.when(known, F.col("bytes"))).alias("total_bytes"),
-        *words,
     )
     repeated = inventory.where(known).groupBy("learner_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     duplicates = repeated.agg(F.count(F.lit(1)).alias("duplicate_learner_ids"))
-    fingerprint = F.sha2(F.concat_ws("-", *[F.col(f"w{i}").cast("string") for i in range(8)]), 256)
-    return totals.crossJoin(F.broadcast(duplicates)).withColumn("fingerprint", fingerprint).drop(*[f"w{i}" for i in range(8)])
+    fingerprint = digest(digest_state(inventory)).select(F.col("digest").alias("fingerprint"))
+    # Three one-row tables.
+    return totals.crossJoin(F.broadcast(duplicates)).crossJoin(F.broadcast(fingerprint))
 
 
 def require_clean_inventory(inventory: DataFrame) -> DataFrame:
@@ -53,8 +89,5 @@ def require_clean_inventory(inventory: DataFrame) -> DataFrame:
 
 
 def data_fingerprint(df: DataFrame) -> DataFrame:
-    """Order-independent fingerprint of a table: row count and XOR and sum of row hashes."""
-    h = F.xxhash64(*df.columns)
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("hash_xor"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("hash_sum")
-    )
+    """(rows, digest): a fingerprint of the table's rows that doesn't depend on their order."""
+    return digest(digest_state(df))
