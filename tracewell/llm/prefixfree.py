@@ -119,7 +119,8 @@ def phrases(data: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int = GR
         n = np.diff(np.append(run, len(at)))
         first = at[run]
         shape = ((place[run] - first) * (span + 1) + n).astype(np.uint64)
-        parts.append((grams[place[run]], _mixed(rolling.of(first, first + n - 1 + span) + _mixed(shape)), first + a, n))
+        # Triggers have small hashes, so these are mixed once more to spread over all ranges.
+        parts.append((_mixed(grams[place[run]]), _mixed(rolling.of(first, first + n - 1 + span) + _mixed(shape)), first + a, n))
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
