@@ -16,9 +16,15 @@ def con():
     return duck(SF)
 
 
+# The smallest tables have no learners for calibration.
+LARGER = "/root/testdata/sf0.01"
+ON_LARGER = {"i13_model_selection", "i15_preferred_parameters"}
+
+
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_matches_sql(spark, con, name):
-    assert differences(spark, con, entry.queries()[name], entry.oracle_sql()[name], SF) == []
+    sf, tables = (LARGER, duck(LARGER)) if name in ON_LARGER else (SF, con)
+    assert differences(spark, tables, entry.queries()[name], entry.oracle_sql()[name], sf) == []
 
 
 def test_every_sql_has_a_query():

@@ -26,7 +26,7 @@ def _steps(length: np.ndarray):
 
 def _chances(right, slip, guess):
     """Probability of the observed answer with and without mastery."""
-    return np.abs(right - slip), np.abs(1.0 - right - guess)
+    return np.where(right, 1.0 - slip, slip), np.where(right, guess, 1.0 - guess)
 
 
 def _sweep(start, first, length, days, y, learn, slip, guess, rate):
@@ -40,7 +40,7 @@ def _sweep(start, first, length, days, y, learn, slip, guess, rate):
         before = state[:n] * np.exp(-rate[:n] * days[at])
         with_, without = _chances(y[at] > 0, slip[:n], guess[:n])
         observed = np.maximum(without + before * (with_ - without), TINY)
-        state[:n] = 1.0 - (1.0 - learn[:n]) * (1.0 - before * with_ / observed)
+        state[:n] = learn[:n] + (1.0 - learn[:n]) * before * with_ / observed
         mastery.append(before)
     return mastery, state
 
@@ -57,7 +57,7 @@ def forward(start, first, length, days, y, learn, slip, guess, rate):
         with_, without = _chances(right, slip[:n], guess[:n])
         observed = np.maximum(without + before * (with_ - without), TINY)
         prediction[at] = p
-        after[at] = 1.0 - (1.0 - learn[:n]) * (1.0 - before * with_ / observed)
+        after[at] = learn[:n] + (1.0 - learn[:n]) * before * with_ / observed
         total[:n] += np.log(np.where(right, p, 1.0 - p))
     return prediction, after, last, total
 

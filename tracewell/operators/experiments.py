@@ -342,20 +342,31 @@ def tertile_thresholds(outcomes: DataFrame, value: str) -> DataFrame:
 def bootstrap_quantile(values: DataFrame, by: Sequence[str], value: str, q: float, seed: int, resamples: int = 1000) -> DataFrame:
     """2.5 and 97.5 % points of a quantile over resamples drawn with a keyed hash.
 
-    Values are numbered inside their group; every (resample, draw) pair picks a number and an
-    equi-join on it fetches the value, so the resamples are spread over the cluster."""
+    A resample's quantile needs two of its order statistics only. Those of n uniform numbers
+    follow each other by exponential spacings (1 - U_k is the product of the first k keyed
+    uniforms V_j to the power 1 / (n - j)), so they are drawn directly: no row meets a resample
+    but the two whose places come out. Groups of fewer than two values give nulls."""
     by = list(by)
     keyed = values.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
     tagged = keyed.withColumn("__t", F.monotonically_increasing_id())
-    numbered = materialise(prefix(materialise(tagged), by, ["__v", "__t"], count="__i", totals={"__n": F.lit(1)}))
-    draws = numbered.where(F.col("__n") >= 2).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u = keyed_uniform(seed, 0, "__i", 0, "__b", f"abs(xxhash64({', '.join(by)}) % 1000003)")
-    picked = draws.select(*by, "__b", F.least(F.floor(u * F.col("__n")), F.col("__n") - 1).alias("__i"))
-    fetched = picked.join(numbered.select(*by, "__i", "__v"), [*by, "__i"])
-    each = exact_quantiles(fetched, [*by, "__b"], "__v", (q,)).select(*by, F.get("quantiles", F.lit(0)).alias("__q"))
-    ends = exact_quantiles(materialise(each), by, "__q", (0.025, 0.975))
-    found = ends.select(*by, F.get("quantiles", F.lit(0)).alias("stability_low"), F.get("quantiles", F.lit(1)).alias("stability_high"))
-    return numbered.select(*by).distinct().join(found, by, "left")
+    numbered = materialise(prefix(materialise(tagged), by, ["__v", "__t"], count="__i"))
+    at = F.lit(float(q)) * (F.col("__n") - 1)
+    sizes = materialise(numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")))
+    key = F.conv(F.substring(F.sha2(F.concat_ws("|", *by), 256), 1, 8), 16, 10).cast("long")
+    planned = sizes.where(F.col("__n") >= 2).select(*by, "__n", F.floor(at).alias("__lo"), (at - F.floor(at)).alias("__part"), key.alias("__key"))
+    drawn = planned.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__lo") + 1)))
+    term = F.ln(F.greatest(keyed_uniform(seed, 0, "__j", 0, "__b", "__key"), F.lit(2.0**-54))) / (F.col("__n") - F.col("__j"))
+    ends = drawn.where("__j < __n").groupBy(*by, "__n", "__part", "__b").agg(F.sum(F.when(F.col("__j") <= F.col("__lo"), term)).alias("__s0"), F.sum(term).alias("__s1"))
+    place = lambda s: F.least(F.floor((1 - F.exp(s)) * F.col("__n")), F.col("__n") - 1)
+    wanted = ends.select(*by, "__b", "__part", F.posexplode(F.array(place(F.col("__s0")), place(F.col("__s1")))).alias("__end", "__i"))
+    found = wanted.join(numbered.select(*by, "__i", "__v"), [*by, "__i"])
+    side = lambda e: F.max(F.when(F.col("__end") == e, F.col("__v")))
+    each = found.groupBy(*by, "__b", "__part").agg(side(0).alias("__v0"), side(1).alias("__v1"))
+    quantile = F.col("__v0") + (F.col("__v1") - F.col("__v0")) * F.col("__part")
+    # ``resamples`` rows a group.
+    points = each.groupBy(*by).agg(F.percentile(quantile, F.array(F.lit(0.025), F.lit(0.975))).alias("__q"))
+    spread = points.select(*by, F.get("__q", F.lit(0)).alias("stability_low"), F.get("__q", F.lit(1)).alias("stability_high"))
+    return sizes.select(*by).join(spread, by, "left")
 
 
 def order_statistic_interval(values: DataFrame, by: Sequence[str], value: str, q: float) -> DataFrame:
@@ -383,3 +394,8 @@ def design_table(first: DataFrame, second: DataFrame) -> DataFrame:
     """Stack the summaries of the two order designs under a ``design`` label."""
     return first.withColumn("design", F.lit("order_average")).unionByName(second.withColumn("design", F.lit("factorial")))
 
+
+def target_ranges(grid: DataFrame, by: Sequence[str], settings: Sequence[str], value: str) -> DataFrame:
+    """Mean, least and greatest of the settings' means of ``value``, per ``by``."""
+    cells = grid.groupBy(*by, *settings).agg(F.avg(value).alias("__m"))
+    return cells.groupBy(*by).agg(F.count(F.lit(1)).alias("n_settings"), F.avg("__m").alias(f"mean_{value}"), F.min("__m").alias(f"min_{value}"), F.max("__m").alias(f"max_{value}"))

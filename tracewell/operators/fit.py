@@ -68,19 +68,19 @@ class FitConfig:
 def to_natural(z: np.ndarray, forgetting: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Natural parameters and their derivatives with respect to the raw ones (rows of 5).
 
-    A probability runs from 0 to its cap as (1 + tanh(z / 2)) / 2; the rate is exp(z)."""
-    lean = np.tanh(z[:, :4] / 2.0)
+    A probability is its cap times the logistic function of z; the rate is exp(z)."""
+    share = 1.0 / (1.0 + np.exp(-z[:, :4]))
     natural, slope = np.zeros_like(z), np.zeros_like(z)
-    natural[:, :4], slope[:, :4] = CAPS * (1.0 + lean) / 2.0, CAPS * (1.0 - lean**2) / 4.0
+    natural[:, :4], slope[:, :4] = CAPS * share, CAPS * share * (1.0 - share)
     natural[forgetting, 4] = slope[forgetting, 4] = np.exp(z[forgetting, 4])
     return natural, slope
 
 
 def to_raw(natural: np.ndarray, config: FitConfig) -> np.ndarray:
     """The raw parameters of rows of natural ones."""
-    lean = 2.0 * np.clip(natural[:, :4] / CAPS, 1e-8, 1.0 - 1e-8) - 1.0
+    share = np.clip(natural[:, :4] / CAPS, 1e-8, 1.0 - 1e-8)
     rate = np.clip(natural[:, 4:], config.lambda_min, config.lambda_max)
-    return np.hstack([2.0 * np.arctanh(lean), np.log(rate)])
+    return np.hstack([np.log(share / (1.0 - share)), np.log(rate)])
 
 
 def _totals(skill: int, offset: int, nll: np.ndarray, gradient: np.ndarray) -> Iterator[tuple]:

@@ -216,8 +216,15 @@ def eligible_items(spark, sf):
     return marked.where("eligible_item").select("question_id", "skill_id")
 
 
-@register("g2_disjoint_holdout", bquery("select 0::bigint as shared_items"))
+_BOTH_SETS = "case when f = 1 and interaction_rows % 3 = 0 then ['practice', 'test'] else [set] end"
+
+
+@register("g2_disjoint_holdout", bquery(f"select case f when 0 then 'as built' else 'broken' end as input, count(*) filter (where k > 1) as shared_items from (select f, question_id, count(distinct s) as k from (select f, question_id, unnest({_BOTH_SETS}) as s from held_v, (select unnest([0, 1]) as f)) group by 1, 2) group by 1"))
 def disjoint_holdout(spark, sf):
-    held = bayes.item_holdout(rounded_effects(spark, sf))
-    ids = lambda s: held.where(F.col("set") == s).select("question_id")
-    return ids("practice").intersect(ids("test")).agg(F.count(F.lit(1)).alias("shared_items"))
+    held = materialise(bayes.item_holdout(rounded_effects(spark, sf)).select("question_id", "set", "interaction_rows"))
+    sets = F.when(F.col("interaction_rows") % 3 == 0, F.array(F.lit("practice"), F.lit("test"))).otherwise(F.array("set"))
+    reports = []
+    for name, rows in (("as built", held), ("broken", held.withColumn("set", F.explode(sets)))):
+        ids = [rows.where(F.col("set") == s).select("question_id") for s in ("practice", "test")]
+        reports.append(ids[0].intersect(ids[1]).agg(F.count(F.lit(1)).alias("shared_items")).select(F.lit(name).alias("input"), "*"))
+    return reports[0].unionByName(reports[1])

@@ -10,6 +10,7 @@ from tracewell.operators import bkt, contracts
 from tracewell.operators.skew import materialise
 from tracewell.plans import views as V
 from tracewell.plans.experiment_queries import _METRICS
+from tracewell.plans.experiment_queries import SQL_VIEWS as CELL_VIEWS
 from tracewell.plans.registry import register
 from tracewell.plans.sql import query
 from tracewell.sources import tables
@@ -128,10 +129,36 @@ def known_labels(spark, sf):
     return b.check(lambda rows: contracts.known_values(rows, "skill_id", b.build.selected, "skill_selected"))
 
 
-@register("o7_cell_completeness", query("select unnest(['one_row_per_cell', 'cell_count', " + ", ".join(f"'finite_{m}'" for m in _METRICS) + ", 'range_initial_latent', 'range_delayed_expected', 'range_delayed_observed']) as check, 0::bigint as violations"))
+_RANGED = ["initial_latent", "delayed_expected", "delayed_observed"]
+_CELL_CHECKS = (
+    ["select 'one_row_per_cell' as check, count(*) filter (where n <> 1)::bigint as violations from (select count(*) as n from {t} group by world_model, policy, replicate, order_id)",
+     "select 'cell_count' as check, abs(count(*) - 630)::bigint as violations from {t}"]
+    + row_checks("{t}", {**{f"finite_{m}": f"isfinite({m})" for m in _METRICS}, **{f"range_{m}": f"{m} between -1e-12 and 1 + 1e-12" for m in _RANGED}})
+)
+_CELLS = {
+    **CELL_VIEWS,
+    "faulty_v": """
+select world_model, policy, replicate, case when order_id = 2 and policy = 'p3' then 1 else order_id end as order_id, case when replicate = 5 then initial_latent + 2 else initial_latent end as initial_latent,
+  case when replicate <> 7 then delayed_latent end as delayed_latent, delayed_expected, case when policy = 'p4' then -delayed_observed - 1 else delayed_observed end as delayed_observed,
+  case when policy = 'p5' then 'Infinity'::double else practice_accuracy end as practice_accuracy from cell_v where not (replicate = 3 and policy = 'p2')""",
+}
+
+
+@register("o7_cell_completeness", query(" union all ".join(f"select '{name}' as input, * from ({body.format(t=t)})" for name, t in (("as built", "cell_v"), ("broken", "faulty_v")) for body in _CELL_CHECKS), **_CELLS))
 def cell_completeness(spark, sf):
-    keys = ["world_model", "policy", "replicate", "order_id"]
-    return contracts.cell_checks(V.cells(spark, sf), keys, _METRICS, ["initial_latent", "delayed_expected", "delayed_observed"], 3 * 7 * 10 * 3)
+    keys, c = ["world_model", "policy", "replicate", "order_id"], F.col
+    built = V.cells(spark, sf).select(*keys, *_METRICS)
+    faulty = built.where(~((c("replicate") == 3) & (c("policy") == "p2"))).withColumns(
+        {
+            "order_id": F.when((c("order_id") == 2) & (c("policy") == "p3"), 1).otherwise(c("order_id")),
+            "initial_latent": F.when(c("replicate") == 5, c("initial_latent") + 2).otherwise(c("initial_latent")),
+            "delayed_latent": F.when(c("replicate") != 7, c("delayed_latent")),
+            "delayed_observed": F.when(c("policy") == "p4", -c("delayed_observed") - 1).otherwise(c("delayed_observed")),
+            "practice_accuracy": F.when(c("policy") == "p5", float("inf")).otherwise(c("practice_accuracy")),
+        }
+    )
+    reports = [contracts.cell_checks(rows, keys, _METRICS, _RANGED, 3 * 7 * 10 * 3).select(F.lit(name).alias("input"), "*") for name, rows in (("as built", built), ("broken", materialise(faulty)))]
+    return contracts.combined(reports)
 
 
 _PIECES = """(select learner_id, skill_id, within_skill_index // 1024 as piece, list_sort(list(within_skill_index)) as i, list(gap_ms) as g, list(is_correct) as y

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tracewell.functions.intervals import t_critical
+from tracewell.operators import bayes
 from tracewell.operators import experiments as X
 from tracewell.operators.skew import materialise
 from tracewell.plans import views as V
+from tracewell.plans.bayes_queries import SQL_VIEWS as BAYES_VIEWS
 from tracewell.plans.model_queries import rounded
 from tracewell.plans.registry import register
 from tracewell.plans.sql import query
@@ -163,9 +167,23 @@ def rank_order(spark, sf):
     return X.rank_order(means, ["world_model", "order_id"], "m")
 
 
-@register("f11_bootstrap_quantile")
+_M = 2**64 - 1
+_U = lambda x: f"(({x})::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
+BOOTSTRAP = {
+    "sized_v": "select world_model, policy, count(*) as n, list_sort(list(benefit)) as v, floor(0.025::double * (count(*) - 1))::bigint as lo, ('0x' || substr(sha256(world_model || '|' || policy), 1, 8))::bigint as key from rep_v group by 1, 2",
+    "bd_0": f"select world_model, policy, n, lo, b, j, xor(xor(j::UBIGINT, {((17 + 0x9E3779B97F4A7C15) & _M) ^ 0xBF58476D1CE4E5B9}::UBIGINT), xor({_U(f'(b + 1)::UHUGEINT * {0x94D049BB133111EB}::UHUGEINT')}, {_U(f'(key + 1)::UHUGEINT * {0xD2B74407B1CE6E93}::UHUGEINT')})) as x"
+    " from (select *, unnest(range(lo + 2)) as j from (select *, unnest(range(2000)) as b from sized_v where n >= 2))",
+    "bd_1": f"select *, {_U(f'xor(x, x >> 30)::UHUGEINT * {0xBF58476D1CE4E5B9}::UHUGEINT')} as y from bd_0",
+    "bd_2": f"select *, {_U(f'xor(y, y >> 27)::UHUGEINT * {0x94D049BB133111EB}::UHUGEINT')} as z from bd_1",
+    "bd_t": "select *, ln(greatest((xor(z, z >> 31) >> 11)::double / 9007199254740992.0, pow(2.0, -54))) / (n - j) as term from bd_2",
+    "bd_e": "select world_model, policy, b, sum(term) filter (where j <= lo) as s0, sum(term) as s1 from bd_t where j < n group by 1, 2, 3",
+    "bd_q": "select world_model, policy, v[least(floor((1 - exp(s0)) * n)::bigint, n - 1) + 1] as v0, v[least(floor((1 - exp(s1)) * n)::bigint, n - 1) + 1] as v1, 0.025::double * (n - 1) - lo as part from bd_e join sized_v using (world_model, policy)",
+}
+
+
+@register("f11_bootstrap_quantile", xquery("select world_model, policy, round(quantile_cont(v0 + (v1 - v0) * part, 0.025), 8) as stability_low, round(quantile_cont(v0 + (v1 - v0) * part, 0.975), 8) as stability_high from bd_q group by 1, 2", **BOOTSTRAP))
 def bootstrap_quantile(spark, sf):
-    return X.bootstrap_quantile(replicates(spark, sf), ["world_model", "policy"], "benefit", 0.025, 17, resamples=2000)
+    return R8(X.bootstrap_quantile(replicates(spark, sf), ["world_model", "policy"], "benefit", 0.025, 17, resamples=2000))
 
 
 @register("f12_order_statistic_interval", xquery("""select world_model, policy, count(*) as n_draws, 1::bigint as rank_low, 4::bigint as rank_high, round(list(benefit order by benefit)[1], 8) as value_low, round(list(benefit order by benefit)[4], 8) as value_high,
@@ -300,10 +318,36 @@ def design_table(spark, sf):
     return R8(X.design_table(first, orders.groupBy(*by).agg(F.avg("benefit_mean").alias("benefit_mean"))))
 
 
-@register("g3_label_completeness", xquery("select 0::bigint as missing_labels, 0::bigint as unknown_labels"))
+@register("k16_target_ranges", xquery("select policy, order_id as target, count(*) as n_settings, round(avg(m), 8) as mean_expected_benefit, round(min(m), 8) as min_expected_benefit, round(max(m), 8) as max_expected_benefit from (select policy, order_id, replicate % 3 as width, replicate // 3 as floor, avg(expected_benefit) as m from paired_v group by all) group by 1, 2"))
+def target_ranges(spark, sf):
+    grid = paired(spark, sf).select("policy", F.col("order_id").alias("target"), (F.col("replicate") % 3).alias("width"), F.floor(F.col("replicate") / 3).alias("floor"), "expected_benefit")
+    return R8(X.target_ranges(grid, ["policy", "target"], ["width", "floor"], "expected_benefit"))
+
+
+_SEEN = "select distinct case when world_model = 'N' and f = 1 then 'X' else world_model end as w, f from outcome_v, (select unnest([0, 1]) as f)"
+
+
+@register("g3_label_completeness", xquery("select case f when 0 then 'as built' else 'broken' end as input, 3 - count(*) filter (where w in ('A', 'N', 'R')) as missing_labels, count(*) filter (where w not in ('A', 'N', 'R')) as unknown_labels from seen_v group by 1", seen_v=_SEEN))
 def label_completeness(spark, sf):
-    seen = V.learner_outcomes(spark, sf).select("world_model").distinct()
     wanted = spark.createDataFrame([(w,) for w in WORLDS], "world_model string")
-    missing = wanted.exceptAll(seen).agg(F.count(F.lit(1)).alias("missing_labels"))
-    unknown = seen.exceptAll(wanted).agg(F.count(F.lit(1)).alias("unknown_labels"))
-    return missing.crossJoin(unknown)
+    built = materialise(V.learner_outcomes(spark, sf).select("world_model").distinct())
+    swapped = built.select(F.when(F.col("world_model") == "N", "X").otherwise(F.col("world_model")).alias("world_model"))
+    out = None
+    for name, seen in (("as built", built), ("broken", swapped)):
+        missing = wanted.exceptAll(seen).agg(F.count(F.lit(1)).alias("missing_labels"))
+        unknown = seen.exceptAll(wanted).agg(F.count(F.lit(1)).alias("unknown_labels"))
+        row = missing.crossJoin(unknown).select(F.lit(name).alias("input"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+# The profile of the shared REML views, over draws in place of skills.
+_DRAWS = {re.sub(r"^(br|gr|ev)", r"jd_\1", k): re.sub(r"\b(br|gr|ev)(\d+)\b", r"jd_\1\2", v).replace("used_v", "drawn_v") for k, v in BAYES_VIEWS.items() if re.match(r"(br|gr|ev)\d+$", k)}
+_DRAWS["drawn_v"] = "select world_model || '/' || policy as parameter, draw_mean as y, within_draw_se as se from draw_v where policy <> 'p1'"
+
+
+@register("j13_draw_reliability", xquery("select split_part(parameter, '/', 1) as world_model, split_part(parameter, '/', 2) as policy, round(mu, 6) as mu, round(sqrt(tau2), 5) as between_draw_tau, round(mu - 1.959963984540054 * sqrt(tau2), 5) as model_implied_latent_q025 from jd_br10", **_DRAWS))
+def draw_reliability(spark, sf):
+    cells = X.stress_cells(_with_draw(spark, sf).where(F.col("policy") != BASE), "draw", "benefit", ["world_model", "policy"])
+    draws = materialise(cells.select("world_model", "policy", F.col("draw_mean").alias("y"), F.col("within_draw_se").alias("se")))
+    return rounded(rounded(bayes.random_effects_summary(draws, ["world_model", "policy"]), ["mu"]), ["between_draw_tau", "model_implied_latent_q025"], 5)

@@ -214,14 +214,65 @@ class Fitted:
         return materialise(metrics.evaluate_models(stored))
 
 
-@register("i2_bkt_loglik", rquery("select skill_id, case model when 'BKT' then 0 else 1 end::integer as candidate, round(-sum(case when y = 1 then ln(prediction) else ln(1 - prediction) end), 6) as nll from rec_v group by 1, 2"))
+NAMES = ["p_init", "p_learn", "slip", "guess", "lambda_per_day"]
+
+
+def _dual_step(previous: str) -> str:
+    """One step of the recursion with the derivatives of mastery by the five parameters (d0..d4)."""
+    own = lambda i, term: f" + {term}" if i else ""
+    dq = [f"0.7 * e{i}" + own(i == 2, "(-pre)") + own(i == 3, "(1 - pre)") for i in range(5)]
+    dnum = [f"e{i} * lm" + own(i == 2, "pre * dlm") for i in range(5)]
+    dden = [f"e{i} * (lm - lu)" + own(i == 2, "pre * dlm") + own(i == 3, "(1 - pre) * dlu") for i in range(5)]
+    grad = ", ".join(f"(case y when 1 then -({dq[i]}) / q else ({dq[i]}) / (1 - q) end) as g{i}" for i in range(5))
+    state = ", ".join(f"0.9 * (({dnum[i]}) * den - num * ({dden[i]})) / (den * den)" + own(i == 1, "(1 - num / den)") + f" as d{i}" for i in range(5))
+    return f"""
+select learner_id, skill_id, model, rate, i, -(case y when 1 then ln(q) else ln(1 - q) end) as loss, {grad}, 0.1 + 0.9 * num / den as state, {state} from (
+ select *, 0.2 + pre * 0.7 as q, pre * lm as num, pre * lm + (1 - pre) * lu as den from (
+  select *, case y when 1 then 0.9::double else 0.1 end as lm, case y when 1 then 0.2::double else 0.8 end as lu, case y when 1 then -1 else 1 end as dlm, case y when 1 then 1 else -1 end as dlu from (
+   {previous})))"""
+
+
+_KEPT = "exp(-{r}.rate * s.gap_ms / 86400000.0)"
+_DUAL = _dual_step(
+    "select s.*, m.*, 0.3 * exp(-m.rate * s.gap_ms / 86400000.0) as pre, exp(-m.rate * s.gap_ms / 86400000.0) as e0, 0.0::double as e1, 0.0::double as e2, 0.0::double as e3,"
+    " -s.gap_ms / 86400000.0 * 0.3 * exp(-m.rate * s.gap_ms / 86400000.0) as e4 from step_v s, model_v m where i = 0"
+) + " union all " + _dual_step(
+    f"select s.learner_id, s.skill_id, r.model, r.rate, s.i, s.y, r.state * {_KEPT.format(r='r')} as pre, "
+    + ", ".join(f"r.d{k} * {_KEPT.format(r='r')}" + (f" - s.gap_ms / 86400000.0 * r.state * {_KEPT.format(r='r')}" if k == 4 else "") + f" as e{k}" for k in range(5))
+    + " from dual_v r join step_v s on s.learner_id = r.learner_id and s.skill_id = r.skill_id and s.i = r.i + 1"
+)
+
+
+@register("i2_bkt_loglik", rquery("select skill_id, case model when 'BKT' then 0 else 1 end::integer as candidate, round(sum(loss), 6) as nll, " + ", ".join(f"round(sum(g{i}), 5) as g{i}" for i in range(5)) + " from dual_v group by 1, 2", dual_v=_DUAL))
 def bkt_loglik(spark, sf):
     sequences = materialise(V.sequences(spark, sf))
     training = fit.Training.of(bkt.sequence_pieces(sequences, KEYS))
     points = np.array([[0.3, 0.1, 0.1, 0.2, 0.0], [0.3, 0.1, 0.1, 0.2, 0.02]])
     skills = [r.skill_id for r in sequences.select("skill_id").distinct().toLocalIterator()]
     sums = fit.likelihood(training, {s: points for s in skills})
-    return sums.select("skill_id", "candidate", R("nll", 6).alias("nll"))
+    return sums.select("skill_id", "candidate", R("nll", 6).alias("nll"), *[R(f"g{i}", 5).alias(f"g{i}") for i in range(5)])
+
+
+def fixed_fits(spark, sf):
+    """A fit table of the two fixed models, with their likelihood on all sequences."""
+    sequences, scored = scored_events(spark, sf)
+    loss = -F.sum(F.when(F.col("y") == 1, F.ln("prediction")).otherwise(F.log1p(-F.col("prediction"))))
+    sums = scored.groupBy("skill_id", "model").agg(F.count(F.lit(1)).alias("n_train_events"), F.count_if(F.col("within_skill_index") == 0).alias("n_train_sequences"), loss.alias("nll_train"))
+    known = fixed_parameters(sequences).withColumn("optimizer_success", F.col("skill_id") % 3 != 0)
+    size = F.when(F.col("model") == "BKT", 4).otherwise(5)
+    return fit.with_criteria(known.join(sums, ["skill_id", "model"]).withColumn("n_parameters", size))
+
+
+FITS = {"fixed_v": """
+select *, nll_train / n_train_events as log_loss_train_objective, 2 * k + 2 * nll_train as aic_train, k * ln(n_train_events) + 2 * nll_train as bic_train from (
+ select skill_id, model, count(*) as n_train_events, count(*) filter (where i = 0) as n_train_sequences, case model when 'BKT' then 4 else 5 end as k,
+  -sum(case when y = 1 then ln(prediction) else ln(1 - prediction) end) as nll_train from rec_v group by 1, 2)"""}
+
+
+@register("i5_fit_table", rquery("select skill_id, model, n_train_events, n_train_sequences, round(nll_train, 6) as nll_train, round(log_loss_train_objective, 8) as log_loss_train_objective, round(aic_train, 6) as aic_train, round(bic_train, 6) as bic_train, case model when 'BKT' then 'Infinity'::double else round(ln(2.0) / 0.02, 8) end as retention_half_life_days from fixed_v", **FITS))
+def fit_table(spark, sf):
+    fits = fixed_fits(spark, sf).select("skill_id", "model", "n_train_events", "n_train_sequences", *[R(c, 6).alias(c) for c in ("nll_train", "aic_train", "bic_train")], R("log_loss_train_objective", 8).alias("log_loss_train_objective"), R("retention_half_life_days", 8).alias("retention_half_life_days"))
+    return fits
 
 
 @register("i3_fitted_models")
@@ -229,10 +280,19 @@ def fitted_models(spark, sf):
     return Fitted(spark, sf).fits
 
 
-@register("i13_model_selection")
+SELECTION = {**EVAL, "chosen_v": """
+select skill_id, case when decay < plain then 'BKT-F' else 'BKT' end as preferred, plain - decay as gain, plain - decay >= 1e-4 and skill_id % 3 <> 0 as supported from (
+ select skill_id, max(log_loss) filter (where model = 'BKT') as plain, max(log_loss) filter (where model = 'BKT-F') as decay from ev_metrics_v where split = 'calibration' and sample_class = 'all' group by 1)"""}
+
+
+def fixed_selection(spark, sf):
+    fits = materialise(fixed_fits(spark, sf))
+    return fits, metrics.model_selection(metrics.evaluate_models(labelled(spark, sf)), fits)
+
+
+@register("i13_model_selection", rquery("select skill_id, preferred as preferred_by_calibration_log_loss, round(gain, 8) as calibration_log_loss_gain_bktf_over_bkt, 0.0001::double as minimum_gain_for_conservative_support, supported as forgetting_supported_conservative from chosen_v", **SELECTION))
 def model_selection(spark, sf):
-    fitted = Fitted(spark, sf)
-    return metrics.model_selection(fitted.metrics(), fitted.fits)
+    return rounded(fixed_selection(spark, sf)[1], ["calibration_log_loss_gain_bktf_over_bkt"], 8)
 
 
 @register("i14_model_difference", rquery("""select 'micro_weighted_' || m as metric, max(case when model = 'BKT' then v end) as "BKT", max(case when model = 'BKT-F' then v end) as "BKT_F",
@@ -243,8 +303,15 @@ def model_difference(spark, sf):
     return rounded(metrics.model_difference(metrics.aggregate_metrics(evaluated)), digits=7)
 
 
-@register("i15_preferred_parameters")
+@register("i15_preferred_parameters", rquery("select skill_id, preferred as selected_model, 0.3::double as p_init, 0.1::double as p_learn, 0.1::double as slip, 0.2::double as guess, case preferred when 'BKT' then 0.0::double else 0.02 end as lambda_per_day, case preferred when 'BKT' then 'Infinity'::double else round(ln(2.0) / 0.02, 8) end as retention_half_life_days, supported as forgetting_supported_conservative from chosen_v", **SELECTION))
 def preferred_parameters(spark, sf):
+    fits, selection = fixed_selection(spark, sf)
+    return rounded(metrics.preferred_parameters(fits, selection), ["retention_half_life_days"], 8)
+
+
+@register("i15_fitted_parameters")
+def fitted_parameters(spark, sf):
+    """The same from models that are fitted on the training learners."""
     fitted = Fitted(spark, sf)
     fits = materialise(fitted.fits)
     return metrics.preferred_parameters(fits, metrics.model_selection(fitted.metrics(), fits))
