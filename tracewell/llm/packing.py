@@ -37,6 +37,18 @@ _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 # Fixed value: the split of the vocabulary file, for the characters above.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[0x21:0x7F] = 3
+_KINDS[0x30:0x3A] = 2
+_KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KINDS[0x27] = 0  # an apostrophe may begin a unit of letters
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+# Second bytes of the letters above, after 0xC3.
+_LATIN = np.zeros(256, bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+
 
 class WordTokens:
     """Token ids of texts by way of their words: a lookup for known words, batches for new ones.
@@ -54,8 +66,11 @@ class WordTokens:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.special = [t for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
+        # What a byte is: 1 letter, 2 digit, 3 mark; 0 where its word is looked at as a whole.
+        self.kinds = _KINDS.copy()
+        self.kinds[[t.content.encode()[0] for t in self.special if t.content]] = 0
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -70,11 +85,8 @@ class WordTokens:
         raw = ids.tobytes()
         self.units.update(zip(new, (raw[a:b] for a, b in zip([0, *cuts], cuts))))
 
-    def _learn(self, new: set[str]) -> None:
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words = {"": b""}
-        if len(self.units) > CACHE_WORDS:
-            self.units = {}
+    def _learn_words(self, new: list[str]) -> None:
+        """Ids of words that bytes alone don't split: those with an apostrophe, other characters or a special token."""
         specials = [t.content for t in self.special]
         split = {}
         for word in new:
@@ -84,20 +96,56 @@ class WordTokens:
                 self.words[word] = self._ids(word)
         if unseen := list({u for units in split.values() for u in units} - self.units.keys()):
             self._learn_units(unseen)
-        units = self.units
         for word, parts in split.items():
-            self.words[word] = units[parts[0]] if len(parts) == 1 else b"".join([units[u] for u in parts])
+            self.words[word] = b"".join([self.units[u] for u in parts])
+
+    def _found(self, distinct: list[str], whole: np.ndarray) -> list[bytes]:
+        """Ids of distinct units, or of words where ``whole``."""
+        if len(self.words) + len(self.units) > CACHE_WORDS:
+            self.words, self.units = {}, {}
+        words, units = self.words, self.units
+        new = [(d, w) for d, w in zip(distinct, whole.tolist()) if d not in (words if w else units)]
+        if unseen := [d for d, w in new if not w]:
+            self._learn_units(unseen)
+        if unseen := [d for d, w in new if w]:
+            self._learn_words(unseen)
+        return [(words if w else units)[d] for d, w in zip(distinct, whole.tolist())]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        new = set().union(*split) - self.words.keys()
-        if new:
-            known = self.words
-            self._learn(new)
-            if known is not self.words:  # emptied: words of these texts may be gone
-                self._learn(set().union(*split) - self.words.keys())
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        """Ids of every text. Texts are lower-cased and cut into units in bulk; only distinct units are looked up."""
+        raw = [t.encode() + b" " for t in texts]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        space = (data == 0x20) | (data == 0x0A)
+        kind, low = self.kinds[data], _LOWER[data]
+        pair = np.flatnonzero((data[:-1] == 0xC3) & _LATIN[data[1:]])
+        kind[pair], kind[pair + 1] = 1, 1
+        low[pair + 1] = np.where(data[pair + 1] < 0x9F, data[pair + 1] + 0x20, data[pair + 1])
+        edge = np.diff(np.concatenate([[0], (~space).view(np.int8), [0]]))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if not len(starts):
+            return [b""] * len(texts)
+        sizes = ends - starts
+        odd = np.concatenate([[0], np.cumsum(kind == 0)])
+        whole = np.repeat(odd[ends] > odd[starts], sizes)
+        kind, text = kind[~space], np.where(whole, data[~space], low[~space])
+        cut = np.zeros(len(kind), bool)
+        cut[1:] = ~whole[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+        cut[np.cumsum(sizes) - sizes] = True
+        at = np.flatnonzero(cut)
+        offsets = np.append(at, len(text)).astype(np.int32)
+        units = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(text)]).dictionary_encode()
+        code = units.indices.to_numpy()
+        is_whole = np.zeros(len(units.dictionary), bool)
+        is_whole[code] = whole[at]
+        held = self._found(units.dictionary.to_pylist(), is_whole)
+        counts = np.array([len(h) // 4 for h in held], np.int64)
+        first, n = np.cumsum(counts) - counts, counts[code]
+        before = np.cumsum(n) - n
+        ids = np.frombuffer(b"".join(held), "<u4")[np.repeat(first[code] - before, n) + np.arange(n.sum())]
+        # Bytes other than separators before the end of each text, which name its last unit.
+        limits = np.searchsorted(at, np.cumsum(~space)[np.cumsum([len(r) for r in raw]) - 1])
+        cuts = np.concatenate([[0], np.append(before, n.sum())[limits]])
+        return [ids[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
 
 
 _TOKENS: dict[str, WordTokens] = {}
