@@ -1,11 +1,14 @@
 """Empirical-Bayes golden values, item shifts, intervals, hashing and scoring rules."""
 
+import itertools
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import hashing as H
-from tracewell.functions.intervals import kendall_p_value, order_statistic_ranks, t_critical
+from tracewell.functions.intervals import inversions, kendall_p_value, order_statistic_ranks, t_critical
 from tracewell.operators import bayes, experiments, scoring
 
 # Published forgetting-rate fits (value, standard error) of twenty skills.
@@ -95,6 +98,17 @@ def test_driver_scalars():
     low, high, coverage = order_statistic_ranks(200, 0.025)
     assert (low, high) == (1, 11) and coverage == pytest.approx(0.9811046153906396, abs=1e-12)
     assert kendall_p_value(4, 0) == pytest.approx(2 / 24) and kendall_p_value(4, 3) == 1.0
+    for n in (1, 2, 5, 6):
+        orders = [inversions(list(p)) for p in itertools.permutations(range(n))]
+        assert orders == [sum(a > b for a, b in itertools.combinations(p, 2)) for p in itertools.permutations(range(n))]
+        most = n * (n - 1) // 2
+        for d in range(most + 1):
+            share = sum(k <= min(d, most - d) for k in orders) / len(orders)
+            assert kendall_p_value(n, d) == pytest.approx(1.0 if 2 * d == most else min(1.0, 2 * share), abs=1e-12)
+    # Beyond any table: close to the normal approximation, and without a break.
+    for n in (33, 34, 60):
+        d, spread = n * (n - 1) // 4 - 40, math.sqrt(n * (n - 1) * (2 * n + 5) / 18)
+        assert kendall_p_value(n, d) == pytest.approx(math.erfc((n * (n - 1) / 2 - 2 * d - 1) / spread / math.sqrt(2)), abs=2e-3)
 
 
 def test_interval_edge_cases(spark):

@@ -40,11 +40,18 @@ def test_prefix_equals_plain_windows(lopsided, conf):
 
 def test_ranges_split_a_hot_group_evenly(lopsided, conf):
     conf(TASK, "60")
-    hot, limit = skew.hot_groups(lopsided, ["k"])
-    ranged = skew._with_ranges(lopsided, ["k"], ["t", "i"], hot, limit)
+    ranged = skew._with_ranges(lopsided, ["k"], ["t", "i"], 60)
     sizes = [r["count"] for r in ranged.where("k = 1").groupBy("__range").count().collect()]
-    assert len(sizes) >= 12 and max(sizes) <= 4 * limit
-    assert ranged.where("k <> 1 and __range <> 0").count() == 0
+    assert len(sizes) >= 12 and max(sizes) <= 4 * 60
+    plan = skew.prefix(lopsided, ["k"], ["t", "i"], count="p")._jdf.queryExecution().toString()
+    assert "__blocks" not in plan and "__range" in plan
+
+
+def test_prefix_over_the_whole_table(lopsided, conf):
+    conf(TASK, "60")
+    found = skew.prefix(lopsided, [], ["t", "i"], count="p", sums={"s": F.col("i")}, totals={"n": F.lit(1)}).orderBy("t", "i").collect()
+    assert [r.p for r in found] == list(range(1500)) and {r.n for r in found} == {1500}
+    assert [r.s for r in found] == [0, *np.cumsum([r.i for r in found])[:-1].tolist()]
 
 
 def test_prefix_with_null_group_key(spark, conf):

@@ -5,14 +5,15 @@ Input rows carry ``world_model``, ``policy``, ``replicate``, ``order_id`` and me
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.functions.hashing import keyed_uniform
-from tracewell.functions.intervals import kendall_p_value, order_statistic_ranks, t_critical
+from tracewell.functions.intervals import inversions, kendall_p_value, order_statistic_ranks, t_critical
 from tracewell.operators.skew import exact_quantiles, lookup_join, materialise, prefix
 
 CELL = ["world_model", "policy", "replicate", "order_id"]
@@ -20,26 +21,14 @@ PAIRING = ["world_model", "replicate", "order_id"]
 # Initial mastery groups, upper bounds inside.
 LOW_GROUP, MIDDLE_GROUP = 0.45, 0.60
 GROUPS = ["low", "middle", "high"]
-_T_TABLE = 200
-_Z = 1.959963984540054
-
-
-def t_column(n: Column) -> Column:
-    """95 % two-sided t critical value for n observations: a table up to 200 degrees of
-    freedom, the large-sample expansion beyond."""
-    df = (n - 1).cast("int")
-    table = F.array(*[F.lit(t_critical(k)) for k in range(1, _T_TABLE + 1)])
-    z, v = _Z, df.cast("double")
-    terms = [
-        (z**3 + z) / 4,
-        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
-        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
-        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
-    ]
-    tail = F.lit(z)
-    for i, c in enumerate(terms, 1):
-        tail = tail + F.lit(c) / F.pow(v, F.lit(float(i)))
-    return F.when(df <= _T_TABLE, F.get(table, df - 1)).otherwise(tail)
+
+
+@F.arrow_udf(T.DoubleType())
+def t_column(n: pa.Array) -> pa.Array:
+    """95 % two-sided t critical value for n observations (null below two)."""
+    distinct = n.dictionary_encode()
+    values = [t_critical(k - 1) if k > 1 else None for k in distinct.dictionary.to_pylist()]
+    return pa.array(values, pa.float64()).take(distinct.indices)
 
 
 def finite(c: Column) -> Column:
@@ -160,31 +149,25 @@ def rank_pairs(ranks: DataFrame) -> DataFrame:
     return a.join(b, "policy").where(F.col("world_1") < F.col("world_2"))
 
 
+@F.arrow_udf(T.StructType([T.StructField("discordant", T.LongType()), T.StructField("p_value", T.DoubleType())]))
+def _discordance(ranks: pa.Array) -> pa.Array:
+    """Inversions of each list of ranks, and the exact p-value of as many."""
+    rows = []
+    for r in ranks.to_pylist():
+        d = inversions(r)
+        rows.append({"discordant": d, "p_value": kendall_p_value(len(r), d)})
+    return pa.array(rows, pa.struct([("discordant", pa.int64()), ("p_value", pa.float64())]))
+
+
 def rank_concordance(ranks: DataFrame) -> DataFrame:
-    """Kendall's tau between the policy ranks of every two worlds (no ties), with the exact
-    p-value up to 33 policies and the normal approximation beyond."""
-    # One short array per world pair: the ranks in the second world, ordered by the first.
+    """Kendall's tau between the policy ranks of every two worlds (no ties), with its exact p-value."""
+    # A list of the policies per world pair: the ranks in the second world, ordered by the first.
     entries = F.array_sort(F.collect_list(F.struct("rank_1", "rank_2")))
     lists = rank_pairs(ranks).groupBy("world_1", "world_2").agg(F.transform(entries, lambda e: e["rank_2"]).alias("r"))
-    after = lambda x, i: F.filter(F.slice("r", i + 2, F.size("r")), lambda y: y < x)
-    discordant = F.aggregate(F.transform("r", lambda x, i: F.size(after(x, i))), F.lit(0), lambda t, x: t + x)
-    n = F.col("n_policies")
-    tau = materialise(
-        lists.select("world_1", "world_2", F.size("r").cast("long").alias("n_policies"), discordant.cast("long").alias("discordant"))
-        .withColumn("kendall_tau", F.lit(1.0) - F.lit(4.0) * F.col("discordant") / (n * (n - 1)))
-    )
-
-    def p_value(n: int, d: int) -> float:
-        if n <= 33:
-            return kendall_p_value(n, d)
-        z = (n * (n - 1) / 2 - 2 * d) / math.sqrt(n * (n - 1) * (2 * n + 5) / 18)
-        return math.erfc(abs(z) / math.sqrt(2))
-
-    seen = [(r.n_policies, r.discordant) for r in tau.select("n_policies", "discordant").distinct().toLocalIterator()]
-    values = tau.sparkSession.createDataFrame(
-        [(n, d, p_value(n, d)) for n, d in seen], "n_policies long, discordant long, kendall_p_value double"
-    )
-    return tau.join(values, ["n_policies", "discordant"]).drop("discordant")
+    n, d = F.col("n_policies"), F.col("found.discordant")
+    found = lists.select("world_1", "world_2", F.size("r").cast("long").alias("n_policies"), _discordance("r").alias("found"))
+    tau = F.lit(1.0) - F.lit(4.0) * d / (n * (n - 1))
+    return found.select("world_1", "world_2", "n_policies", tau.alias("kendall_tau"), F.col("found.p_value").alias("kendall_p_value"))
 
 
 def robustness(summary: DataFrame, value: str, baseline: str) -> DataFrame:

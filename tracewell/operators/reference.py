@@ -423,6 +423,6 @@ def evenly_spaced(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:
         spots = [0]
     else:
         spots = sorted({round(i * (n - 1) / (size - 1)) for i in range(size)})
-    placed = prefix(df.withColumn("__all", F.lit(0)), ["__all"], order, count="__position")
+    placed = prefix(df, [], order, count="__position")
     wanted = df.sparkSession.createDataFrame([(s,) for s in spots], "__position long")
-    return placed.join(F.broadcast(wanted), "__position", "left_semi").drop("__all", "__position")
+    return placed.join(F.broadcast(wanted), "__position", "left_semi").drop("__position")

@@ -2,9 +2,9 @@
 
 Every ordered operator of the package goes through :func:`prefix`. Ordinarily it is a
 plain window with one exchange on the group key. When a group is larger than one task
-should hold, its rows are cut into ranges of the sort key, the window runs per range,
-and the values carried from range to range are added by a broadcast join whose size is
-bounded by ``MAX_RANGES``. No row is dropped in either case.
+should hold, it is a scan of two levels: one exchange by ranges of (group, order), a window
+inside every range, and partial states of the groups that straddle ranges, which a broadcast
+of at most two rows per range adds. No row is dropped in either case.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 # A group up to this many rows is always left in one task.
 TASK_ROWS_CONF = "spark.tracewell.taskRows"
 TASK_ROWS_DEFAULT = 5_000_000
-# Upper bound on oversized groups, and on the ranges cut from all of them together.
+# Upper bound on the ranges of a table.
 MAX_RANGES = 10_000
 # Lookup tables up to this many rows are broadcast; larger ones are shuffled.
 BROADCAST_ROWS_CONF = "spark.tracewell.broadcastRows"
@@ -91,16 +91,12 @@ def tables_dropped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[
 
 
 def task_rows(df: DataFrame) -> tuple[int, int]:
-    """(rows in ``df``, rows one task may hold). The second grows with the first so that
-    at most ``MAX_RANGES`` groups can exceed it."""
-    rows = df.count()
-    floor = _conf_int(df.sparkSession, TASK_ROWS_CONF, TASK_ROWS_DEFAULT)
-    return rows, max(floor, math.ceil(rows / MAX_RANGES))
+    """(rows in ``df``, rows of one group that one task may hold, whatever the size of ``df``)."""
+    return df.count(), _conf_int(df.sparkSession, TASK_ROWS_CONF, TASK_ROWS_DEFAULT)
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str]) -> tuple[list, int]:
-    """Groups larger than one task should hold. Fewer than ``MAX_RANGES`` rows come back,
-    because each of them holds more than 1/``MAX_RANGES`` of the table."""
+    """Groups larger than one task should hold: at most one comes back per so many rows of ``df``."""
     rows, limit = task_rows(df.select(*keys))
     if rows <= limit:
         return [], limit
@@ -128,60 +124,13 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot: list) -> tuple[DataFrame,
     return df.join(frame, condition, "left_semi"), df.join(frame, condition, "left_anti")
 
 
-def _with_ranges(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], hot: list, limit: int
-) -> DataFrame:
-    """Add ``__range``: 0 for ordinary groups, the sort-key range number for hot ones.
+def _with_ranges(df: DataFrame, group: Sequence[str], order: Sequence[str], limit: int) -> DataFrame:
+    """``df`` stored with ``__range``: the number of its range of (group, order), of about ``limit`` rows.
 
-    Split points come from a hash sample, so they only affect balance, never results.
     The order columns must be non-null."""
-    hot_rows, _ = split_hot(df, group, hot)
-    rate = max(1, limit // 64)
-    picked = F.pmod(F.xxhash64(*group, *order), F.lit(rate)) == 0
-    sample = hot_rows.where(picked).select(*group, *order).distinct().collect()
-    by_group: dict[tuple, list[tuple]] = {}
-    for row in sample:
-        key = tuple(row[k] for k in group)
-        by_group.setdefault(key, []).append(tuple(row[o] for o in order))
-
-    # Two-level list of split points, so that a look-up costs about 2*sqrt(points).
-    rows = []
-    for item in hot:
-        key = tuple(item[k] for k in group)
-        points = sorted(by_group.get(key, []))
-        wanted = min(len(points), math.ceil(item["__n"] / limit) - 1)
-        chosen = sorted({points[(i + 1) * len(points) // (wanted + 1)] for i in range(wanted)}) if wanted else []
-        width = max(1, math.isqrt(len(chosen)))
-        blocks = [chosen[i : i + width] for i in range(0, len(chosen), width)]
-        rows.append(key + (width, [b[0] for b in blocks], blocks))
-
-    point = T.StructType([T.StructField(o, df.schema[o].dataType) for o in order])
-    schema = T.StructType(
-        [T.StructField(f"__k{i}", df.schema[k].dataType) for i, k in enumerate(group)]
-        + [
-            T.StructField("__width", T.IntegerType()),
-            T.StructField("__heads", T.ArrayType(point)),
-            T.StructField("__blocks", T.ArrayType(T.ArrayType(point))),
-        ]
-    )
-    splits = F.broadcast(df.sparkSession.createDataFrame(rows, schema))
-    joined = df.join(
-        splits, _same(df, splits, [(k, f"__k{i}") for i, k in enumerate(group)]), "left"
-    )
-    here = F.struct(*[F.col(o) for o in order])
-    block = F.size(F.filter("__heads", lambda p: p <= here))
-    inside = F.size(
-        F.filter(F.get("__blocks", F.col("__block") - 1), lambda p: p <= here)
-    )
-    ranged = joined.withColumn("__block", F.when(F.col("__heads").isNull(), 0).otherwise(block))
-    ranged = ranged.withColumn(
-        _RANGE,
-        F.when(F.col("__block") == 0, 0)
-        .otherwise((F.col("__block") - 1) * F.col("__width") + inside)
-        .cast("int"),
-    ).withColumn("__hot", F.col("__heads").isNotNull())
-    helpers = [f"__k{i}" for i in range(len(group))] + ["__width", "__heads", "__blocks", "__block"]
-    return ranged.drop(*helpers)
+    stored = materialise(df)
+    ranges = min(MAX_RANGES, max(2, math.ceil(stored.count() / limit)))
+    return materialise(stored.repartitionByRange(ranges, *group, *order).withColumn(_RANGE, F.spark_partition_id()))
 
 
 def prefix(
@@ -198,14 +147,16 @@ def prefix(
 
     ``count``: rows before (0-based position). ``sums``: sum of a column over the rows
     before. ``lasts``: last non-null value before. ``totals``: sum over the whole group.
-    ``order`` columns are ascending, non-null and should identify a row.
+    ``order`` columns are ascending, non-null and should identify a row. Without ``group``
+    columns the order is that of the whole table, always in ranges.
     """
     sums, lasts, totals = dict(sums or {}), dict(lasts or {}), dict(totals or {})
-    hot_list, limit = hot if hot is not None else hot_groups(df, group)
+    hot_list, limit = hot if hot is not None else hot_groups(df, group) if group else ([], _conf_int(df.sparkSession, TASK_ROWS_CONF, TASK_ROWS_DEFAULT))
+    ranged = bool(hot_list) or not group
     keep = df.columns
-    if hot_list:
-        df = _with_ranges(df, group, order, hot_list, limit)
-    partition = [*group, _RANGE] if hot_list else list(group)
+    if ranged:
+        df = _with_ranges(df, group, order, limit)
+    partition = [*group, _RANGE] if ranged else list(group)
     position = Window.partitionBy(*partition).orderBy(*order)
     before = position.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*partition)
@@ -219,16 +170,17 @@ def prefix(
         local[name] = F.last(column, ignorenulls=True).over(before)
     for name, column in totals.items():
         local[name] = F.sum(column).over(whole)
-    if not hot_list:
+    if not ranged:
         return df.withColumns(local).select(*keep, *local)
 
-    # One summary row per range of a hot group: at most 2 * MAX_RANGES rows in all.
+    # States of the groups that straddle ranges: at most two rows per range, MAX_RANGES of them.
     sort_key = F.struct(*[F.col(o) for o in order])
     aggregates = [F.count(F.lit(1)).alias("__c")]
     aggregates += [F.sum(c).alias(f"__s_{n}") for n, c in sums.items()]
     aggregates += [F.max_by(c, F.when(c.isNotNull(), sort_key)).alias(f"__l_{n}") for n, c in lasts.items()]
     aggregates += [F.sum(c).alias(f"__t_{n}") for n, c in totals.items()]
-    summary = df.where("__hot").groupBy(*group, _RANGE).agg(*aggregates)
+    straddles = F.count(F.lit(1)).over(Window.partitionBy(*group)) > 1
+    summary = df.groupBy(*group, _RANGE).agg(*aggregates).withColumn("__straddles", straddles).where("__straddles")
     over = Window.partitionBy(*group).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
     all_ranges = Window.partitionBy(*group)
     columns = [F.col(k).alias(f"__k{i}") for i, k in enumerate(group)] + [F.col(_RANGE).alias("__r")]
@@ -262,7 +214,7 @@ def lookup_join(
     """Join a large table to one that is unique on ``keys`` (inner, left, left_semi, left_anti).
 
     The look-up side is counted first and broadcast only below the cap. Above it, rows of
-    hot keys (at most ``MAX_RANGES`` keys) meet a broadcast of just those look-up rows and
+    hot keys (at most one per ``taskRows`` rows) meet a broadcast of just those look-up rows and
     the remaining rows take a shuffle join, so no key can overload a task."""
     keys = list(keys)
     if fits_broadcast(lookup):
@@ -304,13 +256,10 @@ def exact_quantiles(
     df: DataFrame, group: Sequence[str], value: str, probabilities: Sequence[float], name: str = "quantiles"
 ) -> DataFrame:
     """Linear-interpolation quantiles per group: ``name`` is an array aligned with
-    ``probabilities``. Groups of ordinary size use ``percentile``; otherwise the value
-    histogram is ranked range by range with :func:`prefix`."""
+    ``probabilities``. The histogram of the values is ranked with :func:`prefix`, at every size,
+    so no task holds the values of a group."""
     present = df.where(F.col(value).isNotNull())
     wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    hot, _ = hot_groups(present, group)
-    if not hot:
-        return present.groupBy(*group).agg(F.percentile(value, wanted).alias(name))
     histogram = present.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__w"))
     ranked = prefix(
         histogram, group, [value], sums={"__before": F.col("__w")}, totals={"__n": F.col("__w")}
