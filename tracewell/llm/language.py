@@ -277,6 +277,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
             arrays = [pa.array(names, pa.string()), pa.array(score), pa.array(sizes.astype(np.int64)), pa.array(switches)]
             yield pa.StructArray.from_arrays(arrays, added)
 
-    # Only the text goes through Python; the rest of the row stays where it is.
-    found = docs.select("*", labelled(F.col("text").cast("string")).alias("__found"))
+    # Only the text goes through Python; the rest of the row stays where it is. As a deterministic
+    # function it would be computed once more for a filter on its result.
+    found = docs.select("*", labelled.asNondeterministic()(F.col("text").cast("string")).alias("__found"))
     return found.select(*docs.columns, *[F.col(f"__found.{c}").alias(c) for c in added])

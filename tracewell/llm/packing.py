@@ -28,7 +28,7 @@ CAPACITY = 2048
 GROUP_ROWS = 50_000
 EXCHANGES = 3
 # Entries kept per worker; a full table is emptied, so memory is bounded and results are equal.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 TEXT_SLICE = 4_000_000
 
 # Words of these characters are in normal form C, and one regular expression splits them as

@@ -318,7 +318,7 @@ def find(docs: DataFrame, weights: np.ndarray | None, masked: bool = False) -> D
             yield pa.StructArray.from_arrays([*(pa.array(x, arrow) for x in both), pa.array(texts, pa.string())], names)
 
     # Only the text goes through Python, and only texts that change come back.
-    found = docs.select("*", spanned(F.col("text").cast("string")).alias("__found"))
+    found = docs.select("*", spanned.asNondeterministic()(F.col("text").cast("string")).alias("__found"))
     text = F.coalesce("__found.masked", "text").alias("text")
     out = found.select(*[text if masked and c == "text" else c for c in docs.columns], "__found.pii_base", "__found.pii_spans")
     if masked and "n_chars" in docs.columns:
