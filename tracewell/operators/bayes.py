@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.numeric import clip, expit, logit, weighted_mean
@@ -44,42 +47,85 @@ def transformed_parameters(fits: DataFrame) -> DataFrame:
     )
 
 
-def reml(values: DataFrame, group: str = "parameter", rounds: int = 8, points: int = 65) -> DataFrame:
+_GRID = 1000
+_GRID_ROWS = 1000
+_PROFILE = ["log_v", "w", "wy", "wyy", "w2", "w2y", "w2yy"]
+
+
+def _profile(values: DataFrame, group: str) -> DataFrame:
+    """(group, i, log_tau2, sums of _PROFILE) at ``_GRID`` points from low to high of every group.
+
+    ``values`` has group, y, se, low and high. A task keeps the whole grid of sums of a group as
+    one array and adds its rows to it, so the rows are read once and none is repeated by points."""
+    at = values.select(group, "y", "se", "low", "high")
+    share = np.arange(_GRID) / (_GRID - 1)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def rows() -> pa.RecordBatch:
+            keys = pa.array(np.repeat(np.arange(len(held)), _GRID))
+            logs, sums = (np.concatenate(x, axis=-1) for x in zip(*held.values()))
+            names = pa.array(list(held), at_type).take(keys)
+            held.clear()
+            columns = [names, pa.array(np.tile(np.arange(_GRID, dtype=np.int32), len(keys) // _GRID)), pa.array(logs), *map(pa.array, sums)]
+            return pa.RecordBatch.from_arrays(columns, [group, "i", "log_tau2", *_PROFILE])
+
+        at_type = None
+        for batch in batches:
+            at_type = batch.schema.types[0]
+            coded = batch.column(0).dictionary_encode()
+            y, se, low, high = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            for code, key in enumerate(coded.dictionary.to_pylist()):
+                own = np.flatnonzero(codes == code)
+                logs = low[own[0]] + (high[own[0]] - low[own[0]]) * share
+                total = held.setdefault(key, (logs, np.zeros((len(_PROFILE), _GRID))))[1]
+                for a in range(0, len(own), _GRID_ROWS):
+                    part = own[a : a + _GRID_ROWS]
+                    v, d = np.exp(logs)[:, None] + se[part] ** 2, y[part]
+                    w = 1.0 / v
+                    total += np.stack([np.log(v).sum(1), w.sum(1), w @ d, w @ (d * d), (w * w).sum(1), (w * w) @ d, (w * w) @ (d * d)])
+            if len(held) > 200:
+                yield rows()
+        if held:
+            yield rows()
+
+    kind = at.schema[group].dataType.simpleString()
+    parts = at.mapInArrow(work, f"{group} {kind}, i int, log_tau2 double, " + ", ".join(f"{n} double" for n in _PROFILE))
+    return parts.groupBy(group, "i", "log_tau2").agg(*[F.sum(n).alias(n) for n in _PROFILE])
+
+
+def reml(values: DataFrame, group: str = "parameter") -> DataFrame:
     """Restricted maximum likelihood of y ~ N(mu, se^2 + tau^2) for every group at once.
 
-    Each round evaluates a log-spaced grid of tau^2 for all groups in one aggregation and
-    narrows every group's bracket around its best point. Needs three rows per group."""
-    sums = values.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.var_samp("y").alias("v"), F.avg("y").alias("centre"))
+    The profile over a log-spaced grid of tau^2 is one aggregate; a second one covers the two
+    steps around its least point, where the root of the slope is interpolated. Needs three rows
+    per group."""
+    sums = materialise(values.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.var_samp("y").alias("v"), F.avg("y").alias("centre")))
     if not sums.where(F.col("n") < 3).isEmpty():
         raise ValueError("at least three non-boundary rows per group are required")
     upper = F.greatest(F.lit(20.0) * F.col("v"), F.lit(1.0))
-    bracket = materialise(sums.select(group, "centre", F.lit(math.log(1e-12)).alias("low"), F.ln(upper).alias("high")))
-    stored = materialise(values.select(group, "y", "se"))
-    for k in range(rounds):
-        spots = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("low") + (F.col("high") - F.col("low")) * i / float(points - 1))
-        # points rows per group on the grid side; the value side stays partitioned by group.
-        gridded = bracket.select(group, "centre", F.transform(spots, lambda s: F.exp(s)).alias("grid"))
-        each = lookup_join(stored, gridded, [group], "inner").select(group, (F.col("y") - F.col("centre")).alias("y"), "se", F.posexplode("grid").alias("i", "tau2"))
-        v = F.col("se") * F.col("se") + F.col("tau2")
-        w, y = F.lit(1.0) / v, F.col("y")
-        # y is centred on the group mean, which keeps the sums well scaled.
-        fit = each.groupBy(group, "i", "tau2").agg(
-            F.sum(F.ln(v)).alias("log_v"), F.sum(w).alias("w"), F.sum(w * y).alias("wy"), F.sum(w * y * y).alias("wyy")
-        )
-        q = F.col("wyy") - F.col("wy") * F.col("wy") / F.col("w")
-        scored = fit.withColumn("objective", F.lit(0.5) * (F.col("log_v") + F.ln("w") + q)).withColumn("mu", F.col("wy") / F.col("w"))
-        best = scored.groupBy(group).agg(F.min_by(F.struct("i", "tau2", "mu"), F.struct("objective", "i")).alias("b"))
-        step = (F.col("high") - F.col("low")) / float(points - 1)
-        narrowed = bracket.join(best, group).select(
-            group,
-            "centre",
-            F.greatest(F.col("low"), F.ln("b.tau2") - step).alias("low"),
-            F.least(F.col("high"), F.ln("b.tau2") + step).alias("high"),
-            F.col("b.tau2").alias("between_skill_variance"),
-            (F.col("b.mu") + F.col("centre")).alias("global_transformed_mean"),
-        )
-        bracket = materialise(narrowed)
-    return bracket.select(group, "global_transformed_mean", "between_skill_variance")
+    bracket = sums.select(group, "centre", F.lit(math.log(1e-12)).alias("low"), F.ln(upper).alias("high"))
+    # y is centred on the group mean, which keeps the sums well scaled.
+    stored = materialise(lookup_join(values.select(group, "y", "se"), sums.select(group, "centre"), [group], "inner").withColumn("y", F.col("y") - F.col("centre")).drop("centre"))
+    mu = F.col("wy") / F.col("w")
+    objective = F.lit(0.5) * (F.col("log_v") + F.ln("w") + F.col("wyy") - F.col("wy") * mu)
+    # Its slope over log tau^2, up to the positive factor tau^2 / 2.
+    slope = F.col("w") - F.col("w2") / F.col("w") - (F.col("w2yy") - 2 * mu * F.col("w2y") + mu * mu * F.col("w2"))
+    neighbours = Window.partitionBy(group).orderBy("i")  # the grid of one group
+    for _ in range(2):
+        profile = _profile(lookup_join(stored, bracket, [group], "inner"), group).select(group, "i", "log_tau2", mu.alias("mu"), objective.alias("objective"), slope.alias("slope"))
+        beside = {f"{side}_{c}": f(c).over(neighbours) for side, f in (("a", F.lag), ("b", F.lead)) for c in ("log_tau2", "mu", "slope")}
+        best = profile.withColumns(beside).groupBy(group).agg(F.min_by(F.struct("log_tau2", "mu", "slope", *beside), F.struct("objective", "i")).alias("p"))
+        bracket = materialise(best.select(group, "p.*", F.coalesce("p.a_log_tau2", "p.log_tau2").alias("low"), F.coalesce("p.b_log_tau2", "p.log_tau2").alias("high")))
+    before = F.col("slope") > 0
+    other = {c: F.when(before, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")) for c in ("log_tau2", "mu", "slope")}
+    way = F.when(other["slope"] * F.col("slope") < 0, F.col("slope") / (F.col("slope") - other["slope"])).otherwise(F.lit(0.0))
+    between = lambda c: F.col(c) + way * (F.coalesce(other[c], F.col(c)) - F.col(c))
+    found = bracket.select(group, between("mu").alias("mu"), F.exp(between("log_tau2")).alias("between_skill_variance"))
+    joined = found.join(sums, group)
+    return joined.select(group, (F.col("mu") + F.col("centre")).alias("global_transformed_mean"), "between_skill_variance")
 
 
 def hyperparameters(transformed: DataFrame) -> DataFrame:
