@@ -167,6 +167,16 @@ def expected_scores(spark, sf):
     return S.expected_scores(scored(spark, sf), 9).withColumn("expected_score", R("expected_score"))
 
 
-@register("l13_sampled_scores")
+_WRAP = lambda x: f"((({x})::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+_KEYS = [((11 + 0x9E3779B97F4A7C15 * (81 + pos)) & (2**64 - 1)) ^ ((20001 * 0xBF58476D1CE4E5B9) & (2**64 - 1)) for pos in range(5)]
+DRAWS = {
+    "sd_0": "select learner_id, predicted, xor(xor(learner_id::UBIGINT, case item_bin " + " ".join(f"when {2 * i} then {k}::UBIGINT" for i, k in enumerate(_KEYS)) + " end), "
+    f"xor({_WRAP(f'(skill_id + 1)::UHUGEINT * {0x94D049BB133111EB}::UHUGEINT')}, {_WRAP(f'(item_bin + 1)::UHUGEINT * {0xD2B74407B1CE6E93}::UHUGEINT')})) as x from pred_v where item_bin % 2 = 0",
+    "sd_1": f"select *, {_WRAP(f'xor(x, x >> 30)::UHUGEINT * {0xBF58476D1CE4E5B9}::UHUGEINT')} as y from sd_0",
+    "sd_2": f"select *, {_WRAP(f'xor(y, y >> 27)::UHUGEINT * {0x94D049BB133111EB}::UHUGEINT')} as z from sd_1",
+}
+
+
+@register("l13_sampled_scores", squery("select learner_id, avg(case when (xor(z, z >> 31) >> 11)::double / 9007199254740992.0 < predicted then 1.0::double else 0 end) as observed_score from sd_2 group by 1", **DRAWS))
 def sampled_scores(spark, sf):
     return S.sampled_scores(scored(spark, sf), 9, seed=11, stream=80)
