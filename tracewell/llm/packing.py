@@ -29,7 +29,7 @@ GROUP_ROWS = 50_000
 EXCHANGES = 3
 # Entries kept per worker; a full table is emptied, so memory is bounded and results are equal.
 CACHE_WORDS = 250_000
-TEXT_SLICE = 4_000_000
+TEXT_SLICE = 2_000_000
 
 # Words of these characters are in normal form C, and one regular expression splits them as
 # the tokenizer's own does; any other word goes through the tokenizer as it stands.
@@ -111,6 +111,9 @@ class WordTokens:
             self._learn_words(unseen)
         return [(words if w else units)[d] for d, w in zip(distinct, whole.tolist())]
 
+    def forget(self) -> None:
+        self.words, self.units = {}, {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text. Texts are lower-cased and cut into units in bulk; only distinct units are looked up."""
         raw = [t.encode() + b" " for t in texts]
@@ -192,6 +195,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
                     ],
                     ["doc_id", "piece", "start", "length", "ids_crc32" if crc else "ids"],
                 )
+        tokens.forget()  # workers live on after the task
 
     schema = "doc_id long, piece int, start long, length long, " + ("ids_crc32 long" if crc else "ids binary")
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(cut, schema)
