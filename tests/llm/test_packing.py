@@ -100,3 +100,17 @@ def test_empty_table(spark):
 def test_wrong_capacity_is_refused():
     with pytest.raises(ValueError):
         packing.best_fit(np.array([11]), 10)
+
+
+def test_units_cut_by_bytes_give_the_tokenizer_ids():
+    """Case, accents, apostrophes, marks, control characters and special tokens, word by word and joined."""
+    import public_tokenizers
+
+    tokens = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    pick, letters = random.Random(3), "abcXYZéÉÀß×÷ÿ019.,!?-_'’\t <>|[]/　日本 Ğ½\n\x0b\x00 's 't"
+    specials = [t.content for t in tokens.special]
+    texts = ["", "   ", "\n", "it's we'll X'S ''s"]
+    texts += ["".join(pick.choice(letters) for _ in range(pick.randint(0, 60))) + pick.choice(["", " ", *specials]) for _ in range(500)]
+    want = [np.array(tokens.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert tokens.encode(texts) == want and tokens.encode([]) == []
+    assert [tokens.encode([t])[0] for t in texts[:50]] == want[:50]

@@ -288,8 +288,9 @@ def model(docs: DataFrame) -> np.ndarray | None:
     rows = docs.count()
     draw = F.pmod(F.xxhash64(F.lit(11), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
     hot = docs.select("text", draw.alias("draw")).filter((F.col("draw") * max(rows, 1) < 8 * SAMPLE) & (F.length("text") <= SAMPLE_CHARS)).filter(F.col("text").rlike("[0-9@]"))
-    drawn = sorted((r["draw"], r["text"]) for r in hot.limit(8 * SAMPLE).collect())
-    return fit([text for _, text in drawn[:SAMPLE]])
+    # Copies of a text have one draw, so each counts once, and reruns fit the same texts.
+    drawn = hot.distinct().orderBy("draw", "text").limit(SAMPLE).collect()
+    return fit([r["text"] for r in drawn])
 
 
 def find(docs: DataFrame, weights: np.ndarray | None, masked: bool = False) -> DataFrame:
