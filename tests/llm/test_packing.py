@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -104,9 +105,7 @@ def test_wrong_capacity_is_refused():
 
 def test_units_cut_by_bytes_give_the_tokenizer_ids():
     """Case, accents, apostrophes, marks, control characters and special tokens, word by word and joined."""
-    import public_tokenizers
-
-    tokens = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    tokens = packing.WordTokens(PATH)
     pick, letters = random.Random(3), "abcXYZéÉÀß×÷ÿ019.,!?-_'’\t <>|[]/　日本 Ğ½\n\x0b\x00 's 't"
     specials = [t.content for t in tokens.special]
     texts = ["", "   ", "\n", "it's we'll X'S ''s"]
