@@ -43,6 +43,22 @@ def test_reml_reproduces_published_hyperparameters(spark):
     assert fit.between_skill_variance == pytest.approx(0.05158693932555888, rel=1e-6)
 
 
+# Published shrunk rates of the same skills.
+SHRUNK = [
+    0.0011671933852067345, 0.001048788048934533, 0.0017431190439219757, 0.0013872016659286595, 0.0011186286417957892,
+    0.0009252956845411339, 0.0012982045779226902, 0.0012251089114108645, 0.0014535157642700043, 0.0010010006638899777,
+    0.0009175882904915384, 0.000958602682424661, 0.001154853772522863, 0.001034328925920447, 0.0009048805622755285,
+    0.0009899579590602681, 0.0009234985772717172, 0.0010608175699748732, 0.0011762300333088183, 0.0011177147383196811,
+]
+
+
+def test_shrinkage_reproduces_published_rates(spark):
+    rows = [(i, "lambda_per_day", v, float(np.log(v)), s / v, False) for i, (v, s) in enumerate(RATES)]
+    known = spark.createDataFrame(rows, "skill_id int, parameter string, raw_value double, y double, se double, boundary boolean")
+    found = bayes.shrink(known, bayes.hyperparameters(known)).orderBy("skill_id").collect()
+    assert [r.shrunk_value for r in found] == pytest.approx(SHRUNK, rel=1e-7)
+
+
 def test_reml_needs_three_rows(spark):
     with pytest.raises(ValueError):
         bayes.reml(spark.createDataFrame([("a", 0.1, 0.2)] * 2, "parameter string, y double, se double"))

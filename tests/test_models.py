@@ -184,3 +184,12 @@ def test_model_selection_rules(spark):
     fits = spark.createDataFrame([(s, "BKT-F", 0.01, True) for s in (1, 2, 3)], "skill_id int, model string, lambda_per_day double, optimizer_success boolean")
     found = {r.skill_id: (r.preferred_by_calibration_log_loss, r.forgetting_supported_conservative) for r in metrics.model_selection(scores, fits).collect()}
     assert found == {1: ("BKT", False), 2: ("BKT-F", True), 3: ("BKT-F", False)}
+
+
+def test_published_model_difference(spark):
+    """Held-out values of both models on the published test learners, and their differences."""
+    rows = [("BKT", "test", "all", 0.635403429228529, 0.594429770519676, 0.2221050864835672), ("BKT-F", "test", "all", 0.6344797526768551, 0.598031953017336, 0.2217145636317173)]
+    names = ["micro_weighted_log_loss", "micro_weighted_auc", "micro_weighted_brier"]
+    table = spark.createDataFrame(rows, "model string, split string, sample_class string, " + ", ".join(f"{n} double" for n in names))
+    found = {r.metric: r.BKT_F_minus_BKT for r in metrics.model_difference(table).collect()}
+    assert found == pytest.approx(dict(zip(names, (-0.0009236765516739132, 0.003602182497659978, -0.00039052285184990043))), abs=1e-12)
