@@ -44,6 +44,8 @@ _KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
 _KINDS[0x27] = 0  # an apostrophe may begin a unit of letters
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
+_SEPARATOR = np.zeros(256, bool)
+_SEPARATOR[[0x20, 0x0A]] = True
 # Second bytes of the letters above, after 0xC3.
 _LATIN = np.zeros(256, bool)
 _LATIN[0x80:0xC0] = True
@@ -100,16 +102,18 @@ class WordTokens:
             self.words[word] = b"".join([self.units[u] for u in parts])
 
     def _found(self, distinct: list[str], whole: np.ndarray) -> list[bytes]:
-        """Ids of distinct units, or of words where ``whole``."""
+        """Ids of distinct units, or of words where ``whole``; no unit is spelt like such a word."""
         if len(self.words) + len(self.units) > CACHE_WORDS:
             self.words, self.units = {}, {}
-        words, units = self.words, self.units
-        new = [(d, w) for d, w in zip(distinct, whole.tolist()) if d not in (words if w else units)]
-        if unseen := [d for d, w in new if not w]:
-            self._learn_units(unseen)
-        if unseen := [d for d, w in new if w]:
-            self._learn_words(unseen)
-        return [(words if w else units)[d] for d, w in zip(distinct, whole.tolist())]
+        known = list(map(self.units.get, distinct))
+        unseen = [i for i, h in enumerate(known) if h is None]
+        if new := [distinct[i] for i in unseen if not whole[i]]:
+            self._learn_units(new)
+        if new := [distinct[i] for i in unseen if whole[i] and distinct[i] not in self.words]:
+            self._learn_words(new)
+        for i in unseen:
+            known[i] = (self.words if whole[i] else self.units)[distinct[i]]
+        return known
 
     def forget(self) -> None:
         self.words, self.units = {}, {}
@@ -118,22 +122,25 @@ class WordTokens:
         """Ids of every text. Texts are lower-cased and cut into units in bulk; only distinct units are looked up."""
         raw = [t.encode() + b" " for t in texts]
         data = np.frombuffer(b"".join(raw), np.uint8)
-        space = (data == 0x20) | (data == 0x0A)
+        inside = ~_SEPARATOR[data]
         kind, low = self.kinds[data], _LOWER[data]
-        pair = np.flatnonzero((data[:-1] == 0xC3) & _LATIN[data[1:]])
+        pair = np.flatnonzero(data[:-1] == 0xC3)
+        pair = pair[_LATIN[data[pair + 1]]]
         kind[pair], kind[pair + 1] = 1, 1
         low[pair + 1] = np.where(data[pair + 1] < 0x9F, data[pair + 1] + 0x20, data[pair + 1])
-        edge = np.diff(np.concatenate([[0], (~space).view(np.int8), [0]]))
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        starts, sizes = edge[::2], edge[1::2] - edge[::2]
         if not len(starts):
             return [b""] * len(texts)
-        sizes = ends - starts
-        odd = np.concatenate([[0], np.cumsum(kind == 0)])
-        whole = np.repeat(odd[ends] > odd[starts], sizes)
-        kind, text = kind[~space], np.where(whole, data[~space], low[~space])
+        odd = np.zeros(len(starts), bool)
+        odd[np.searchsorted(starts, np.flatnonzero((kind == 0) & inside), side="right") - 1] = True
+        whole = np.repeat(odd, sizes)
+        kind, text = kind[inside], low[inside]
+        text[whole] = data[inside][whole]
         cut = np.zeros(len(kind), bool)
         cut[1:] = ~whole[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
-        cut[np.cumsum(sizes) - sizes] = True
+        begin = np.cumsum(sizes) - sizes
+        cut[begin] = True
         at = np.flatnonzero(cut)
         offsets = np.append(at, len(text)).astype(np.int32)
         units = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(text)]).dictionary_encode()
@@ -141,12 +148,13 @@ class WordTokens:
         is_whole = np.zeros(len(units.dictionary), bool)
         is_whole[code] = whole[at]
         held = self._found(units.dictionary.to_pylist(), is_whole)
-        counts = np.array([len(h) // 4 for h in held], np.int64)
+        counts = np.fromiter(map(len, held), np.int64, len(held)) // 4
         first, n = np.cumsum(counts) - counts, counts[code]
         before = np.cumsum(n) - n
         ids = np.frombuffer(b"".join(held), "<u4")[np.repeat(first[code] - before, n) + np.arange(n.sum())]
-        # Bytes other than separators before the end of each text, which name its last unit.
-        limits = np.searchsorted(at, np.cumsum(~space)[np.cumsum([len(r) for r in raw]) - 1])
+        # Words, then units, up to the end of each text.
+        words = np.searchsorted(starts, np.cumsum([len(r) for r in raw]))
+        limits = np.searchsorted(at, np.append(begin, len(text))[words])
         cuts = np.concatenate([[0], np.append(before, n.sum())[limits]])
         return [ids[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
 
