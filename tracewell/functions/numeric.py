@@ -61,12 +61,28 @@ def practice_day(step: Column, items_per_day: int, minutes: float) -> Column:
     return day + within * F.lit(minutes) / F.lit(1440.0)
 
 
+def round_half(x: Column, digits: int) -> Column:
+    """``x`` (double) to ``digits`` places as SQL engines do it in binary: scaled, rounded half away from zero, scaled back.
+
+    Spark's own ``round`` works on the shortest decimal text of ``x``, which differs where the scaled value is a half."""
+    scale = F.lit(10.0**digits)
+    scaled = x * scale
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled, 0) / scale).otherwise(x)
+
+
 def human_bytes(size: Column) -> Column:
-    units = F.array(*[F.lit(u) for u in ("B", "KiB", "MiB", "GiB", "TiB")])
-    step = F.when(size < 1024, 0).otherwise(
-        F.least(F.lit(4), F.floor(F.log2(size.cast("double")) / 10).cast("int"))
-    )
-    return F.format_string("%.2f %s", size / F.pow(F.lit(1024.0), step), F.get(units, step))
+    """A whole number of bytes with two places, halves to even (as printf rounds exact binary values)."""
+    size = size.cast("long")
+    step = sum(((size >= 1 << k).cast("int") for k in (20, 30, 40)), (size >= 1 << 10).cast("int"))
+    unit = F.element_at(F.array(*[F.lit(1 << k).cast("long") for k in (0, 10, 20, 30, 40)]), step + 1)
+    name = F.element_at(F.array(*[F.lit(u) for u in ("B", "KiB", "MiB", "GiB", "TiB")]), step + 1)
+    # The part below one unit is less than 2^40, so no product passes 64 bits.
+    part = (size % unit) * 100
+    rest = part % unit
+    cents = (part - rest) / unit
+    cents = (cents + ((2 * rest > unit) | ((2 * rest == unit) & (cents % 2 == 1))).cast("int")).cast("long")
+    whole = (size - size % unit) / unit + F.floor(cents / 100)
+    return F.concat(whole.cast("long").cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"), F.lit(" "), name)
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:

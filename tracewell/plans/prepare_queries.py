@@ -14,7 +14,7 @@ from tracewell.plans import views as V
 from tracewell.plans.registry import register
 from tracewell.plans.sql import query, hash_steps
 
-R = lambda c, d=9: F.round(c, d)
+R = lambda c, d=9: N.round_half(F.col(c) if isinstance(c, str) else c, d)
 
 
 @register("a4_projected_scan", query("select learner_id, question_id, is_correct from cleaned_v where is_correct"))
