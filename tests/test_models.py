@@ -192,3 +192,17 @@ def test_published_model_difference(spark):
     table = spark.createDataFrame(rows, "model string, split string, sample_class string, " + ", ".join(f"{n} double" for n in names))
     found = {r.metric: r.BKT_F_minus_BKT for r in metrics.model_difference(table).collect()}
     assert found == pytest.approx(dict(zip(names, (-0.0009236765516739132, 0.003602182497659978, -0.00039052285184990043))), abs=1e-12)
+
+
+def test_predictions_have_the_bits_of_the_formula():
+    """Rounded predictions are ranked, so a last bit may part two ties: no rearranged operations."""
+    rng = np.random.default_rng(11)
+    gaps, y = rng.integers(0, 10**9, 400), rng.integers(0, 2, 400)
+    p_init, learn, slip, guess, rate = 0.3, 0.1, 0.1, 0.2, 0.02
+    found = R.forward(np.array([p_init]), np.array([0]), np.array([400]), gaps.astype(float), y, *[np.array([v]) for v in (learn, slip, guess, rate)])
+    state = p_init
+    for i in range(400):
+        before = state * np.exp(-rate * float(gaps[i]) / 86400000.0)
+        known = before * (1 - slip if y[i] else slip)
+        state = learn + (1 - learn) * known / (known + (1 - before) * (guess if y[i] else 1 - guess))
+        assert found[0][i] == guess + before * (1 - slip - guess) and found[1][i] == state

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from tracewell.functions.cleaning import DAY_MS
+
 TINY = 1e-12
 PARAMETERS = ("p_init", "p_learn", "slip", "guess", "lambda_per_day")
 
@@ -45,21 +47,24 @@ def _sweep(start, first, length, days, y, learn, slip, guess, rate):
     return mastery, state
 
 
-def forward(start, first, length, days, y, learn, slip, guess, rate):
-    """Predictions and states after each event (flat arrays), last states and log-likelihoods."""
-    mastery, last = _sweep(start, first, length, days, y, learn, slip, guess, rate)
-    prediction, after, total = np.empty(len(y)), np.empty(len(y)), np.zeros(len(start))
-    for t, before in enumerate(mastery):
-        n = len(before)
+def forward(start, first, length, gap_ms, y, learn, slip, guess, rate):
+    """Predictions and states after each event (flat arrays), last states and log-likelihoods.
+
+    Operations are in the order of the formula, without rearrangement, so that another engine
+    that evaluates it gets the same bits."""
+    state, total = start.astype(float).copy(), np.zeros(len(start))
+    prediction, after = np.empty(len(y)), np.empty(len(y))
+    for t, n in _steps(length):
         at = first[:n] + t
         right = y[at] > 0
+        before = state[:n] * np.exp(-rate[:n] * gap_ms[at] / DAY_MS)
         p = np.clip(guess[:n] + before * (1.0 - slip[:n] - guess[:n]), TINY, 1.0 - TINY)
         with_, without = _chances(right, slip[:n], guess[:n])
-        observed = np.maximum(without + before * (with_ - without), TINY)
-        prediction[at] = p
-        after[at] = learn[:n] + (1.0 - learn[:n]) * before * with_ / observed
+        known = before * with_
+        state[:n] = learn[:n] + (1.0 - learn[:n]) * known / np.maximum(known + (1.0 - before) * without, TINY)
+        prediction[at], after[at] = p, state[:n]
         total[:n] += np.log(np.where(right, p, 1.0 - p))
-    return prediction, after, last, total
+    return prediction, after, state, total
 
 
 def adjoint(start, first, length, days, y, learn, slip, guess, rate, likelihood=True):

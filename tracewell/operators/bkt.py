@@ -68,9 +68,10 @@ def _score_batches(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> It
     for batch in batches:
         if not batch.num_rows:
             continue
-        events, first, length, days, y, order = _flat(batch)
+        events, first, length, _, y, order = _flat(batch)
+        gap_ms = np.asarray(events.field("gap_ms")).astype(float)
         start, *rest = _parameters(batch, order, ["entry", *MODEL_COLUMNS[1:]])
-        prediction, after, _, _ = R.forward(start, first[order], length[order], days, y, *rest)
+        prediction, after, _, _ = R.forward(start, first[order], length[order], gap_ms, y, *rest)
         low, high = int(first[0]), int(first[-1] + length[-1])
         rows = pa.array(np.repeat(np.arange(batch.num_rows), length))
         columns = [batch.column(k).take(rows) for k in keys]
@@ -84,13 +85,14 @@ def _effect_batches(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> I
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, first, length, days, y, order = _flat(batch)
+        events, first, length, _, y, order = _flat(batch)
+        gap_ms = np.asarray(events.field("gap_ms")).astype(float)
         rest = _parameters(batch, order, MODEL_COLUMNS[1:])
         n = batch.num_rows
         back = np.argsort(order)
         ends, totals = [], []
         for start in (1.0, 0.0):
-            _, _, end, total = R.forward(np.full(n, start), first[order], length[order], days, y, *rest)
+            _, _, end, total = R.forward(np.full(n, start), first[order], length[order], gap_ms, y, *rest)
             ends.append(end[back])
             totals.append(total[back])
         columns = [batch.column(k) for k in keys]
