@@ -206,3 +206,18 @@ def test_predictions_have_the_bits_of_the_formula():
         known = before * (1 - slip if y[i] else slip)
         state = learn + (1 - learn) * known / (known + (1 - before) * (guess if y[i] else 1 - guess))
         assert found[0][i] == guess + before * (1 - slip - guess) and found[1][i] == state
+
+def test_calibration_line_of_steep_groups(spark):
+    """Outcomes that a threshold nearly separates: the line is steep, and its cells are the values themselves."""
+    rng = np.random.default_rng(8)
+    p = 0.5 + 0.02 * (rng.random((6, 40)) - 0.5)
+    y = (p + 0.002 * rng.standard_normal(p.shape) > 0.5).astype(int)
+    rows = [(g, float(a), int(b)) for g in range(6) for a, b in zip(p[g], y[g])]
+    df = spark.createDataFrame(rows, "g int, prediction double, y int")
+    for found in (metrics.calibration_line(df, ["g"]).collect(), metrics.prediction_metrics(df, ["g"]).collect()):
+        assert len(found) == 6
+        for r in found:
+            intercept, slope, status = newton(np.log(p[r.g] / (1 - p[r.g])), y[r.g])
+            assert r.calibration_fit_status == status
+            assert r.calibration_intercept == pytest.approx(intercept, rel=1e-6, abs=1e-5)
+            assert r.calibration_slope == pytest.approx(slope, rel=1e-6)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tracewell.functions.bins import all_gap_bins, equal_width_bin, gap_bin_right_closed
 from tracewell.functions.numeric import clip, weighted_mean
-from tracewell.operators.skew import materialise, prefix
+from tracewell.operators.skew import lookup_join, materialise, prefix
 
 TINY = 1e-12
 METRICS = [
@@ -101,14 +101,24 @@ def _merged(table: DataFrame, by: Sequence[str]) -> DataFrame:
 LOGIT_LIMIT, LOGIT_BINS = 20.0, 4096
 _WIDTH = 2 * LOGIT_LIMIT / LOGIT_BINS
 _MOMENTS = ["z1", "z2", "z3"]
-_HISTOGRAM = ["logit_bin", "n0", *[f"{m}_0" for m in _MOMENTS], "n1", *[f"{m}_1" for m in _MOMENTS]]
+_HISTOGRAM = ["origin", "n0", *[f"{m}_0" for m in _MOMENTS], "n1", *[f"{m}_1" for m in _MOMENTS]]
 
 
 def _logit_columns(p: Column) -> tuple[Column, Column, Column]:
-    """(logit, its bin, its distance from the bin's lower edge)."""
+    """(logit, origin of its cell, its distance from there).
+
+    In groups with at most ``LOGIT_BINS`` distinct predictions (``__few``) each logit is a cell of
+    its own; in others the cell is a bin, with its lower edge as origin."""
     x = clip(F.ln(p / (F.lit(1.0) - p)), -LOGIT_LIMIT, LOGIT_LIMIT)
-    cell = F.least(F.floor((x + LOGIT_LIMIT) / _WIDTH), F.lit(LOGIT_BINS - 1)).cast("int")
-    return x, cell, x - (cell * _WIDTH - LOGIT_LIMIT)
+    edge = F.least(F.floor((x + LOGIT_LIMIT) / _WIDTH), F.lit(LOGIT_BINS - 1)) * _WIDTH - LOGIT_LIMIT
+    origin = F.when(F.col("__few"), x).otherwise(edge)
+    return x, origin, x - origin
+
+
+def _with_few(table: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A stored prediction table with ``__few``: whether its group has at most ``LOGIT_BINS`` predictions."""
+    few = table.groupBy(*by).agg((F.count(F.lit(1)) <= LOGIT_BINS).alias("__few"))
+    return lookup_join(table, materialise(few), by, "left")
 
 
 def _histogram_sums(x: Column, z: Column) -> list[Column]:
@@ -121,9 +131,9 @@ def _histogram_sums(x: Column, z: Column) -> list[Column]:
 
 
 def _newton(cells: np.ndarray, least: float, max_steps: int, tolerance: float) -> tuple[float | None, float | None, str]:
-    """Intercept and slope from the histogram rows (bin, then count and moments per outcome).
+    """Intercept and slope from the histogram rows (origin, then count and moments per outcome).
 
-    A bin's events are taken at their mean logit, with the next terms of the series from their
+    A cell's events are taken at their mean logit, with the next terms of the series from their
     moments. Sums are about the least logit, which keeps the solution of the 2 x 2 system
     exact where the logits of a group are nearly equal.
     """
@@ -132,7 +142,7 @@ def _newton(cells: np.ndarray, least: float, max_steps: int, tolerance: float) -
         return None, None, "single_outcome"
     n = n0 + n1
     mean = (cells[:, 2] + cells[:, 6]) / n
-    x = cells[:, 0] * _WIDTH - LOGIT_LIMIT + mean
+    x = cells[:, 0] + mean
     first, second, third = [], [], []
     for i in (1, 5):
         count, z1, z2, z3 = cells[:, i : i + 4].T
@@ -191,19 +201,21 @@ def _fitted(grouped: DataFrame, max_steps: int = 80, tolerance: float = 1e-9) ->
 
 
 def _histogram_entry() -> Column:
-    return F.struct("logit_bin", F.col("h0").alias("n0"), *[f"{m}_0" for m in _MOMENTS], F.col("h1").alias("n1"), *[f"{m}_1" for m in _MOMENTS])
+    return F.struct("origin", F.col("h0").alias("n0"), *[f"{m}_0" for m in _MOMENTS], F.col("h1").alias("n1"), *[f"{m}_1" for m in _MOMENTS])
 
 
 def calibration_line(scored: DataFrame, by: Sequence[str], max_steps: int = 80, tolerance: float = 1e-9) -> DataFrame:
     """Intercept and slope of a logistic regression of y on logit(prediction), by Newton steps.
 
     Every group gets a status; without two outcomes it is ``single_outcome`` and there is no
-    line. A group is its histogram over bins of the logit, with moments, so its size in
-    the task that fits it is bounded. A bin of one value is exact; otherwise the error is of the
-    fourth order in slope times bin width (1e-9 at slopes about one).
+    line. A group of at most ``LOGIT_BINS`` distinct predictions is fitted on these, which is exact
+    at any slope. A larger one is its histogram over as many bins of the logit, with moments, so
+    the size of a group in the task that fits it is bounded; its error is of the fourth order in
+    slope times bin width (1e-9 at slopes about one).
     """
-    x, cell, z = _logit_columns(F.col("prediction"))
-    cells = prediction_table(scored, by).groupBy(*by, cell.alias("logit_bin")).agg(*_histogram_sums(x, z))
+    x, origin, z = _logit_columns(F.col("prediction"))
+    table = _with_few(materialise(prediction_table(scored, by)), by)
+    cells = table.groupBy(*by, origin.alias("origin")).agg(*_histogram_sums(x, z))
     grouped = cells.groupBy(*by).agg(F.min("least_logit").alias("least_logit"), F.sort_array(F.collect_list(_histogram_entry())).alias("histogram"))
     return _fitted(grouped, max_steps, tolerance)
 
@@ -213,7 +225,7 @@ def table_metrics(table: DataFrame, by: Sequence[str], bins: int = 15) -> DataFr
     by = list(by)
     more = [c for c in table.columns if c not in (*by, "prediction", "n", "n1")]
     p, n, n1 = F.col("prediction"), F.col("n"), F.col("n1")
-    x, cell, z = _logit_columns(p)
+    x, origin, z = _logit_columns(p)
     sums = {
         "n": n,
         "successes": n1,
@@ -223,7 +235,7 @@ def table_metrics(table: DataFrame, by: Sequence[str], bins: int = 15) -> DataFr
         "right": F.when(p >= 0.5, n1).otherwise(n - n1),
         **{c: F.col(c) for c in more},
     }
-    cells = table.groupBy(*by, equal_width_bin(p, bins).alias("bin_index"), cell.alias("logit_bin")).agg(*[F.sum(c).alias(k) for k, c in sums.items()], *_histogram_sums(x, z))
+    cells = _with_few(table, by).groupBy(*by, equal_width_bin(p, bins).alias("bin_index"), origin.alias("origin")).agg(*[F.sum(c).alias(k) for k, c in sums.items()], *_histogram_sums(x, z))
     by_bin = cells.groupBy(*by, "bin_index").agg(*[F.sum(k).alias(k) for k in sums], F.min("least_logit").alias("least_logit"), F.collect_list(_histogram_entry()).alias("cells"))
     total = F.sum("n")
     grouped = by_bin.groupBy(*by).agg(
