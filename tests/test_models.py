@@ -232,3 +232,16 @@ def test_selection_reads_the_calibration_losses_of_the_full_evaluation(spark):
     sequences = materialise(V.sequences(spark, sf))
     found = M.calibration_losses(sequences, M.fixed_parameters(sequences)).collect()
     assert {(r.skill_id, r.model): pytest.approx(r.log_loss, abs=1e-12) for r in found} == {(r.skill_id, r.model): r.log_loss for r in full.collect()}
+
+
+def test_searches_that_meet_go_on_as_one():
+    """The better of two near searches of a model stays; other models, skills and distant points are kept."""
+    skills, forgetting = np.array([1, 1, 1, 1, 2, 1]), np.array([False, False, False, True, False, False])
+    search = fit._Searches(None, skills, forgetting, fit.FitConfig())
+    z = np.zeros((6, 5))
+    z[1] += 0.5 * fit.SAME_POINT
+    z[2] += 1.0
+    z[0, 4] = 3.0  # the rate of plain BKT doesn't count
+    nll = np.array([10.0, 9.0, 8.0, 9.0, 9.0, np.inf])
+    assert search.met(z, nll, np.ones(6, bool)).tolist() == [0]
+    assert search.met(z, nll, np.array([False, True, True, True, True, False])).tolist() == []

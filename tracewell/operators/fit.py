@@ -49,6 +49,8 @@ TRACE = 4_000_000
 _TRIANGLE = [(i, j) for i in range(5) for j in range(i, 5)]
 _SUMS = ["nll", *[f"g{i}" for i in range(5)], *[f"h{i}{j}" for i, j in _TRIANGLE]]
 _LEVEL = 256
+# Largest difference of raw parameters at which two searches of one model count as one.
+SAME_POINT = 0.02
 
 
 @dataclass(frozen=True)
@@ -303,8 +305,26 @@ class _Searches:
                 small = np.max(np.abs(g[k][self.free(k, z[k], g[k])]), initial=0.0) < self.config.gtol
                 good[k] = small or 0 < gain <= self.config.ftol * max(1.0, abs(nll[k]))
                 done[k] = good[k] or mu[k] > 1e12  # beyond that the search is stuck, which is no success
+            met = self.met(z, nll, ~done)
+            done[met], nll[met] = True, np.inf
         return z, nll, g, taken, good
 
+    def met(self, z: np.ndarray, nll: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Live searches within ``SAME_POINT`` of a better one of their skill and model, which goes on
+        for both (or has ended there). Of equal ones the first goes on."""
+        out = []
+        groups = np.unique(np.stack([self.skills, self.forgetting]), axis=1, return_inverse=True)[1].ravel()
+        for group in np.unique(groups[live]):
+            kept = []
+            rows = np.flatnonzero((groups == group) & np.isfinite(nll))
+            for k in rows[np.argsort(nll[rows], kind="stable")]:
+                size = 5 if self.forgetting[k] else 4
+                if live[k] and any(np.max(np.abs(z[k, :size] - z[j, :size])) <= SAME_POINT for j in kept):
+                    out.append(k)
+                else:
+                    kept.append(k)
+        return np.array(out, int)
+
     def hessian(self, rows: np.ndarray, z: np.ndarray):
         """Hessian of every row from gradients on either side along each axis: one job."""
         width = 1e-4 * np.maximum(1.0, np.abs(z))
