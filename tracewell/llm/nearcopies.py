@@ -1,14 +1,21 @@
 """Near copies by the Jaccard similarity of five-word shingles, at least ``SIMILAR``.
 
-A text is the set of its five-word shingles (fewer words: the whole sequence). Candidates
-share one of ``BANDS`` bands of ``ROWS`` MinHashes: a pair at similarity s is no candidate with
-probability (1 - s^4)^32, which is 5e-8 at 0.8 and less above. Every candidate is then
-verified by the exact similarity of the two sets, so no pair below the limit is linked.
-(SimHash would need about 17 of 64 bits for such pairs, where no bit partition is selective.)
-
-Equal sets are one node. A bucket of over ``HOT`` nodes isn't compared pair by pair at first:
-its nodes are compared to its least one. What is then still in different components of a
-bucket is compared in full, so the components are those of all verified candidates.
+A text is the set of its five-word shingles (fewer words: the whole sequence); equal sets are
+one node. The method is that of ``simhash``: 64-bit fingerprints of the shingles, and the pairs
+at most ``simhash.TAU`` bits apart by the generalised pigeonhole principle. A fingerprint can't
+tell whether a pair reaches the limit (at 0.8 about 10 bits differ), so each link is verified by
+the exact similarity of the two sets, and what fingerprints can't reach is then looked for
+between nodes that they left apart:
+
+Candidates share one of ``BANDS`` bands of ``ROWS`` MinHashes: a pair at similarity s is no
+candidate with probability (1 - s^4)^32, which is 5e-8 at 0.8 and less above. In a bucket of up
+to ``HOT`` nodes all pairs are verified. In a larger one the nodes are compared to a hub, the
+node that meets most others in large buckets (of equals the one of the smallest doc_id). The nodes of buckets that are still in several
+components then go on by an exact rule, whatever bucket they share. Shingles are ordered, rare
+ones last in rank. Of two sets with at least c common shingles, the rarest common one has rank c
+or more in both, and sets of sizes n and m at the limit have c = 4/9 (n + m). So only pairs that
+meet in such a shingle, with sizes and ranks that allow the limit, are verified. Sets that share
+a passage or a template and differ in more than the limit allows meet in no shingle.
 """
 
 from __future__ import annotations
@@ -19,12 +26,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.llm import simhash
 from tracewell.llm.common import Scratch, slices
 from tracewell.llm.components import components
-from tracewell.llm.simhash import TEXT_SLICE, shingle_hashes
+from tracewell.llm.simhash import TEXT_SLICE, majority, shingle_hashes
 
 SHINGLE = 5
 SIMILAR = (4, 5)
@@ -33,6 +41,8 @@ SEED = 42
 HOT = 32
 # Hashes of a chunk of a set.
 CHUNK = 4096
+# Size classes per doubling of a set.
+CLASSES = 8
 
 _PICK = np.random.Generator(np.random.PCG64(SEED))
 _FLIP = _PICK.integers(0, 2**64, BANDS * ROWS, np.uint64)
@@ -62,10 +72,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, content, n, keys) per row that has a doc_id.
+    """(doc_id, text_hash, content, n, fp, keys) per row that has a doc_id.
 
-    ``content`` is a 128-bit digest of the shingle set, ``n`` its size, ``keys`` its band keys
-    (none if the text has no words).
+    ``content`` is a 128-bit digest of the shingle set, ``n`` its size, ``fp`` its SimHash,
+    ``keys`` its band keys (none if the text has no words).
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,10 +88,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 keys = pa.array([next(found) if len(s) else [] for s in sets], pa.list_(pa.int64()))
                 content = pa.array([xxhash.xxh128_digest(s.tobytes(), SEED) for s in sets], pa.binary())
                 sizes = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), content, sizes, keys], ["doc_id", "text_hash", "content", "n", "keys"])
+                fps = pa.array(majority(sets).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), content, sizes, fps, keys], ["doc_id", "text_hash", "content", "n", "fp", "keys"])
 
     rows = _keyed(docs).filter("doc_id is not null").select(F.col("doc_id").cast("long"), "__text_hash", F.col("text").cast("string"))
-    return rows.mapInArrow(work, "doc_id long, text_hash long, content binary, n long, keys array<long>")
+    return rows.mapInArrow(work, "doc_id long, text_hash long, content binary, n long, fp long, keys array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, used: DataFrame) -> DataFrame:
@@ -114,30 +125,82 @@ def _sets(docs: DataFrame, nodes: DataFrame, used: DataFrame) -> DataFrame:
     return texts.select("node", "level", F.col("text").cast("string")).mapInArrow(work, "node long, level int, chunk int, hashes array<long>")
 
 
-def _verified(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` (a, b, na, nb) whose sets are at least ``SIMILAR``.
+def _level(size: Column) -> Column:
+    """Bits that cut a set of this size into chunks of about ``CHUNK``."""
+    return F.ceil(F.log2(F.greatest(size / CHUNK, F.lit(1.0)))).cast("int")
+
+
+def _levels(nodes: DataFrame) -> DataFrame:
+    """(node, level): the levels of all pairs in which a set (node, n) can be ``SIMILAR``."""
+    low, high = SIMILAR
+    return nodes.select("node", F.explode(F.sequence(_level(F.col("n")), _level(F.expr(f"{high} * n div {low}")))).alias("level"))
+
+
+def _verified(scratch: Scratch, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` (a, b, na, nb) whose ``sets`` are at least ``SIMILAR``.
 
     Sets meet chunk by chunk of about ``CHUNK`` hashes at most, so no row holds a whole large set;
     the hashes that two chunks share are counted by Spark and added up."""
     low, high = SIMILAR
-    level = F.ceil(F.log2(F.greatest(F.greatest("na", "nb") / CHUNK, F.lit(1.0)))).cast("int")
-    pairs = scratch.save(pairs.select("a", "b", "na", "nb", level.alias("level")))
-    used = pairs.select(F.col("a").alias("node"), "level").union(pairs.select("b", "level")).distinct()
-    sets = scratch.save(_sets(docs, nodes, used))
+    pairs = scratch.save(pairs.select("a", "b", "na", "nb", _level(F.greatest("na", "nb")).alias("level")))
     side = lambda node, name: sets.select(F.col("node").alias(node), "level", "chunk", F.col("hashes").alias(name)).hint("merge")
-    # Least nodes of large buckets are in many pairs, so their sets come last, where a join can split.
+    # Hubs of large buckets are in many pairs, so their sets come last, where a join can split.
     met = pairs.join(side("b", "hb"), ["b", "level"]).join(side("a", "ha"), ["a", "level", "chunk"])
     common = met.select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("c")).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
     return scratch.save(common.filter(f"{high} * c >= {low} * (na + nb - c)").select("a", "b"))
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
-    """Pairs (a, b, na, nb), a < b, of rows with x, y and their sizes nx, ny that can be ``SIMILAR``."""
+    """Pairs (a, b, na, nb) of rows with x, y and their sizes nx, ny that can be ``SIMILAR``."""
     low, high = SIMILAR
     fit = joined.filter(f"x <> y and {high} * least(nx, ny) >= {low} * greatest(nx, ny)")
-    first = F.col("x") < F.col("y")
-    either = lambda p, q, name: F.when(first, F.col(p)).otherwise(F.col(q)).alias(name)
-    return fit.select(either("x", "y", "a"), either("y", "x", "b"), either("nx", "ny", "na"), either("ny", "nx", "nb")).distinct()
+    return fit.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")).distinct()
+
+
+def _fingerprint_pairs(scratch: Scratch, nodes: DataFrame) -> DataFrame:
+    """Pairs that connect the nodes of equal fingerprints, and those at most ``simhash.TAU`` bits apart."""
+    held = nodes.filter("n > 0").select("node", "n", "fp")
+    distinct = scratch.save(held.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("least")).select("fp", F.col("least.node").alias("rep"), F.col("least.n").alias("nrep")))
+    equal = held.join(distinct.hint("merge"), "fp").select(F.col("rep").alias("x"), F.col("node").alias("y"), F.col("nrep").alias("nx"), F.col("n").alias("ny"))
+    near = simhash.links(scratch, distinct.select("fp", "rep")).distinct()
+    size = lambda node, n: distinct.select(F.col("rep").alias(node), F.col("nrep").alias(n)).hint("merge")
+    near = near.select(F.col("a").alias("x"), F.col("b").alias("y")).join(size("x", "nx"), "x").join(size("y", "ny"), "y")
+    return _pairs(equal.union(near.select("x", "y", "nx", "ny")))
+
+
+def _rare_pairs(scratch: Scratch, sets: DataFrame, apart: DataFrame) -> DataFrame:
+    """All pairs of ``apart`` (node, n, top) of different ``top`` that can be ``SIMILAR``: they meet
+    in a shingle whose rank in both sets, counted from the most frequent shingle, allows it.
+
+    A shingle of one ``top`` only makes no pair and counts as rarest. The smaller set of a pair
+    stands at its size class, the larger one goes to the classes that its rank allows. As most
+    sets of a frequent shingle may be of one ``top``, these meet the others only.
+    """
+    low, high = SIMILAR
+    both = low + high
+    held = apart.withColumn("level", _level(F.col("n"))).join(sets.hint("merge"), ["node", "level"])
+    held = scratch.save(held.select("node", "n", "top", F.explode("hashes").alias("token")))
+    counts = held.groupBy("token").agg(F.count("*").alias("f"), F.min("top").alias("t0"), F.max("top").alias("t1")).filter("t0 <> t1")
+    ranks = Window.partitionBy("node").orderBy(F.desc("f"), F.desc("token"))
+    ranked = held.join(counts.select("token", "f").hint("merge"), "token").withColumn("r", F.row_number().over(ranks))
+    ranked = scratch.save(ranked.filter(f"{high} * r >= {low} * n").select("token", "node", "n", "top", "r"))
+    group = lambda size: f"int(floor(log2({size}) * {CLASSES}))"
+    small = ranked.filter(f"{both} * r >= {2 * low} * n").withColumn("class", F.expr(group("n")))
+    large = ranked.withColumn("least", F.expr(f"({low} * n + {high - 1}) div {high}")).withColumn("most", F.expr(f"least(n, ({both} * r - {low} * n) div {low})"))
+    large = large.filter("least <= most").withColumn("class", F.expr(f"explode(sequence({group('least')}, {group('most')}))"))
+    main = small.groupBy("token", "class", "top").agg(F.count("*").alias("k")).groupBy("token", "class").agg(F.max(F.struct("k", "top")).alias("main"))
+    main = scratch.save(main.select("token", "class", F.col("main.top").alias("main")))
+    named = lambda rows, x: rows.join(main.hint("merge"), ["token", "class"]).select("token", "class", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("top").alias(f"t{x}"), F.col("r").alias(f"r{x}"), (F.col("top") != F.col("main")).alias(f"o{x}"))
+    small, large = scratch.save(named(small, "y")), scratch.save(named(large, "x"))
+    fit = f"tx <> ty and (ny < nx or ny = nx and y < x) and {high} * ny >= {low} * nx and {both} * least(rx, ry) >= {low} * (nx + ny)"
+    meet = lambda left, right: left.join(right.hint("merge"), ["token", "class"]).filter(fit).select("x", "y", "nx", "ny")
+    return _pairs(meet(large, small.filter("oy")).union(meet(large.filter("ox"), small.filter("not oy"))))
+
+
+def _topped(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """``rows`` with the least node of the component of ``node`` as ``top``."""
+    found = rows.join(least.select(F.col("a").alias("node"), F.col("b").alias("__top")).hint("merge"), "node", "left")
+    return found.withColumn("top", F.coalesce("__top", "node")).drop("__top")
 
 
 def classes(scratch: Scratch, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -145,24 +208,26 @@ def classes(scratch: Scratch, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     banded = nodes.filter("size(keys) > 0").select("node", "n", F.explode("keys").alias("key"))
     sizes = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     shared = scratch.save(banded.join(sizes.hint("merge"), "key"))
-    side = lambda rows, name: rows.select("key", F.col("node").alias(name), F.col("n").alias(f"n{name}"))
+    close = scratch.save(_fingerprint_pairs(scratch, nodes))
+    used = shared.select("node", "n").union(close.select("a", "na")).union(close.select("b", "nb")).distinct()
+    sets = scratch.save(_sets(docs, nodes, _levels(used)))
+    edges = _verified(scratch, sets, close)
+    shared = scratch.save(_topped(shared, components(scratch, edges)))
+    side = lambda rows, name: rows.select("key", F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("top").alias(f"t{name}"))
     small, hot = shared.filter(f"size <= {HOT}"), shared.filter(f"size > {HOT}")
-    pairs = _pairs(side(small, "x").join(side(small, "y").hint("merge"), "key").filter("x < y"))
-    hubs = hot.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub")).select("key", F.col("hub.node").alias("y"), F.col("hub.n").alias("ny"))
-    stars = _pairs(side(hot, "x").join(hubs.hint("merge"), "key"))
-    edges = _verified(scratch, docs, nodes, pairs.union(stars).distinct())
+    pairs = _pairs(side(small, "x").join(side(small, "y").hint("merge"), "key").filter("x < y and tx <> ty"))
+    meets = hot.groupBy("node").agg(F.sum("size").alias("meets")).join(nodes.select("node", F.bitwise_not("first.doc_id").alias("late")).hint("merge"), "node")
+    hubs = hot.join(meets.hint("merge"), "node").groupBy("key").agg(F.max_by(F.struct("node", "n", "top"), F.struct("meets", "late", "node")).alias("hub"))
+    hubs = hubs.select("key", F.col("hub.node").alias("x"), F.col("hub.n").alias("nx"), F.col("hub.top").alias("tx"))
+    stars = _pairs(hubs.join(side(hot, "y").hint("merge"), "key").filter("tx <> ty"))
+    edges = edges.union(_verified(scratch, sets, pairs.union(stars).distinct()))
     least = components(scratch, edges)
     if hot.isEmpty():
         return least
-    # Rows outside their bucket's main component meet all rows of other components.
-    named = hot.join(least.select(F.col("a").alias("node"), F.col("b").alias("top")).hint("merge"), "node", "left")
-    named = scratch.save(named.select("key", "node", "n", F.coalesce("top", "node").alias("top")))
-    main = hubs.join(named.select("key", F.col("node").alias("y"), "top"), ["key", "y"]).select("key", F.col("top").alias("main"))
-    outside = named.join(main.hint("merge"), "key").filter("top <> main")
-    left = outside.select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("top").alias("tx"))
-    right = named.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("top").alias("ty"))
-    rest = _pairs(left.join(right.hint("merge"), "key").filter("tx <> ty"))
-    more = _verified(scratch, docs, nodes, rest)
+    named = scratch.save(_topped(hot.select("key", "node", "n"), least))
+    split = named.groupBy("key").agg(F.min("top").alias("t0"), F.max("top").alias("t1")).filter("t0 <> t1").select("key")
+    apart = scratch.save(named.join(split.hint("merge"), "key", "left_semi").select("node", "n", "top").distinct())
+    more = _verified(scratch, sets, _rare_pairs(scratch, sets, apart))
     return least if more.isEmpty() else components(scratch, edges.union(more))
 
 
@@ -175,8 +240,8 @@ def first_of_group(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """
     columns = docs.columns
     marked = scratch.save(signatures(docs))
-    nodes = marked.groupBy("content").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
-    nodes = scratch.save(nodes.select(F.monotonically_increasing_id().alias("node"), "first", "n", "keys"))
+    nodes = marked.groupBy("content").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"))
+    nodes = scratch.save(nodes.select(F.monotonically_increasing_id().alias("node"), "first", "n", "fp", "keys"))
     repeated = not marked.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty()
     texts = docs
     if repeated:

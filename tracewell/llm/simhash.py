@@ -37,6 +37,8 @@ HOT = 512
 PARTITIONS = (2, 3)
 TEXT_SLICE = 1_500_000
 PAIRS = 2_000_000
+# Hashes whose bits are unpacked at once (64 bytes each).
+BLOCK = 1 << 20
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -54,9 +56,12 @@ def majority(hashes: list[np.ndarray]) -> np.ndarray:
     held = [i for i, h in enumerate(hashes) if len(h)]
     if held:
         sizes = np.array([len(hashes[i]) for i in held])
-        bits = np.unpackbits(np.concatenate([hashes[i] for i in held]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        bits = lambda flat: np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        if sizes.sum() <= BLOCK:
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            counts = np.add.reduceat(bits(np.concatenate([hashes[i] for i in held])), starts, axis=0, dtype=np.int32)
+        else:  # a very long text
+            counts = np.array([sum(bits(hashes[i][j : j + BLOCK]).sum(axis=0, dtype=np.int64) for j in range(0, len(hashes[i]), BLOCK)) for i in held])
         out[held] = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
 
