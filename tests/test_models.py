@@ -245,3 +245,65 @@ def test_searches_that_meet_go_on_as_one():
     nll = np.array([10.0, 9.0, 8.0, 9.0, 9.0, np.inf])
     assert search.met(z, nll, np.ones(6, bool)).tolist() == [0]
     assert search.met(z, nll, np.array([False, True, True, True, True, False])).tolist() == []
+
+
+def test_blocks_hold_every_event_and_give_the_plain_likelihood(spark):
+    """Sequences of several lengths and skills, packed step by step, against the plain recursion; also its slopes."""
+    events = synthetic(spark, 60, 40).selectExpr("learner_id", "cast(learner_id % 2 as int) as skill_id", "within_skill_index", "gap_ms", "is_correct").where("within_skill_index < 1 + learner_id % 39")
+    stored = {}
+    for r in events.collect():
+        stored.setdefault((r.skill_id, r.learner_id), []).append((r.within_skill_index, r.gap_ms / 86_400_000, r.is_correct))
+    training = fit.Training.of(bkt.sequence_pieces(events, KEYS))
+    packed = training.blocks.collect()
+    assert {s: sum(b.events for b in packed if b.skill_id == s) for s in (0, 1)} == {s: sum(len(v) for k, v in stored.items() if k[0] == s) for s in (0, 1)}
+    assert sum(b.sequences for b in packed) == 60 and len(packed) < 60
+    firsts = {s: np.mean([min(v)[2] for k, v in stored.items() if k[0] == s]) for s in (0, 1)}
+    assert {r.skill_id: r.first_rate for r in training.facts().collect()} == pytest.approx(firsts)
+
+    def nll(skill, p):
+        total = 0.0
+        for key, seq in stored.items():
+            seq = sorted(seq)
+            if key[0] == skill:
+                total -= sum(np.log(q if hit else 1 - q) for (q, _), (_, _, hit) in zip(one_sequence([e[1] for e in seq], [e[2] for e in seq], p), seq))
+        return total
+
+    points = np.array([[0.3, 0.1, 0.1, 0.2, 0.0], [0.4, 0.2, 0.15, 0.25, 0.05], [0.3, 0.1, 0.1, 0.2, 1.5]])
+    for r in fit.likelihood(training, {0: points, 1: points[:2]}).collect():
+        p = points[r.candidate]
+        assert r.nll == pytest.approx(nll(r.skill_id, p), rel=1e-10)
+        for i in range(4 if p[4] == 0 else 5):
+            shift = 1e-6 * np.eye(5)[i]
+            assert (nll(r.skill_id, p + shift) - nll(r.skill_id, p - shift)) / 2e-6 == pytest.approx(r[f"g{i}"], rel=1e-5, abs=1e-4)
+
+
+def test_chances_are_clipped_only_where_they_can_reach_the_limit():
+    rng = np.random.default_rng(6)
+    steps = [(rng.uniform(0, 5, n), rng.choice([0.5, -0.5], n)) for n in (7, 7, 5, 2) for _ in range(9)]
+    p = np.array([[0.3, 0.1, 0.1, 0.2, 0.02], [0.9, 0.4, 1e-9, 0.3, 0.5]])
+    assert fit._inside(p) and not fit._inside(p - 1e-10)
+    start, rest = np.repeat(p[:, :1], 7, axis=1), p.T[1:, :, None]
+    for plain, clipped in zip(R.step_major(start, steps, *rest, clip=False), R.step_major(start, steps, *rest)):
+        assert np.allclose(plain, clipped, rtol=1e-9, atol=1e-9)
+    certain = np.array([[1.0, 0.5, 0.0, 0.0, 0.0]])  # an impossible answer costs the logarithm of the limit
+    value, gradient = R.step_major(np.ones((1, 1)), [(np.zeros(1), np.full(1, -0.5))], *certain.T[1:, :, None])
+    assert value[0, 0] == pytest.approx(-np.log(R.TINY)) and np.isfinite(gradient).all()
+
+
+def test_search_takes_two_points_a_step(monkeypatch):
+    """A search through a curved valley with few evaluations, each of which reads every event of a skill."""
+    spent = []
+
+    def evaluate(self, owner, z):
+        spent.append(len(z))
+        a, b = z[:, 0], z[:, 1]
+        r = np.stack([1.0 - a, 10.0 * (b - a * a)], axis=1)
+        j = np.zeros((len(z), 2, 5))
+        j[:, 0, 0], j[:, 1, 0], j[:, 1, 1] = -1.0, -20.0 * a, 10.0
+        return 0.5 * (r**2).sum(axis=1), np.einsum("nr,nrp->np", r, j), np.einsum("nri,nrj->nij", j, j)
+
+    monkeypatch.setattr(fit._Searches, "evaluate", evaluate)
+    search = fit._Searches(None, np.array([1]), np.array([False]), fit.FitConfig())
+    z, nll, _, _, good = search.descend(np.array([[-1.2, 1.0, 0.0, 0.0, 0.0]]))
+    assert good[0] and z[0, :2] == pytest.approx([1.0, 1.0], abs=1e-5) and nll[0] < 1e-9
+    assert max(spent) == 2 and sum(spent) < 80

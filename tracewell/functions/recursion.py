@@ -11,6 +11,8 @@ import numpy as np
 from tracewell.functions.cleaning import DAY_MS
 
 TINY = 1e-12
+# Factors of at least TINY whose product is a normal number.
+PRODUCT = 16
 PARAMETERS = ("p_init", "p_learn", "slip", "guess", "lambda_per_day")
 
 
@@ -18,7 +20,7 @@ def longest_first(length: np.ndarray) -> np.ndarray:
     return np.argsort(-length, kind="stable")
 
 
-def _steps(length: np.ndarray):
+def running(length: np.ndarray):
     """(step, number of sequences still running)."""
     ascending = np.sort(length)
     n = len(length)
@@ -31,22 +33,6 @@ def _chances(right, slip, guess):
     return np.where(right, 1.0 - slip, slip), np.where(right, guess, 1.0 - guess)
 
 
-def _sweep(start, first, length, days, y, learn, slip, guess, rate):
-    """Mastery before every event (one array per step) and after the last one.
-
-    An answer moves the odds of mastery by the ratio of its two chances; learning then
-    closes a share of what is left to 1."""
-    mastery, state = [], start.astype(float).copy()
-    for t, n in _steps(length):
-        at = first[:n] + t
-        before = state[:n] * np.exp(-rate[:n] * days[at])
-        with_, without = _chances(y[at] > 0, slip[:n], guess[:n])
-        observed = np.maximum(without + before * (with_ - without), TINY)
-        state[:n] = learn[:n] + (1.0 - learn[:n]) * before * with_ / observed
-        mastery.append(before)
-    return mastery, state
-
-
 def forward(start, first, length, gap_ms, y, learn, slip, guess, rate):
     """Predictions and states after each event (flat arrays), last states and log-likelihoods.
 
@@ -54,7 +40,7 @@ def forward(start, first, length, gap_ms, y, learn, slip, guess, rate):
     that evaluates it gets the same bits."""
     state, total = start.astype(float).copy(), np.zeros(len(start))
     prediction, after = np.empty(len(y)), np.empty(len(y))
-    for t, n in _steps(length):
+    for t, n in running(length):
         at = first[:n] + t
         right = y[at] > 0
         before = state[:n] * np.exp(-rate[:n] * gap_ms[at] / DAY_MS)
@@ -67,41 +53,110 @@ def forward(start, first, length, gap_ms, y, learn, slip, guess, rate):
     return prediction, after, state, total
 
 
-def adjoint(start, first, length, days, y, learn, slip, guess, rate, likelihood=True):
+def _sweep(start, steps, learn, slip, guess, rate, clip):
+    """One forward pass over ``steps``: what the pass back reads of each step, the states after the last
+    events, and the negative log-likelihoods.
+
+    The chance of an answer is p if right, 1 - p if wrong; ``signed`` is p or p - 1, so its inverse carries
+    the sign that the derivatives need. Logarithms are taken of products of up to ``PRODUCT`` steps."""
+    state, span, stays = start.copy(), 1.0 - slip - guess, 1.0 - learn
+    guessed, held = guess - 0.5, 0.5 - slip
+    nll, product = np.zeros(start.shape), np.ones(start.shape)
+    kept, loses, forgets = [], -rate, np.any(rate)
+    for t, (days, half) in enumerate(steps):
+        n = days.shape[-1]
+        now = state[..., :n]
+        decay = None
+        if forgets:
+            decay = loses[..., :n] * days
+            before = now * np.exp(decay, out=decay)
+        else:
+            before = now.copy()
+        signed = before * span[..., :n]
+        signed += guessed[..., :n]
+        signed += half
+        if clip:
+            chance = np.maximum(signed * (2.0 * half), TINY)
+            product[..., :n] *= np.minimum(chance, 1.0 - TINY)
+            inverse = 2.0 * half / chance
+        else:
+            product[..., :n] *= signed
+            inverse = np.divide(1.0, signed, out=signed)
+        known = held[..., :n] + half
+        known *= before
+        known *= inverse
+        np.multiply(known, stays[..., :n], out=now)
+        now += learn[..., :n]
+        kept.append((before, inverse, known, decay))
+        if (t + 1) % PRODUCT == 0:
+            nll -= np.log(np.abs(product))
+            product[...] = 1.0
+    nll -= np.log(np.abs(product))
+    return kept, state, nll
+
+
+def step_major(start, steps, learn, slip, guess, rate, likelihood=True, clip=True):
     """Value and gradient of each sequence's negative log-likelihood, or of its end state.
 
-    Returns (value, gradient); the gradient's columns are the start state, then learn, slip,
-    guess and rate. One forward sweep keeps the mastery before each event. The sweep back
-    carries a single number per sequence: the derivative of the value with respect to the
-    state after the event (0 behind the last event for the likelihood, 1 for the end state).
+    ``steps`` holds per step (days since the previous event, 0.5 for a right answer and -0.5 for a wrong one) of the
+    sequences still running, longest first. ``start`` has the shape of the result, (n,) or (candidates, n);
+    parameters are (n,) or (candidates, 1). Returns (value, gradient); the first axis of the gradient is the
+    start state, then learn, slip, guess and rate. ``clip`` may be left out if slip and guess lie in
+    [1e-9, 1 - 1e-9], states in [0, 1] and no days are negative: no chance comes near ``TINY`` then.
+
+    One forward sweep keeps the mastery before each event. The sweep back carries a single number per sequence:
+    the derivative of the value with respect to the state after the event (0 behind the last event for the
+    likelihood, 1 for the end state). Every operation is on whole contiguous arrays of a step.
     """
-    mastery, last = _sweep(start, first, length, days, y, learn, slip, guess, rate)
-    value, gradient = np.zeros(len(start)), np.zeros((len(start), 5))
-    weight = np.zeros(len(start)) if likelihood else np.ones(len(start))
-    for t in range(len(mastery) - 1, -1, -1):
-        before = mastery[t]
-        n = len(before)
-        at = first[:n] + t
-        right = y[at] > 0
-        sign = np.where(right, 1.0, -1.0)
-        with_, without = _chances(right, slip[:n], guess[:n])
-        observed = np.maximum(without + before * (with_ - without), TINY)
-        loss = np.zeros(n)
-        if likelihood:
-            value[:n] -= np.log(np.minimum(observed, 1.0 - TINY))
-            loss = -1.0 / observed
+    kept, last, nll = _sweep(start, steps, learn, slip, guess, rate, clip)
+    gradient = np.zeros((5, *start.shape))
+    weight = gradient[0]
+    weight[...] = 0.0 if likelihood else 1.0
+    loss = 1.0 if likelihood else 0.0
+    stays, pull = np.maximum(1.0 - learn, 1e-200), loss * (1.0 - slip - guess)
+    # The product of an answer's two chances is ``centre`` plus ``half`` times ``tilt``.
+    tilt, centre = guess - slip, 0.5 * (guess + slip) - slip * guess
+    for t in range(len(kept) - 1, -1, -1):
+        before, inverse, known, decay = kept[t]
+        days, half = steps[t]
+        n = days.shape[-1]
+        behind, g = weight[..., :n], gradient[..., :n]
         # The state after the event reacts to mastery and to both chances by Bayes' rule.
-        moved = weight[:n] * (1.0 - learn[:n]) / observed**2
-        by_before = loss * (with_ - without) + moved * with_ * without
-        by_with = loss * before + moved * before * (1.0 - before) * without
-        by_without = loss * (1.0 - before) - moved * before * (1.0 - before) * with_
-        gradient[:n, 1] += weight[:n] * (1.0 - before * with_ / observed)
-        gradient[:n, 2] -= sign * by_with
-        gradient[:n, 3] += sign * by_without
-        gradient[:n, 4] -= days[at] * before * by_before
-        weight[:n] = by_before * np.exp(-rate[:n] * days[at])
-    gradient[:, 0] = weight
-    return (value if likelihood else last), gradient
+        moved = behind * stays[..., :n]
+        by_before = tilt[..., :n] * half
+        by_before += centre[..., :n]
+        by_before *= inverse
+        by_before *= moved
+        by_before -= pull[..., :n]
+        by_before *= inverse
+        known *= moved
+        moved -= known
+        g[1] += moved
+        np.subtract(loss, moved, out=moved)
+        known += loss
+        with_ = before * inverse
+        moved *= with_
+        g[2] += moved
+        inverse -= with_
+        inverse *= known
+        g[3] -= inverse
+        if decay is None:
+            behind[...] = by_before
+        else:
+            np.multiply(by_before, decay, out=behind)
+        before *= by_before
+        before *= days
+        g[4] -= before
+    gradient[1] /= stays
+    return (nll if likelihood else last), gradient
+
+
+def adjoint(start, first, length, days, y, learn, slip, guess, rate, likelihood=True):
+    """:func:`step_major` over ragged sequences; the gradient's columns are its first axis."""
+    at = [first[:n] + t for t, n in running(length)]
+    by_step = [(days[i], np.where(y[i] > 0, 0.5, -0.5)) for i in at]
+    value, gradient = step_major(np.asarray(start, float), by_step, learn, slip, guess, rate, likelihood)
+    return value, gradient.T
 
 
 def chain(earlier: dict, later: dict) -> dict:

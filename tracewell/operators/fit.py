@@ -46,9 +46,18 @@ FIRST_P_INIT = (0.03, 0.90)
 CAPS = np.array([1.0, 1.0, MAX_EMISSION_ERROR, MAX_EMISSION_ERROR])
 # Event steps times candidates that one evaluation holds.
 TRACE = 4_000_000
+# Most sequences and events of a block, and sequences times candidates of one array, so that a step stays in a core's cache.
+BLOCK_SEQUENCES = 4_096
+BLOCK_EVENTS = 65_536
+# Fewest sequences that a block is cut to for the sake of more tasks.
+LEAST_SEQUENCES = 256
+ARRAY = 4_096
 _TRIANGLE = [(i, j) for i in range(5) for j in range(i, 5)]
 _SUMS = ["nll", *[f"g{i}" for i in range(5)], *[f"h{i}{j}" for i, j in _TRIANGLE]]
 _LEVEL = 256
+# Trial points of a step: the damping a tenth and ten times what it was; without a gain it grows by DAMP_MORE.
+DAMPING = np.array([0.1, 10.0])
+DAMP_MORE = 1e2
 # Largest difference of raw parameters at which two searches of one model count as one.
 SAME_POINT = 0.02
 
@@ -85,42 +94,87 @@ def to_raw(natural: np.ndarray, config: FitConfig) -> np.ndarray:
     return np.hstack([np.log(share / (1.0 - share)), np.log(rate)])
 
 
-def _totals(skill: int, offset: int, nll: np.ndarray, gradient: np.ndarray) -> Iterator[tuple]:
-    """Sum (sequences, candidates) results into one row per candidate."""
-    outer = np.einsum("nmi,nmj->mij", gradient, gradient)
-    g = gradient.sum(axis=0)
-    for k, total in enumerate(nll.sum(axis=0)):
-        yield (skill, offset + k, total, *g[k], *[outer[k, i, j] for i, j in _TRIANGLE])
+def _groups(skills: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(skill, rows with the longest first) of every skill."""
+    for s in np.unique(skills):
+        rows = np.flatnonzero(skills == s)
+        yield int(s), rows[R.longest_first(length[rows])]
 
 
 def _blocks(skills: np.ndarray, candidates: dict[int, np.ndarray], length: np.ndarray):
     """(skill, first candidate, candidates, sequences longest first) in pieces of bounded size."""
-    for s in np.unique(skills):
-        points = candidates.get(int(s))
+    for s, rows in _groups(skills, length):
+        points = candidates.get(s)
         if points is None:
             continue
-        rows = np.flatnonzero(skills == s)
-        rows = rows[R.longest_first(length[rows])]
         width = max(1, TRACE // max(1, int(length[rows].sum())))
         for at in range(0, len(points), width):
-            yield int(s), at, points[at : at + width], rows
+            yield s, at, points[at : at + width], rows
 
 
-def _evaluate(batches: Iterator[pa.RecordBatch], candidates: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Likelihood sums of whole sequences; one output row per (skill, candidate) and task."""
-    sums: dict[tuple, np.ndarray] = {}
+_BLOCK_SCHEMA = "skill_id int, events long, sequences long, first_right long, running binary, days binary, answers binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Whole sequences as blocks of one skill and at most ``most`` sequences, laid out step by step: the numbers of sequences that run at
+    each step, and the days and answers of step 0, then of step 1, and so on."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, first, length, days, y, _ = _flat(batch)
-        for skill, at, points, rows in _blocks(np.asarray(batch.column("skill_id")), candidates, length):
-            n, m = len(rows), len(points)
-            seq, p = np.repeat(rows, m), np.tile(points, (n, 1))
-            nll, gradient = R.adjoint(p[:, 0], first[seq], length[seq], days, y, *p[:, 1:].T)
-            for row in _totals(skill, at, nll.reshape(n, m), gradient.reshape(n, m, 5)):
-                key = row[:2]
-                sums[key] = sums.get(key, 0.0) + np.array(row[2:])
-    yield _sum_batch(sums)
+        out = []
+        for skill, rows in _groups(np.asarray(batch.column("skill_id")), length):
+            parts = max(-(-len(rows) // most), -(-int(length[rows].sum()) // BLOCK_EVENTS))
+            out += [(skill, *_laid_out(first[part], length[part], days, y)) for part in np.array_split(rows, parts)]
+        names = [c.split()[0] for c in _BLOCK_SCHEMA.split(", ")]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
+
+def _laid_out(first: np.ndarray, length: np.ndarray, days: np.ndarray, y: np.ndarray) -> tuple:
+    steps = [first[:n] + t for t, n in R.running(length)]
+    at = np.concatenate(steps)
+    right = (y[at] > 0).astype("u1")
+    running = np.array([len(s) for s in steps], "<i4")
+    return len(at), len(first), int(right[: len(first)].sum()), running.tobytes(), days[at].astype("<f8").tobytes(), right.tobytes()
+
+
+def _steps_of(block: dict) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Days and answers (0.5 or -0.5) of each step of a block."""
+    cuts = np.cumsum(np.frombuffer(block["running"], "<i4"))[:-1]
+    half = np.frombuffer(block["answers"], "u1") - 0.5
+    return list(zip(np.split(np.frombuffer(block["days"], "<f8"), cuts), np.split(half, cuts)))
+
+
+def _inside(points: np.ndarray) -> bool:
+    """Whether no chance of an answer can come near 0 or 1 at these parameters."""
+    edge = np.array([0.0, 0.0, 1e-9, 1e-9])
+    return bool(((points[:, :4] >= edge) & (points[:, :4] <= 1.0 - edge)).all() and (points[:, 4] >= 0).all())
+
+
+def _evaluate(batches: Iterator[pa.RecordBatch], candidates: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Likelihood sums of blocks of whole sequences; one output row per (skill, candidate) and task."""
+    sums = {s: np.zeros((len(points), len(_SUMS))) for s, points in candidates.items()}
+    seen = set()
+    upper = np.array([5 * i + j for i, j in _TRIANGLE])
+    for batch in batches:
+        for i in range(batch.num_rows):
+            block = {c: batch.column(c)[i].as_py() for c in ("skill_id", "sequences", "events", "running")}
+            block |= {c: batch.column(c)[i].as_buffer() for c in ("days", "answers")}
+            points, total = candidates[block["skill_id"]], sums[block["skill_id"]]
+            seen.add(block["skill_id"])
+            steps, n = _steps_of(block), block["sequences"]
+            width = max(1, min(ARRAY // n, TRACE // max(1, block["events"])))
+            clip = not (_inside(points) and all((days >= 0).all() for days, _ in steps))
+            for chosen in (np.flatnonzero(points[:, 4] == 0), np.flatnonzero(points[:, 4] != 0)):
+                for low in range(0, len(chosen), width):
+                    rows = chosen[low : low + width]
+                    p = points[rows].T[:, :, None]
+                    nll, g = R.step_major(np.repeat(p[0], n, axis=1), steps, *p[1:], clip=clip)
+                    g = np.ascontiguousarray(g.transpose(1, 0, 2))
+                    outer = (g @ g.transpose(0, 2, 1)).reshape(len(rows), 25)
+                    total[rows] += np.hstack([nll.sum(axis=1)[:, None], g.sum(axis=2), outer[:, upper]])
+    yield _sum_batch({(s, k): sums[s][k] for s in seen for k in range(len(sums[s]))})
 
 
 def _sum_batch(sums: dict[tuple, np.ndarray]) -> pa.RecordBatch:
@@ -198,8 +252,11 @@ def _finish_long(batches: Iterator[pa.RecordBatch], candidates: dict[int, np.nda
 
 @dataclass
 class Training:
-    """Stored training pieces and what the searches need to know about them."""
+    """Stored training sequences and what the searches need to know about them.
 
+    Whole sequences are packed in blocks once; only pieces of long ones stay rows."""
+
+    blocks: DataFrame
     pieces: DataFrame
     last_piece: int
     has_long: bool
@@ -207,10 +264,29 @@ class Training:
     @classmethod
     def of(cls, pieces: DataFrame) -> Training:
         columns = pieces.select("learner_id", F.col("skill_id").cast("int").alias("skill_id"), "piece", "events")
-        # In the order of skills, so that a step's filter on the live skills skips the others' row groups.
-        stored = materialise(columns.sortWithinPartitions("skill_id"))
-        row = stored.agg(F.max("piece"), F.max(is_long(stored).cast("int"))).first()
-        return cls(stored, row[0] or 0, bool(row[1]))
+        # In the order of skills, so that blocks are full and a step's filter on the live skills skips the others'
+        # row groups, and of lengths, so that the sequences of a block end together.
+        stored = materialise(columns.sortWithinPartitions("skill_id", F.size("events").desc()))
+        row = stored.agg(F.max("piece"), F.max(is_long(stored).cast("int")), F.count(F.lit(1))).first()
+        # Evenly over the cores, since every step waits for its last task.
+        tasks = stored.sparkSession.sparkContext.defaultParallelism
+        most = min(BLOCK_SEQUENCES, max(LEAST_SEQUENCES, row[2] // (2 * tasks)))
+        packed = stored.where(~is_long(stored)).mapInArrow(lambda it: _pack(it, most), _BLOCK_SCHEMA)
+        blocks = materialise(packed.repartition(tasks).sortWithinPartitions("skill_id"))
+        return cls(blocks, stored, row[0] or 0, bool(row[1]))
+
+    def facts(self) -> DataFrame:
+        """Events, sequences and the rate of right first answers of each skill."""
+        parts = self.blocks.select("skill_id", "events", "sequences", "first_right")
+        if self.has_long:
+            first = F.col("piece") == 0
+            pieces = self.pieces.where(is_long(self.pieces)).select(
+                "skill_id", F.size("events").cast("long").alias("events"), first.cast("long").alias("sequences"),
+                F.when(first, F.get("events", F.lit(0)).y).otherwise(0).cast("long").alias("first_right"),
+            )
+            parts = parts.unionByName(pieces)
+        totals = parts.groupBy("skill_id").agg(*[F.sum(c).alias(c) for c in ("events", "sequences", "first_right")])
+        return totals.select("skill_id", "events", "sequences", (F.col("first_right") / F.col("sequences")).alias("first_rate"))
 
 
 def likelihood(training: Training, candidates: dict[int, np.ndarray]) -> DataFrame:
@@ -219,12 +295,13 @@ def likelihood(training: Training, candidates: dict[int, np.ndarray]) -> DataFra
     ``candidates`` maps a skill to rows of natural parameters; it travels with the tasks, so
     callers keep it to one block of skills."""
     schema = "skill_id int, candidate int, " + ", ".join(f"{c} double" for c in _SUMS)
-    pieces = training.pieces.where(F.col("skill_id").isin(sorted(candidates)))
-    long = is_long(pieces)
-    sums = pieces.where(~long).select("skill_id", "events").mapInArrow(lambda it: _evaluate(it, candidates), schema)
+    live = F.col("skill_id").isin(sorted(candidates))
+    columns = ["skill_id", "sequences", "events", "running", "days", "answers"]
+    sums = training.blocks.where(live).select(*columns).mapInArrow(lambda it: _evaluate(it, candidates), schema)
     if training.has_long:
+        pieces = training.pieces.where(live & is_long(training.pieces))
         piece_schema = "learner_id long, skill_id int, candidate int, piece int, " + ", ".join(f"{c} double" for c in _PIECE_COLUMNS)
-        parts = pieces.where(long).mapInArrow(lambda it: _evaluate_pieces(it, candidates), piece_schema)
+        parts = pieces.mapInArrow(lambda it: _evaluate_pieces(it, candidates), piece_schema)
         last = training.last_piece
         while True:
             key = F.floor(F.col("piece") / _LEVEL).alias("level")
@@ -288,20 +365,19 @@ class _Searches:
             live = np.flatnonzero(~done)
             if not len(live):
                 break
-            factors = np.array([1e-2, 1.0, 1e2, 1e4])
-            trial = np.concatenate([self.steps(k, z[k], g[k], h[k], mu[k] * factors) for k in live])
-            owner = np.repeat(live, len(factors))
+            trial = np.concatenate([self.steps(k, z[k], g[k], h[k], mu[k] * DAMPING) for k in live])
+            owner = np.repeat(live, len(DAMPING))
             t_nll, t_g, t_h = self.evaluate(owner, trial)
             for i, k in enumerate(live):
-                rows = slice(i * len(factors), (i + 1) * len(factors))
-                best = i * len(factors) + int(np.argmin(np.where(np.isfinite(t_nll[rows]), t_nll[rows], np.inf)))
+                rows = slice(i * len(DAMPING), (i + 1) * len(DAMPING))
+                best = i * len(DAMPING) + int(np.argmin(np.where(np.isfinite(t_nll[rows]), t_nll[rows], np.inf)))
                 gain = nll[k] - t_nll[best]
                 taken[k] += 1
                 if gain > 0:
-                    mu[k] = max(1e-8, mu[k] * factors[best - i * len(factors)])
+                    mu[k] = max(1e-8, mu[k] * DAMPING[best - i * len(DAMPING)])
                     z[k], nll[k], g[k], h[k] = trial[best], t_nll[best], t_g[best], t_h[best]
                 else:
-                    mu[k] *= 1e3
+                    mu[k] *= DAMP_MORE
                 small = np.max(np.abs(g[k][self.free(k, z[k], g[k])]), initial=0.0) < self.config.gtol
                 good[k] = small or 0 < gain <= self.config.ftol * max(1.0, abs(nll[k]))
                 done[k] = good[k] or mu[k] > 1e12  # beyond that the search is stuck, which is no success
@@ -393,12 +469,7 @@ def fit_models(pieces: DataFrame, config: FitConfig = FitConfig()) -> DataFrame:
     parameter vectors at a time."""
     training = Training.of(pieces)
     spark = pieces.sparkSession
-    first = F.when(F.col("piece") == 0, F.get("events", F.lit(0)).y)
-    facts = materialise(
-        training.pieces.groupBy("skill_id").agg(
-            F.sum(F.size("events")).alias("events"), F.count(first).alias("sequences"), F.avg(first).alias("first_rate")
-        )
-    )
+    facts = materialise(training.facts())
     out, low = [], None
     while True:
         rest = facts if low is None else facts.where(F.col("skill_id") > low)
