@@ -307,3 +307,11 @@ def test_search_takes_two_points_a_step(monkeypatch):
     z, nll, _, _, good = search.descend(np.array([[-1.2, 1.0, 0.0, 0.0, 0.0]]))
     assert good[0] and z[0, :2] == pytest.approx([1.0, 1.0], abs=1e-5) and nll[0] < 1e-9
     assert max(spent) == 2 and sum(spent) < 80
+
+
+def test_sequences_read_the_questions_once(spark, monkeypatch):
+    """The questions come from all events, so a build derives and stores them once."""
+    calls, whole = [], V.raw_questions
+    monkeypatch.setattr(V, "raw_questions", lambda *a: calls.append(a) or whole(*a))
+    assert V.sequences(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(calls) == 1

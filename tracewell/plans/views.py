@@ -104,8 +104,9 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     return materialise(prepare.normalize_questions(raw_questions(spark, sf)))
 
 
-def cleaned(spark: SparkSession, sf: str) -> DataFrame:
-    raw, known = raw_responses(spark, sf), questions(spark, sf)
+def cleaned(spark: SparkSession, sf: str, known: DataFrame | None = None) -> DataFrame:
+    """The cleaned log; ``known`` questions that are stored already are not read from the events again."""
+    raw, known = raw_responses(spark, sf), questions(spark, sf) if known is None else known
     return prepare.interactions(raw, known, EXTREME_ELAPSED_MS, hot=hot_learners(spark, sf))
 
 
@@ -113,8 +114,8 @@ def sequenced(spark: SparkSession, sf: str) -> DataFrame:
     return prepare.sequence_responses(prepare.parse_responses(raw_responses(spark, sf)), hot_learners(spark, sf))
 
 
-def usable(spark: SparkSession, sf: str) -> DataFrame:
-    return reference.usable(cleaned(spark, sf))
+def usable(spark: SparkSession, sf: str, known: DataFrame | None = None) -> DataFrame:
+    return reference.usable(cleaned(spark, sf, known))
 
 
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,9 +133,9 @@ class Build:
     and every later pass reads that table, as the passes of a production build would."""
 
     def __init__(self, spark: SparkSession, sf: str):
-        self.usable = materialise(usable(spark, sf))
-        self.hot_pairs = hot_pairs(spark, sf)
         self.questions = questions(spark, sf)
+        self.usable = materialise(usable(spark, sf, self.questions))
+        self.hot_pairs = hot_pairs(spark, sf)
 
     @cached_property
     def counts(self) -> DataFrame:
